@@ -123,12 +123,39 @@ def search_any(cols: Sequence, needle: str | None) -> Column:
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep one row per key: the one with the greatest ``order`` tuple.
 
-    Expressed as ``max(struct(order..., payload...))`` per key so the plan is
-    a partial aggregate before the shuffle: a key with millions of copies is
-    reduced to one row per map task instead of landing whole in one task
-    (which a ``row_number`` window would do).  Full ties are broken by the
-    payload, so the result is deterministic.
+    Expressed as ``max_by(payload, ordering)`` per key so the plan is a
+    partial aggregate before the shuffle: a key with millions of copies is
+    reduced to one row per map task instead of landing whole in one task.
+    The payload is appended to the ordering, so full ties on ``order`` are
+    still resolved the same way on every run (safe under task retries).
     """
     payload = [c for c in df.columns if c not in keys and c not in order]
-    packed = F.max(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in payload])).alias("_w")
-    return df.groupBy(*keys).agg(packed).select(*keys, *[F.col(f"_w.{c}").alias(c) for c in list(order) + payload])
+    ordering = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in payload])
+    value = F.struct(*[F.col(c) for c in list(order) + payload])
+    return (df.groupBy(*keys).agg(F.max_by(value, ordering).alias("_w"))
+              .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in list(order) + payload]))
+
+
+def numbered(df: DataFrame, order: str, name: str = "row_no", buckets: int | None = None) -> DataFrame:
+    """Number rows 1..n by the numeric column ``order`` without a global sort
+    in one task.
+
+    Rows are cut into ``buckets`` equal-width ranges of ``order`` (bounds are
+    scalar subqueries, so every evaluation sees the same buckets); each
+    bucket is numbered by a window, and the bucket's offset comes from
+    per-bucket counts (one row per bucket: a proven bound for the broadcast).
+    """
+    from pyspark.sql import Window
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lo = df.select(F.min(order)).scalar()
+    hi = df.select(F.max(order)).scalar()
+    width = F.greatest((hi - lo + F.lit(1)) / F.lit(n), F.lit(1.0))
+    t = df.withColumn("_b", F.floor((F.col(order) - lo) / width))
+    counts = t.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = counts.withColumn(
+        "_off", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                           F.lit(0)))
+    ranked = t.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy(order)))
+    return (ranked.join(F.broadcast(offsets.select("_b", "_off")), "_b")
+                  .withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint"))
+                  .drop("_b", "_off", "_r"))

@@ -96,10 +96,11 @@ INVENTORY_COLUMNS = ("product_code", "barcode", "product_name", "option_name", "
                      "supplier_option", "cost_price", "sell_price", "stock_qty", "defect_qty", "base_date")
 
 
-def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fx_inventory``: the stock table after the keyed replace (K2)."""
-    return last_wins(inventory_rows(spark, sf_dir), ["product_name", "option_name"], ["seq"]) \
-        .select(*INVENTORY_COLUMNS)
+def inventory(spark: SparkSession, sf_dir: str, keep_seq: bool = False) -> DataFrame:
+    """``fx_inventory``: the stock table after the keyed replace (K2);
+    ``keep_seq`` keeps the sheet row order of the surviving row."""
+    cols = ("seq",) + INVENTORY_COLUMNS if keep_seq else INVENTORY_COLUMNS
+    return last_wins(inventory_rows(spark, sf_dir), ["product_name", "option_name"], ["seq"]).select(*cols)
 
 
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
