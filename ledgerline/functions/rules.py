@@ -49,6 +49,13 @@ def js_round1(x) -> Column:
     return (F.floor(col_(x) * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)).cast("double")
 
 
+def js_rate(num, den) -> Column:
+    """``Math.round(num / den * 1000) / 10``: a percentage to one decimal,
+    evaluated in the same operation order as the source (DOUBLE)."""
+    x = col_(num).cast("double") / col_(den).cast("double") * F.lit(1000.0)
+    return (F.floor(x + F.lit(0.5)) / F.lit(10.0)).cast("double")
+
+
 def falsy_coalesce(*cols, default=None) -> Column:
     """JS ``a || b || default``: 0, '' and null all count as missing."""
     parts = []
