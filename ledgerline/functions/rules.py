@@ -56,21 +56,32 @@ def js_rate(num, den) -> Column:
     return (F.floor(x + F.lit(0.5)) / F.lit(10.0)).cast("double")
 
 
-def falsy_coalesce(*cols, default=None) -> Column:
-    """JS ``a || b || default``: 0, '' and null all count as missing."""
-    parts = []
-    for c in cols:
-        c = col_(c)
-        parts.append(F.when(~falsy(c), c))
+def falsy_coalesce(*cols, default=None, kind: str = "text") -> Column:
+    """JS ``a || b || default``: the first value that is not falsy.
+
+    ``kind`` says what falsy means for the inputs: ``"text"`` -- null or ''
+    (the string "0" is truthy in JS); ``"number"`` -- null, 0 or NaN;
+    ``"cell"`` -- a spreadsheet cell exported as text: null, blank, or a
+    numeric zero such as "0" / "0.00".
+    """
+    parts = [F.when(~falsy(c, kind), col_(c)) for c in cols]
     if default is not None:
         parts.append(F.lit(default))
     return F.coalesce(*parts)
 
 
-def falsy(c) -> Column:
-    """True where JS would treat the value as false (null, '', 0)."""
+_ZERO_TEXT = r"^\s*[+-]?(0+(\.0*)?|\.0+)\s*$"
+
+
+def falsy(c, kind: str = "text") -> Column:
+    """True where JS would treat the value as false (see ``falsy_coalesce``)."""
     c = col_(c)
-    return c.isNull() | (c.cast("string") == F.lit("")) | (c.cast("string").isin("0", "0.0"))
+    if kind == "number":
+        return c.isNull() | (c == F.lit(0)) | F.isnan(c.cast("double"))
+    if kind == "cell":
+        t = c.cast("string")
+        return c.isNull() | (F.trim(t) == F.lit("")) | t.rlike(_ZERO_TEXT)
+    return c.isNull() | (c.cast("string") == F.lit(""))
 
 
 def nonempty(c) -> Column:

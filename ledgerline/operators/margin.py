@@ -37,8 +37,8 @@ def parse_cost_sheet(rows: DataFrame, cells: list[str]) -> DataFrame:
         return F.trim(F.coalesce(F.col(cells[p[k]]).cast("string"), F.lit("")))
 
     def num(k):
-        v = lenient_double(strip_commas(F.coalesce(falsy_coalesce(F.col(cells[p[k]])), F.lit("0"))))
-        return F.coalesce(falsy_coalesce(v), F.lit(0.0))
+        v = lenient_double(strip_commas(falsy_coalesce(F.col(cells[p[k]]), default="0", kind="cell")))
+        return falsy_coalesce(v, default=0.0, kind="number")
 
     keep = nonempty(F.col(cells[p["code"]]))
     return rows.where(keep).select(
@@ -59,7 +59,7 @@ def cost_items(items: DataFrame) -> DataFrame:
         return F.coalesce(falsy_coalesce(F.col(c)), F.lit("")).cast("string")
 
     def num(c):
-        return F.coalesce(falsy_coalesce(F.col(c)), F.lit(0.0)).cast("double")
+        return falsy_coalesce(F.col(c), default=0.0, kind="number").cast("double")
 
     return items.select(
         *([F.col("seq")] if "seq" in items.columns else []),

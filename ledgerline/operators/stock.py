@@ -55,14 +55,15 @@ def parse_stock_sheet(sheet: DataFrame) -> DataFrame:
 
     out = sheet.select(
         *([F.col("seq")] if "seq" in sheet.columns else []),
-        F.coalesce(falsy_coalesce(cell("product_code"), cell("barcode")), F.lit("")).alias("product_code"),
+        F.coalesce(falsy_coalesce(cell("product_code"), cell("barcode"), kind="cell"), F.lit("")).alias("product_code"),
         text("barcode").alias("barcode"), text("product_name").alias("product_name"),
         text("option_name").alias("option_name"), text("category").alias("category"),
         text("supplier").alias("supplier"), text("supplier_option").alias("supplier_option"),
-        F.coalesce(lenient_double(falsy_coalesce(cell("cost_price"))), F.lit(0.0)).alias("cost_price"),
-        F.coalesce(lenient_double(falsy_coalesce(cell("sell_price"))), F.lit(0.0)).alias("sell_price"),
-        F.coalesce(lenient_int(falsy_coalesce(cell("stock_qty"), cell("stock_qty_alt"))), F.lit(0)).alias("stock_qty"),
-        F.coalesce(lenient_int(falsy_coalesce(cell("defect_qty"))), F.lit(0)).alias("defect_qty"),
+        F.coalesce(lenient_double(falsy_coalesce(cell("cost_price"), kind="cell")), F.lit(0.0)).alias("cost_price"),
+        F.coalesce(lenient_double(falsy_coalesce(cell("sell_price"), kind="cell")), F.lit(0.0)).alias("sell_price"),
+        F.coalesce(lenient_int(falsy_coalesce(cell("stock_qty"), cell("stock_qty_alt"), kind="cell")),
+                   F.lit(0)).alias("stock_qty"),
+        F.coalesce(lenient_int(falsy_coalesce(cell("defect_qty"), kind="cell")), F.lit(0)).alias("defect_qty"),
     )
     return out.where(F.col("product_name") != "")
 
@@ -107,8 +108,8 @@ def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None) ->
         *([F.col("pos")] if "pos" in raw.columns else []),
         text("code").alias("code"), text("barcode").alias("barcode"), text("name").alias("name"),
         text("option").alias("option"), text("category").alias("category"),
-        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['cost']}`"))), F.lit(0.0)).alias("cost"),
-        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['price']}`"))), F.lit(0.0)).alias("price"),
+        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['cost']}`"), kind="cell")), F.lit(0.0)).alias("cost"),
+        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['price']}`"), kind="cell")), F.lit(0.0)).alias("price"),
     )
     return numbered(items, "pos", "no") if "pos" in raw.columns else items
 
@@ -149,7 +150,7 @@ def pick_shipped(window: str) -> Column:
     """Variant total if the row has a supplier option and the total is
     truthy, else the name total if truthy, else 0 (JS ``||`` chain)."""
     v = F.when(nonempty("supplier_option"), F.col(f"{window}_v"))
-    return falsy_coalesce(v, F.col(f"{window}_n"), default=0).cast("bigint")
+    return falsy_coalesce(v, F.col(f"{window}_n"), default=0, kind="number").cast("bigint")
 
 
 def shipped_source(window: str) -> Column:
@@ -350,8 +351,8 @@ def restore_saved(items: DataFrame, saved: DataFrame) -> DataFrame:
     closing = opening - outgoing.  Items without a saved row start at 0."""
     s = saved.select(F.col("code").alias("_code"), F.col("opening").alias("_o"), F.col("outgoing").alias("_g"))
     j = items.join(s, items.code == s._code, "left")
-    o = F.coalesce(falsy_coalesce(F.col("_o")), F.lit(0)).cast("bigint")
-    g = F.coalesce(falsy_coalesce(F.col("_g")), F.lit(0)).cast("bigint")
+    o = falsy_coalesce(F.col("_o"), default=0, kind="number").cast("bigint")
+    g = falsy_coalesce(F.col("_g"), default=0, kind="number").cast("bigint")
     return j.withColumn("opening", o).withColumn("outgoing", g) \
         .withColumn("closing", F.col("opening") - F.col("outgoing")).drop("_code", "_o", "_g")
 

@@ -1,7 +1,7 @@
 """Named report plans and their SQL oracles."""
 
 from ledgerline.plans.registry import PLANS, Plan, plan
-from ledgerline.plans import margin_plans, sales_plans, stock_plans  # noqa: F401  (registers plans)
+from ledgerline.plans import ingest_plans, margin_plans, sales_plans, stock_plans  # noqa: F401
 
 
 def all_plans() -> dict[str, Plan]:
