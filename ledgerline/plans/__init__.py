@@ -1,7 +1,8 @@
 """Named report plans and their SQL oracles."""
 
 from ledgerline.plans.registry import PLANS, Plan, plan
-from ledgerline.plans import ingest_plans, margin_plans, sales_plans, stock_plans  # noqa: F401
+from ledgerline.plans import (analytics_plans, ingest_plans, margin_plans, sales_plans,  # noqa: F401
+                              stock_plans)
 
 
 def all_plans() -> dict[str, Plan]:

@@ -20,14 +20,17 @@ _A_LINES = """
 SELECT order_id, CAST(split_part(id, '_', 3) AS INT) AS l, product_no, product_name,
   CASE WHEN CAST(split_part(id, '_', 3) AS INT) = 3 THEN 'CV' || product_no ELSE variant_code END AS variant_code,
   CASE WHEN CAST(split_part(id, '_', 3) AS INT) = 5 THEN 1 ELSE quantity END AS q,
+  CASE WHEN CAST(split_part(id, '_', 3) AS INT) = 5 THEN 0 ELSE quantity END AS q0,
   floor(amount / quantity + 0.5) AS price, status
 FROM fx_orders WHERE channel = 'mall'"""
 _A_ORDERS = """
-SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_orderdate AS DATE) AS order_date, c_name AS customer,
+SELECT o_orderkey AS okey, CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_orderdate AS DATE) AS order_date, c_name AS customer,
   CAST(floor(o_totalprice + 0.5) AS DOUBLE) AS pay
 FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0"""
 _A_AGG = """
-SELECT order_id, COUNT(*) AS n, SUM(price * q) AS isum, SUM(q) AS qsum, arg_min(status, l) AS first_status
+SELECT order_id, COUNT(*) AS n, SUM(price * q) AS isum, SUM(q) AS qsum, arg_min(status, l) AS first_status,
+  arg_min(product_name, l) AS first_name, string_agg(product_name, ', ' ORDER BY l) AS names_comma,
+  string_agg(product_name, '/' ORDER BY l) AS names_slash
 FROM a_lines GROUP BY order_id"""
 _A_OUT = """
 SELECT 'A_' || o.order_id || '_' || CAST(row_number() OVER (PARTITION BY o.order_id ORDER BY l.l) - 1 AS VARCHAR) AS id,
@@ -41,7 +44,12 @@ SELECT 'A_' || o.order_id, 'A', o.order_id, o.order_date, COALESCE(g.first_statu
   CAST(COALESCE(NULLIF(l.q, 0), 1) AS BIGINT), o.pay, o.customer
 FROM a_orders o LEFT JOIN a_agg g ON g.order_id = o.order_id LEFT JOIN a_lines l ON l.order_id = o.order_id
 WHERE COALESCE(g.n, 0) <= 1"""
-A_VIEWS = [("a_lines", _A_LINES), ("a_orders", _A_ORDERS), ("a_agg", _A_AGG), ("a_out", _A_OUT)]
+_A_RAW = """
+SELECT o.okey, o.order_id, CAST(o.order_date AS VARCHAR) AS date, o.pay, COALESCE(g.first_status, 'N10') AS status,
+  COALESCE(g.n, 0) AS n, COALESCE(g.qsum, 0) AS qsum, g.first_name, g.names_comma, g.names_slash, o.customer,
+  CASE WHEN o.okey % 11 = 0 THEN 0.0 ELSE o.pay END AS page_amount
+FROM a_orders o LEFT JOIN a_agg g ON g.order_id = o.order_id"""
+A_VIEWS = [("a_lines", _A_LINES), ("a_orders", _A_ORDERS), ("a_agg", _A_AGG), ("a_out", _A_OUT), ("a_raw", _A_RAW)]
 
 
 def _a_lines(spark, sf):
@@ -69,7 +77,7 @@ def p02(spark, sf):
     raw = feeds.parse_json(feeds.feed_a_json(spark, sf), "json", feeds.ORDER_A)
     n = F.size("items")
     pay = F.col("payment_amount")
-    orders = raw.where(n > 1).select("order_id", n.alias("items"),
+    orders = raw.where(n > 1).select("order_id", n.cast("bigint").alias("items"),
                                      F.coalesce(F.nullif(pay, F.lit("")), F.nullif("actual_payment_amount", F.lit("")),
                                                 F.col("total_price")).cast("double").alias("payment"))
     lines = nz.normalize_a(raw).groupBy("order_id").agg(F.sum("amount").alias("allocated"))
@@ -78,6 +86,20 @@ def p02(spark, sf):
                     (F.abs(F.col("allocated") - F.col("payment")) <= F.col("items") / F.lit(2.0)).alias("within_bound"))
 
 
+B_ROWS = """
+SELECT CAST(order_date AS VARCHAR) AS date, amount, product_no AS key, product_name AS name,
+  CASE WHEN split_part(id, '_', 3) = '2' THEN 1 ELSE quantity END AS qty
+FROM fx_orders WHERE channel = 'market'"""
+C_ROWS = """
+SELECT CAST(order_date AS VARCHAR) AS date, amount, order_id || '-' || split_part(id, '_', 3) AS key, product_name AS name,
+  quantity AS qty,
+  CASE WHEN status IN ('N10', 'N20') THEN 'PAYED' WHEN status = 'N40' THEN 'DELIVERED' WHEN status = 'E40' THEN 'EXCHANGED'
+       WHEN status IN ('C40', 'CANCELED') THEN 'CANCELED' ELSE 'RETURNED' END AS tag
+FROM fx_orders WHERE channel = 'store'"""
+C_FEED = """SELECT date, amount, key, name, qty, tag FROM c_rows
+UNION ALL SELECT date, amount, key, name, qty, 'PAYED' FROM c_rows WHERE tag = 'RETURNED'"""
+FEED_VIEWS = A_VIEWS + [("b_rows", B_ROWS), ("c_rows", C_ROWS), ("c_feed", C_FEED)]
+
 _B_SQL = """
 SELECT 'B_' || oid AS id, 'B' AS channel, oid AS order_id, order_date, status, product_name, product_no,
   '' AS variant_code, CAST(CASE WHEN ln = 2 THEN 1 ELSE quantity END AS BIGINT) AS quantity, amount, customer
