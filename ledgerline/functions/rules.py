@@ -18,6 +18,11 @@ _FLOAT_PREFIX = r"^\s*([+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?)"
 _INT_PREFIX = r"^\s*([+-]?\d+)"
 
 
+def ident(name: str) -> str:
+    """Quote one identifier for SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col_(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -148,10 +153,10 @@ def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     still resolved the same way on every run (safe under task retries).
     """
     payload = [c for c in df.columns if c not in keys and c not in order]
-    ordering = F.struct(*[F.col(c) for c in order], *[F.col(c) for c in payload])
-    value = F.struct(*[F.col(c) for c in list(order) + payload])
-    return (df.groupBy(*keys).agg(F.max_by(value, ordering).alias("_w"))
-              .select(*keys, *[F.col(f"_w.{c}").alias(c) for c in list(order) + payload]))
+    cols = ", ".join(ident(c) for c in list(order) + payload)
+    ordering = ", ".join(ident(c) for c in list(order) + payload)
+    return (df.groupBy(*keys).agg(F.expr(f"max_by(struct({cols}), struct({ordering}))").alias("_w"))
+              .selectExpr(*[ident(k) for k in keys], "_w.*"))
 
 
 def numbered(df: DataFrame, order: str, name: str = "row_no", buckets: int | None = None) -> DataFrame:
@@ -177,3 +182,74 @@ def numbered(df: DataFrame, order: str, name: str = "row_no", buckets: int | Non
     return (ranked.join(F.broadcast(offsets.select("_b", "_off")), "_b")
                   .withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint"))
                   .drop("_b", "_off", "_r"))
+
+
+# ---------------------------------------------------------------------------------------
+# The same rules as SQL expression text.  A projection written as text is
+# parsed by the JVM in one call (``selectExpr`` / ``F.expr``) instead of one
+# call per function node, which keeps plan construction cheap for the wide
+# per-row normalisations.  Arguments are SQL snippets (column names, field
+# paths such as ``it.quantity``, or other snippets from these helpers).
+# ---------------------------------------------------------------------------------------
+
+_FLOAT_PREFIX_SQL = _FLOAT_PREFIX.replace("\\", "\\\\")
+_INT_PREFIX_SQL = _INT_PREFIX.replace("\\", "\\\\")
+_ZERO_TEXT_SQL = _ZERO_TEXT.replace("\\", "\\\\")
+
+
+def lit_sql(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "TRUE" if v else "FALSE"
+    if isinstance(v, (int, float)):
+        return repr(v)
+    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def falsy_sql(x: str, kind: str = "text") -> str:
+    if kind == "number":
+        return f"({x} IS NULL OR {x} = 0 OR isnan(CAST({x} AS DOUBLE)))"
+    if kind == "cell":
+        return (f"({x} IS NULL OR trim(CAST({x} AS STRING)) = '' "
+                f"OR CAST({x} AS STRING) RLIKE '{_ZERO_TEXT_SQL}')")
+    return f"({x} IS NULL OR CAST({x} AS STRING) = '')"
+
+
+def or_sql(*xs: str, default=None, kind: str = "text") -> str:
+    """``a || b || default`` as SQL (see ``falsy_coalesce``)."""
+    parts = [f"CASE WHEN NOT {falsy_sql(x, kind)} THEN {x} END" for x in xs]
+    if default is not None:
+        parts.append(lit_sql(default))
+    return parts[0] if len(parts) == 1 else f"coalesce({', '.join(parts)})"
+
+
+def parse_float_sql(x: str) -> str:
+    """``parseFloat`` as SQL: leading numeric prefix, else NULL."""
+    return f"try_cast(nullif(regexp_extract(CAST({x} AS STRING), '{_FLOAT_PREFIX_SQL}', 1), '') AS DOUBLE)"
+
+
+def parse_int_sql(x: str) -> str:
+    """``parseInt`` as SQL: leading integer prefix, else NULL."""
+    return f"try_cast(nullif(regexp_extract(CAST({x} AS STRING), '{_INT_PREFIX_SQL}', 1), '') AS BIGINT)"
+
+
+def eff_sql(status: str = "status") -> str:
+    return f"(NOT {status} ILIKE 'C%' AND NOT {status} ILIKE 'R%')"
+
+
+def js_round_sql(x: str) -> str:
+    return f"CAST(floor(({x}) + 0.5) AS BIGINT)"
+
+
+def js_rate_sql(num: str, den: str) -> str:
+    return f"CAST(floor(CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 1000.0 + 0.5) / 10.0 AS DOUBLE)"
+
+
+def money_sql(x: str) -> str:
+    return f"CAST({x} AS {MONEY})"
+
+
+def day_sql(*xs: str) -> str:
+    """``(a || b || '').substring(0, 10)`` as text, NULL when empty."""
+    return f"nullif(substring({or_sql(*xs, default='')}, 1, 10), '')"

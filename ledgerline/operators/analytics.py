@@ -20,87 +20,74 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerline.functions.rules import (falsy_coalesce, js_rate, js_round, lenient_double, lenient_int, money)
+from ledgerline.functions.rules import (day_sql, falsy_coalesce, js_rate, js_round, lit_sql, money, or_sql,
+                                       parse_float_sql, parse_int_sql)
 
 ORDER_ROW = ("channel", "date", "amount", "valid")
 PRODUCT_ROW = ("channel", "key", "name", "quantity", "revenue", "date")
 
 
-def _day(*cols) -> Column:
-    t = F.substring(F.coalesce(falsy_coalesce(*cols), F.lit("")), 1, 10)
-    return F.when(t != "", t)
+# ---- per-channel reduction ------------------------------------------------------
 
+_A_VALID = "NOT coalesce(order_status, '') LIKE 'C%' AND NOT coalesce(order_status, '') LIKE 'R%'"
 
-# ---- per-channel reduction ------------------------------------------------------
 
 def order_rows_a(raw: DataFrame, channel: str = "A") -> DataFrame:
     """Channel A: amount = payment fallback chain; statuses starting with C
     or R (case-sensitive) are not sales."""
-    st = F.coalesce(F.col("order_status"), F.lit(""))
-    return raw.select(F.lit(channel).alias("channel"), _day("order_date").alias("date"),
-                      F.coalesce(lenient_double(falsy_coalesce("payment_amount", "actual_payment_amount",
-                                                               "total_price", default="0")), F.lit(0.0)).alias("amount"),
-                      (~st.startswith("C") & ~st.startswith("R")).alias("valid"))
+    amt = parse_float_sql(or_sql("payment_amount", "actual_payment_amount", "total_price", default="0"))
+    return raw.selectExpr(f"{lit_sql(channel)} AS channel", f"{day_sql('order_date')} AS date",
+                          f"coalesce({amt}, 0.0) AS amount", f"{_A_VALID} AS valid")
 
 
 def product_rows_a(raw: DataFrame, channel: str = "A") -> DataFrame:
     """Channel A items of valid orders: key = product no, else name; item
     quantity defaults to 0; revenue = list price x quantity."""
-    st = F.coalesce(F.col("order_status"), F.lit(""))
-    v = raw.where(~st.startswith("C") & ~st.startswith("R")).select(
-        _day("order_date").alias("date"), F.explode_outer("items").alias("it"))
-    v = v.where(F.col("it").isNotNull())
-    qty = F.coalesce(lenient_int(falsy_coalesce(F.col("it.quantity"), default="0")), F.lit(0))
-    price = F.coalesce(lenient_double(falsy_coalesce(F.col("it.product_price"), default="0")), F.lit(0.0))
-    return v.select(F.lit(channel).alias("channel"),
-                    falsy_coalesce(F.col("it.product_no"), F.col("it.product_name")).alias("key"),
-                    F.col("it.product_name").alias("name"), qty.cast("bigint").alias("quantity"),
-                    (price * qty).alias("revenue"), "date")
+    v = raw.where(_A_VALID).selectExpr(f"{day_sql('order_date')} AS date", "explode(items) AS it")
+    qty = f"coalesce({parse_int_sql(or_sql('it.quantity', default='0'))}, 0)"
+    price = f"coalesce({parse_float_sql(or_sql('it.product_price', default='0'))}, 0.0)"
+    return v.selectExpr(f"{lit_sql(channel)} AS channel", f"{or_sql('it.product_no', 'it.product_name')} AS key",
+                        "it.product_name AS name", f"CAST({qty} AS BIGINT) AS quantity",
+                        f"{price} * {qty} AS revenue", "date")
 
 
-def _amount_b():
-    return F.coalesce(lenient_double(falsy_coalesce("orderPrice", "totalPrice", default="0")), F.lit(0.0))
+_AMOUNT_B = f"coalesce({parse_float_sql(or_sql('orderPrice', 'totalPrice', default='0'))}, 0.0)"
 
 
 def order_rows_b(raw: DataFrame, channel: str = "B") -> DataFrame:
     """Channel B: every record is a sale (no status exclusion)."""
-    return raw.select(F.lit(channel).alias("channel"), _day("orderedAt", "createdAt").alias("date"),
-                      _amount_b().alias("amount"), F.lit(True).alias("valid"))
+    return raw.selectExpr(f"{lit_sql(channel)} AS channel", f"{day_sql('orderedAt', 'createdAt')} AS date",
+                          f"{_AMOUNT_B} AS amount", "TRUE AS valid")
 
 
 def product_rows_b(raw: DataFrame, channel: str = "B") -> DataFrame:
-    key = falsy_coalesce("vendorItemId", "vendorItemName", default="unknown")
-    return raw.select(F.lit(channel).alias("channel"), key.alias("key"),
-                      falsy_coalesce(F.col("vendorItemName"), key).alias("name"),
-                      F.coalesce(lenient_int(falsy_coalesce("shippingCount", default="1")), F.lit(0)).alias("quantity"),
-                      _amount_b().alias("revenue"), _day("orderedAt", "createdAt").alias("date"))
-
-
-_C_EXCLUDED = ("CANCELED", "RETURNED")
+    key = or_sql("vendorItemId", "vendorItemName", default="unknown")
+    return raw.selectExpr(f"{lit_sql(channel)} AS channel", f"{key} AS key",
+                          f"{or_sql('vendorItemName', key)} AS name",
+                          f"coalesce({parse_int_sql(or_sql('shippingCount', default='1'))}, 0) AS quantity",
+                          f"{_AMOUNT_B} AS revenue", f"{day_sql('orderedAt', 'createdAt')} AS date")
 
 
-def _amount_c():
-    return F.coalesce(lenient_double(falsy_coalesce("totalPaymentAmount", "paymentAmount", "totalProductAmount",
-                                                    default="0")), F.lit(0.0))
+_C_VALID = "coalesce(search_status, '') NOT IN ('CANCELED', 'RETURNED')"
+_AMOUNT_C = (f"coalesce({parse_float_sql(or_sql('totalPaymentAmount', 'paymentAmount', 'totalProductAmount', default='0'))}"
+             ", 0.0)")
 
 
 def order_rows_c(raw: DataFrame, channel: str = "C") -> DataFrame:
     """Channel C: records found under the CANCELED / RETURNED batches are
     not sales."""
-    tag = F.coalesce(F.col("search_status"), F.lit(""))
-    return raw.select(F.lit(channel).alias("channel"), _day("orderDate", "paymentDate").alias("date"),
-                      _amount_c().alias("amount"), (~tag.isin(*_C_EXCLUDED)).alias("valid"))
+    return raw.selectExpr(f"{lit_sql(channel)} AS channel", f"{day_sql('orderDate', 'paymentDate')} AS date",
+                          f"{_AMOUNT_C} AS amount", f"{_C_VALID} AS valid")
 
 
 def product_rows_c(raw: DataFrame, channel: str = "C") -> DataFrame:
     """Channel C: the product key is the line id first, so "products" are
     lines."""
-    tag = F.coalesce(F.col("search_status"), F.lit(""))
-    key = falsy_coalesce("productOrderId", "productName", default="unknown")
-    return raw.where(~tag.isin(*_C_EXCLUDED)).select(
-        F.lit(channel).alias("channel"), key.alias("key"), falsy_coalesce(F.col("productName"), key).alias("name"),
-        F.coalesce(lenient_int(falsy_coalesce("quantity", default="1")), F.lit(0)).alias("quantity"),
-        _amount_c().alias("revenue"), _day("orderDate", "paymentDate").alias("date"))
+    key = or_sql("productOrderId", "productName", default="unknown")
+    return raw.where(_C_VALID).selectExpr(
+        f"{lit_sql(channel)} AS channel", f"{key} AS key", f"{or_sql('productName', key)} AS name",
+        f"coalesce({parse_int_sql(or_sql('quantity', default='1'))}, 0) AS quantity",
+        f"{_AMOUNT_C} AS revenue", f"{day_sql('orderDate', 'paymentDate')} AS date")
 
 
 def in_window(df: DataFrame, start: str, end: str) -> DataFrame:

@@ -3,12 +3,10 @@ rows (P7-P10, F9, F10, G18, L5, K8 content) over raw channel-A orders."""
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.rules import falsy_coalesce, js_round, lenient_double, lenient_int, money
+from ledgerline.functions.rules import js_round_sql, lit_sql, money_sql, or_sql, parse_float_sql, parse_int_sql
 
 # ---- fixed values: status code -> stage label (17 codes) ------------------------------
 STATUS_LABELS = {
@@ -22,98 +20,89 @@ MORE_ITEMS_PREFIX, MORE_ITEMS_SUFFIX = " 외 ", "건"
 NAME_CUT, CLAIM_NAMES_CUT = 25, 30
 ELLIPSIS = "..."
 
-def _label_map() -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(STATUS_LABELS.items())])
-
-
-def status_label(status="order_status") -> Column:
-    """P10: stage label of a status code; unknown codes keep their text, an
-    empty status shows '?'.  A map literal: no join needed for 17 rows."""
-    s = F.col(status) if isinstance(status, str) else status
-    return F.coalesce(F.element_at(_label_map(), F.coalesce(s, F.lit(""))), falsy_coalesce(s, default="?"))
-
+def label_sql(status: str = "order_status", fallback: str | None = "?") -> str:
+    """P10 as SQL: stage label of a status code.  Unknown codes keep their
+    text; an empty status shows ``fallback`` (None: keep the raw value)."""
+    whens = " ".join(f"WHEN {lit_sql(k)} THEN {lit_sql(v)}" for k, v in STATUS_LABELS.items())
+    other = status if fallback is None else or_sql(status, default=fallback)
+    return f"CASE {status} {whens} ELSE {other} END"
 
-def page_amount() -> Column:
-    """Order pages read the amount from the paid fields (not the ingest ones)."""
-    return F.coalesce(lenient_double(falsy_coalesce("actual_payment_amount", "total_amount_paid", default="0")),
-                      F.lit(0.0))
 
+def status_label(status: str = "order_status") -> Column:
+    """P10: stage label column (a CASE over the 17 fixed codes; no join
+    needed for a fixed 17-row map)."""
+    return F.expr(label_sql(status))
 
-def status_class() -> Column:
-    return F.substring(F.coalesce(F.col("order_status"), F.lit("")), 1, 1)
 
+PAGE_AMOUNT = f"coalesce({parse_float_sql(or_sql('actual_payment_amount', 'total_amount_paid', default='0'))}, 0.0)"
+STATUS_CLASS = "substring(coalesce(order_status, ''), 1, 1)"
+TIME_TEXT = ("CASE WHEN order_date IS NULL OR order_date = '' THEN '-' "
+             "ELSE regexp_replace(substring(order_date, 1, 16), 'T', ' ') END")
 
-def time_text(c="order_date") -> Column:
-    """'YYYY-MM-DD HH:MM' from an ISO text, '-' when empty."""
-    t = F.col(c)
-    return F.when(t.isNull() | (t == ""), F.lit("-")).otherwise(F.regexp_replace(F.substring(t, 1, 16), "T", " "))
 
-
-def _cut(text: Column, n: int) -> Column:
-    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit(ELLIPSIS))).otherwise(text)
+def _cut(x: str, n: int) -> str:
+    return f"CASE WHEN length({x}) > {n} THEN concat(substring({x}, 1, {n}), {lit_sql(ELLIPSIS)}) ELSE {x} END"
 
 
 # ---- F9 / F10: filters ----------------------------------------------------------------------
 
 def claims_view(orders: DataFrame) -> DataFrame:
     """orders whose status starts with C, R or E."""
-    return orders.where(status_class().isin("C", "R", "E"))
+    return orders.where(f"{STATUS_CLASS} IN ('C', 'R', 'E')")
 
 
 def status_filter(orders: DataFrame, value: str | None) -> DataFrame:
     """one letter = status prefix, longer = exact status."""
     if not value:
         return orders
-    s = F.coalesce(F.col("order_status"), F.lit(""))
-    return orders.where(s.startswith(value) if len(value) == 1 else (F.col("order_status") == value))
+    if len(value) == 1:
+        return orders.where(F.coalesce(F.col("order_status"), F.lit("")).startswith(value))
+    return orders.where(F.col("order_status") == value)
 
 
 # ---- P7 / P9: list rows --------------------------------------------------------------------------
 
+_ITEMS = "coalesce(items, array())"
+_QTY = f"aggregate({_ITEMS}, CAST(0 AS BIGINT), (s, i) -> s + {parse_int_sql(or_sql('i.quantity', default='1'))})"
+
+
 def order_rows(orders: DataFrame) -> DataFrame:
     """One row per order: first item + "n more", total quantity, amount,
     refund flag, payment method."""
-    items = F.coalesce(F.col("items"), F.array())
-    n = F.size(items)
-    first = F.coalesce(F.get(items, 0).getField("product_name"), F.lit(""))
-    name = F.when(n > 1, F.concat(first, F.lit(MORE_ITEMS_PREFIX), (n - 1).cast("string"), F.lit(MORE_ITEMS_SUFFIX))) \
-        .otherwise(first)
-    qty = F.aggregate(items, F.lit(0).cast("bigint"),
-                      lambda s, i: s + lenient_int(falsy_coalesce(i.getField("quantity"), default="1")))
-    return orders.select(
-        "order_id", time_text().alias("order_time"), falsy_coalesce("buyer_name", default="-").alias("buyer"),
-        _cut(name, NAME_CUT).alias("item_name"), qty.alias("total_qty"), F.col("order_status").alias("status"),
-        status_label().alias("status_label"), js_round(page_amount()).alias("amount"),
-        F.coalesce(F.col("order_status"), F.lit("")).rlike("^[CRE]").alias("is_refund"),
-        falsy_coalesce("payment_method", default="-").alias("payment_method"))
+    first = f"coalesce(get({_ITEMS}, 0).product_name, '')"
+    n = f"size({_ITEMS})"
+    name = (f"CASE WHEN {n} > 1 THEN concat({first}, {lit_sql(MORE_ITEMS_PREFIX)}, CAST({n} - 1 AS STRING), "
+            f"{lit_sql(MORE_ITEMS_SUFFIX)}) ELSE {first} END")
+    return orders.selectExpr(
+        "order_id", f"{TIME_TEXT} AS order_time", f"{or_sql('buyer_name', default='-')} AS buyer",
+        f"{_cut(name, NAME_CUT)} AS item_name", f"{_QTY} AS total_qty", "order_status AS status",
+        f"{label_sql()} AS status_label", f"{js_round_sql(PAGE_AMOUNT)} AS amount",
+        "coalesce(order_status, '') RLIKE '^[CRE]' AS is_refund",
+        f"{or_sql('payment_method', default='-')} AS payment_method")
 
 
 def claim_rows(orders: DataFrame) -> DataFrame:
     """Claims list row: item names joined, amount, reason (cancel
     reason, else return reason)."""
-    names = F.array_join(F.transform(F.coalesce(F.col("items"), F.array()),
-                                     lambda i: F.coalesce(i.getField("product_name"), F.lit(""))), ", ")
-    names = falsy_coalesce(names, default="-")
-    return claims_view(orders).select(
-        "order_id", time_text().alias("order_time"), _cut(names, CLAIM_NAMES_CUT).alias("items"),
-        F.col("order_status").alias("status"), status_label().alias("status_label"),
-        js_round(page_amount()).alias("amount"),
-        falsy_coalesce("cancel_reason", "return_reason", default="-").alias("reason"))
+    names = or_sql(f"array_join(transform({_ITEMS}, i -> coalesce(i.product_name, '')), ', ')", default="-")
+    return claims_view(orders).selectExpr(
+        "order_id", f"{TIME_TEXT} AS order_time", f"{_cut(names, CLAIM_NAMES_CUT)} AS items",
+        "order_status AS status", f"{label_sql()} AS status_label", f"{js_round_sql(PAGE_AMOUNT)} AS amount",
+        f"{or_sql('cancel_reason', 'return_reason', default='-')} AS reason")
 
 
 def order_detail(orders: DataFrame, order_id: str) -> DataFrame:
     """The items of one order; an item's status falls back to the
     order's."""
-    o = orders.where(F.col("order_id") == order_id)
-    e = o.select("order_id", "order_status", F.posexplode("items").alias("pos", "it"))
-    st = falsy_coalesce(F.col("it.order_status"), F.col("order_status"))
-    return e.select(
-        "order_id", "pos", F.substring(F.coalesce(F.col("it.product_name"), F.lit("")), 1, 25).alias("product_name"),
-        falsy_coalesce(F.col("it.option_value"), default="-").alias("option_value"),
-        falsy_coalesce(F.col("it.quantity"), default="1").alias("quantity"),
-        js_round(F.coalesce(lenient_double(falsy_coalesce(F.col("it.product_price"), default="0")), F.lit(0.0)))
-         .alias("price"),
-        st.alias("status"), status_label(st).alias("status_label"))
+    e = orders.where(F.col("order_id") == order_id).selectExpr(
+        "order_id", "order_status", "posexplode(items) AS (pos, it)")
+    st = or_sql("it.order_status", "order_status")
+    return e.selectExpr(
+        "order_id", "pos", "substring(coalesce(it.product_name, ''), 1, 25) AS product_name",
+        f"{or_sql('it.option_value', default='-')} AS option_value",
+        f"{or_sql('it.quantity', default='1')} AS quantity",
+        f"{js_round_sql('coalesce(' + parse_float_sql(or_sql('it.product_price', default='0')) + ', 0.0)')} AS price",
+        f"{st} AS status", f"{label_sql(st)} AS status_label")
 
 
 # ---- G18: KPIs --------------------------------------------------------------------------
@@ -122,26 +111,24 @@ def order_kpis(orders: DataFrame) -> DataFrame:
     """G18 over the (filtered) orders: counts per class, net revenue
     (neither C, R nor E), average = revenue / max(total - C - R, 1),
     refund total = C + R amounts."""
-    c = status_class()
-    a = money(page_amount())
-    agg = orders.agg(
+    c, a = STATUS_CLASS, money_sql(PAGE_AMOUNT)
+    agg = orders.selectExpr(f"{c} AS _c", f"{a} AS _a").agg(
         F.count(F.lit(1)).alias("total_orders"),
-        F.coalesce(F.sum(F.when(~c.isin("C", "R", "E"), a)), F.lit(0)).alias("_rev"),
-        F.coalesce(F.sum(F.when(c == "C", a)), F.lit(0)).alias("_ca"),
-        F.coalesce(F.sum(F.when(c == "R", a)), F.lit(0)).alias("_ra"),
-        F.count(F.when(c == "C", 1)).alias("cancel_count"),
-        F.count(F.when(c == "R", 1)).alias("return_count"),
-        F.count(F.when(c == "E", 1)).alias("exchange_count"))
-    rev = F.col("_rev").cast("double")
-    divisor = F.greatest(F.col("total_orders") - F.col("cancel_count") - F.col("return_count"), F.lit(1))
-    return agg.select(
-        "total_orders", js_round(rev).alias("revenue"),
-        F.when(F.col("total_orders") > 0, js_round(rev / divisor)).otherwise(F.lit(0)).cast("bigint").alias("avg_order"),
+        F.expr("coalesce(sum(CASE WHEN _c NOT IN ('C', 'R', 'E') THEN _a END), 0)").alias("_rev"),
+        F.expr("coalesce(sum(CASE WHEN _c = 'C' THEN _a END), 0)").alias("_ca"),
+        F.expr("coalesce(sum(CASE WHEN _c = 'R' THEN _a END), 0)").alias("_ra"),
+        F.expr("count(CASE WHEN _c = 'C' THEN 1 END)").alias("cancel_count"),
+        F.expr("count(CASE WHEN _c = 'R' THEN 1 END)").alias("return_count"),
+        F.expr("count(CASE WHEN _c = 'E' THEN 1 END)").alias("exchange_count"))
+    rev = "CAST(_rev AS DOUBLE)"
+    return agg.selectExpr(
+        "total_orders", f"{js_round_sql(rev)} AS revenue",
+        f"CAST(CASE WHEN total_orders > 0 THEN {js_round_sql(rev + ' / greatest(total_orders - cancel_count - return_count, 1)')}"
+        " ELSE 0 END AS BIGINT) AS avg_order",
         "cancel_count", "return_count", "exchange_count",
-        (F.col("cancel_count") + F.col("return_count") + F.col("exchange_count")).alias("claim_count"),
-        js_round(F.col("_ca").cast("double")).alias("cancel_amount"),
-        js_round(F.col("_ra").cast("double")).alias("return_amount"),
-        js_round((F.col("_ca") + F.col("_ra")).cast("double")).alias("refund_total"))
+        "cancel_count + return_count + exchange_count AS claim_count",
+        f"{js_round_sql('CAST(_ca AS DOUBLE)')} AS cancel_amount", f"{js_round_sql('CAST(_ra AS DOUBLE)')} AS return_amount",
+        f"{js_round_sql('CAST(_ca + _ra AS DOUBLE)')} AS refund_total")
 
 
 # ---- K8: export rows ------------------------------------------------------------------------
@@ -152,12 +139,8 @@ EXPORT_HEADER = ("주문번호", "일시", "주문자", "상품", "수량", "상
 def export_rows(orders: DataFrame) -> DataFrame:
     """K8 content: one row per order; item names joined with '/', label (or
     raw status), raw paid-amount text."""
-    items = F.coalesce(F.col("items"), F.array())
-    names = F.array_join(F.transform(items, lambda i: F.coalesce(i.getField("product_name"), F.lit(""))), "/")
-    qty = F.aggregate(items, F.lit(0).cast("bigint"),
-                      lambda s, i: s + lenient_int(falsy_coalesce(i.getField("quantity"), default="1")))
-    label = F.coalesce(F.element_at(_label_map(), F.coalesce(F.col("order_status"), F.lit(""))), F.col("order_status"))
-    return orders.select(
-        "order_id", time_text().alias("order_time"), F.coalesce(F.col("buyer_name"), F.lit("")).alias("buyer"),
-        names.alias("items"), qty.cast("string").alias("quantity"), label.alias("status"),
-        falsy_coalesce("actual_payment_amount", "total_amount_paid", default="0").alias("amount"))
+    return orders.selectExpr(
+        "order_id", f"{TIME_TEXT} AS order_time", "coalesce(buyer_name, '') AS buyer",
+        f"array_join(transform({_ITEMS}, i -> coalesce(i.product_name, '')), '/') AS items",
+        f"CAST({_QTY} AS STRING) AS quantity", f"{label_sql('order_status', None)} AS status",
+        f"{or_sql('actual_payment_amount', 'total_amount_paid', default='0')} AS amount")

@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (
-    effective_sale, falsy_coalesce, js_rate, js_round, last_wins, lenient_double, money, nonempty,
-    strip_commas)
+    effective_sale, falsy_coalesce, ident, js_rate, js_round, last_wins, money, nonempty, or_sql, parse_float_sql)
 
 # ---- fixed values -----------------------------------------------------------------
 COST_SHEET_POSITIONS = {"code": 0, "barcode": 1, "name": 2, "option": 3, "cost": 4, "sell": 5,
@@ -33,19 +32,21 @@ def parse_cost_sheet(rows: DataFrame, cells: list[str]) -> DataFrame:
     commas are stripped before the lenient number parse."""
     p = COST_SHEET_POSITIONS
 
+    def c(k):
+        return ident(cells[p[k]])
+
     def text(k):
-        return F.trim(F.coalesce(F.col(cells[p[k]]).cast("string"), F.lit("")))
+        return f"trim(coalesce(CAST({c(k)} AS STRING), ''))"
 
     def num(k):
-        v = lenient_double(strip_commas(falsy_coalesce(F.col(cells[p[k]]), default="0", kind="cell")))
-        return falsy_coalesce(v, default=0.0, kind="number")
+        v = parse_float_sql(f"regexp_replace(CAST({or_sql(c(k), default='0', kind='cell')} AS STRING), ',', '')")
+        return or_sql(v, default=0.0, kind="number")
 
-    keep = nonempty(F.col(cells[p["code"]]))
-    return rows.where(keep).select(
-        *([F.col("pos")] if "pos" in rows.columns else []),
-        text("code").alias("item_code"), text("barcode").alias("barcode"), text("name").alias("item_name"),
-        text("option").alias("option_name"), num("cost").alias("cost_price"), num("sell").alias("sell_price"),
-        text("category").alias("category"), text("supplier").alias("supplier"))
+    return rows.where(f"{c('code')} IS NOT NULL AND {c('code')} != ''").selectExpr(
+        *(["pos"] if "pos" in rows.columns else []),
+        f"{text('code')} AS item_code", f"{text('barcode')} AS barcode", f"{text('name')} AS item_name",
+        f"{text('option')} AS option_name", f"{num('cost')} AS cost_price", f"{num('sell')} AS sell_price",
+        f"{text('category')} AS category", f"{text('supplier')} AS supplier")
 
 
 COST_JSON_SCHEMA = ("code string, barcode string, name string, option string, cost double, sell double, "
@@ -56,16 +57,16 @@ def cost_items(items: DataFrame) -> DataFrame:
     """Cost list items (JSON fields code, barcode, name, option, cost,
     sell, category, supplier) -> cost list rows with ``||`` defaults."""
     def text(c):
-        return F.coalesce(falsy_coalesce(F.col(c)), F.lit("")).cast("string")
+        return f"CAST({or_sql(c, default='')} AS STRING)"
 
     def num(c):
-        return falsy_coalesce(F.col(c), default=0.0, kind="number").cast("double")
+        return f"CAST({or_sql(c, default=0.0, kind='number')} AS DOUBLE)"
 
-    return items.select(
-        *([F.col("seq")] if "seq" in items.columns else []),
-        text("code").alias("item_code"), text("barcode").alias("barcode"), text("name").alias("item_name"),
-        text("option").alias("option_name"), num("cost").alias("cost_price"), num("sell").alias("sell_price"),
-        text("category").alias("category"), text("supplier").alias("supplier"))
+    return items.selectExpr(
+        *(["seq"] if "seq" in items.columns else []),
+        f"{text('code')} AS item_code", f"{text('barcode')} AS barcode", f"{text('name')} AS item_name",
+        f"{text('option')} AS option_name", f"{num('cost')} AS cost_price", f"{num('sell')} AS sell_price",
+        f"{text('category')} AS category", f"{text('supplier')} AS supplier")
 
 
 def cost_coverage(costs: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.rules import falsy_coalesce, js_round, lenient_double, lenient_int, nonempty
+from ledgerline.functions.rules import (day_sql, js_round_sql, lit_sql, nonempty, or_sql, parse_float_sql,
+                                       parse_int_sql)
 
 # Channel labels and line-id prefixes of the three feeds.
 CHANNEL_A, CHANNEL_B, CHANNEL_C = "A", "B", "C"
@@ -21,27 +22,21 @@ LINE_COLUMNS = ("id", "channel", "order_id", "order_date", "status", "product_na
                 "variant_code", "quantity", "amount", "customer")
 
 
-def _text(*cols, default: str = "") -> Column:
-    return F.coalesce(falsy_coalesce(*cols), F.lit(default)).cast("string")
+def _text(*xs: str, default: str = "") -> str:
+    return f"CAST({or_sql(*xs, default=default)} AS STRING)"
 
 
-def _day(*cols) -> Column:
-    """``(a || b || '').substring(0, 10)`` as a DATE (null when empty)."""
-    t = F.substring(_text(*cols), 1, 10)
-    return F.when(t != "", t).try_cast("date")
-
-
-def _item_qty(item: Column) -> Column:
+def _item_qty(i: str) -> str:
     """``parseInt(item.quantity || 1)``."""
-    return lenient_int(falsy_coalesce(item.getField("quantity"), default="1"))
+    return parse_int_sql(or_sql(f"{i}.quantity", default="1"))
 
 
-def _item_price(item: Column) -> Column:
+def _item_price(i: str) -> str:
     """``parseFloat(item.product_price || 0)``."""
-    return lenient_double(falsy_coalesce(item.getField("product_price"), default="0"))
+    return parse_float_sql(or_sql(f"{i}.product_price", default="0"))
 
 
-def normalize_a(orders: DataFrame, channel: str = CHANNEL_A, ingest_seq: Column | None = None) -> DataFrame:
+def normalize_a(orders: DataFrame, channel: str = CHANNEL_A, ingest_seq: str = "0") -> DataFrame:
     """P1 + P2: channel A order -> lines.
 
     <= 1 item: one line ``A_<order>`` (empty product for 0 items), quantity
@@ -49,61 +44,52 @@ def normalize_a(orders: DataFrame, channel: str = CHANNEL_A, ingest_seq: Column
     > 1 items: one line per item ``A_<order>_<idx>``; the payment is split
     by price x quantity share (equal split when that sum is 0), each share
     rounded with ``Math.round`` (remainder not redistributed).
+
+    ``ingest_seq`` is an SQL expression for the upsert order (greater wins).
     """
-    items = F.coalesce(F.col("items"), F.array())
-    n = F.size(items)
-    pay = lenient_double(falsy_coalesce("payment_amount", "actual_payment_amount", "total_price", default="0"))
-    item_sum = F.aggregate(items, F.lit(0.0), lambda s, i: s + _item_price(i) * _item_qty(i))
-    qty_sum = F.aggregate(items, F.lit(0).cast("bigint"), lambda s, i: s + _item_qty(i))
-    order_id = _text("order_id", "order_no")
-    base = orders.select(
-        order_id.alias("_oid"), _day("order_date", "created_date").alias("order_date"),
-        _text("order_status").alias("status"), _text("buyer_name").alias("customer"),
-        pay.alias("_pay"), item_sum.alias("_isum"), n.alias("_n"), qty_sum.alias("_qsum"),
-        items.alias("_items"), (ingest_seq if ingest_seq is not None else F.lit(0)).alias("ingest_seq"))
-    multi = base.where(F.col("_n") > 1).select("*", F.posexplode("_items").alias("_pos", "_item"))
-    single = base.where(F.col("_n") <= 1).select("*", F.lit(None).cast("int").alias("_pos"),
-                                                  F.get(F.col("_items"), 0).alias("_item"))
-    u = multi.unionByName(single)
-    it = F.col("_item")
-    is_multi = F.col("_n") > 1
-    item_amt = _item_price(it) * _item_qty(it)
-    ratio = F.when(F.col("_isum") > 0, item_amt / F.col("_isum")).otherwise(F.lit(1.0) / F.col("_n"))
-    prefix = ID_PREFIX.get(channel, f"{channel}_")
-    line_id = F.when(is_multi, F.concat(F.lit(prefix), F.col("_oid"), F.lit("_"), F.col("_pos").cast("string"))) \
-        .otherwise(F.concat(F.lit(prefix), F.col("_oid")))
-    out = u.select(
-        line_id.alias("id"), F.lit(channel).alias("channel"), F.col("_oid").alias("order_id"), "order_date", "status",
-        _text(it.getField("product_name")).alias("product_name"),
-        _text(it.getField("product_no")).alias("product_no"),
-        _text(it.getField("custom_variant_code"), it.getField("variant_code")).alias("variant_code"),
-        F.when(is_multi, _item_qty(it)).otherwise(falsy_coalesce(F.col("_qsum"), default=1, kind="number"))
-         .cast("bigint").alias("quantity"),
-        F.when(is_multi, js_round(F.col("_pay") * ratio).cast("double")).otherwise(F.col("_pay")).alias("amount"),
+    items = "coalesce(items, array())"
+    pay = parse_float_sql(or_sql("payment_amount", "actual_payment_amount", "total_price", default="0"))
+    base = orders.selectExpr(
+        f"{_text('order_id', 'order_no')} AS _oid",
+        f"try_cast({day_sql('order_date', 'created_date')} AS DATE) AS order_date",
+        f"{_text('order_status')} AS status", f"{_text('buyer_name')} AS customer",
+        f"{pay} AS _pay",
+        f"aggregate({items}, CAST(0.0 AS DOUBLE), (s, i) -> s + {_item_price('i')} * {_item_qty('i')}) AS _isum",
+        f"aggregate({items}, CAST(0 AS BIGINT), (s, i) -> s + {_item_qty('i')}) AS _qsum",
+        f"size({items}) AS _n", f"{items} AS _items", f"{ingest_seq} AS ingest_seq")
+    multi = base.where("_n > 1").selectExpr("*", "posexplode(_items) AS (_pos, _item)")
+    single = base.where("_n <= 1").selectExpr("*", "CAST(NULL AS INT) AS _pos", "get(_items, 0) AS _item")
+    prefix = lit_sql(ID_PREFIX.get(channel, f"{channel}_"))
+    ratio = "CASE WHEN _isum > 0 THEN ({p} * {q}) / _isum ELSE 1.0 / _n END".format(
+        p=_item_price("_item"), q=_item_qty("_item"))
+    return multi.unionByName(single).selectExpr(
+        f"CASE WHEN _n > 1 THEN concat({prefix}, _oid, '_', CAST(_pos AS STRING)) ELSE concat({prefix}, _oid) END AS id",
+        f"{lit_sql(channel)} AS channel", "_oid AS order_id", "order_date", "status",
+        f"{_text('_item.product_name')} AS product_name", f"{_text('_item.product_no')} AS product_no",
+        f"{_text('_item.custom_variant_code', '_item.variant_code')} AS variant_code",
+        f"CAST(CASE WHEN _n > 1 THEN {_item_qty('_item')} ELSE {or_sql('_qsum', default=1, kind='number')} END "
+        "AS BIGINT) AS quantity",
+        f"CASE WHEN _n > 1 THEN CAST({js_round_sql('_pay * ' + ratio)} AS DOUBLE) ELSE _pay END AS amount",
         "customer", "ingest_seq")
-    return out
 
 
-def normalize_b(orders: DataFrame, channel: str = CHANNEL_B, ingest_seq: Column | None = None) -> DataFrame:
+def normalize_b(orders: DataFrame, channel: str = CHANNEL_B, ingest_seq: str = "0") -> DataFrame:
     """Channel B record -> one line, with field fallbacks."""
     oid = _text("orderId", "shipmentBoxId")
-    return orders.select(
-        F.concat(F.lit(ID_PREFIX.get(channel, f"{channel}_")), oid).alias("id"), F.lit(channel).alias("channel"),
-        oid.alias("order_id"), _day("orderedAt", "createdAt").alias("order_date"), _text("status").alias("status"),
-        _text("vendorItemName").alias("product_name"), _text("vendorItemId").alias("product_no"),
-        F.lit("").alias("variant_code"),
-        lenient_int(falsy_coalesce("shippingCount", default="1")).alias("quantity"),
-        lenient_double(falsy_coalesce("orderPrice", "totalPrice", default="0")).alias("amount"),
-        _text(F.col("receiver").getField("name")).alias("customer"),
-        (ingest_seq if ingest_seq is not None else F.lit(0)).alias("ingest_seq"))
-
-
-def status_rank(tag: Column, statuses) -> Column:
+    return orders.selectExpr(
+        f"concat({lit_sql(ID_PREFIX.get(channel, f'{channel}_'))}, {oid}) AS id", f"{lit_sql(channel)} AS channel",
+        f"{oid} AS order_id", f"try_cast({day_sql('orderedAt', 'createdAt')} AS DATE) AS order_date",
+        f"{_text('status')} AS status", f"{_text('vendorItemName')} AS product_name",
+        f"{_text('vendorItemId')} AS product_no", "'' AS variant_code",
+        f"{parse_int_sql(or_sql('shippingCount', default='1'))} AS quantity",
+        f"{parse_float_sql(or_sql('orderPrice', 'totalPrice', default='0'))} AS amount",
+        f"{_text('receiver.name')} AS customer", f"{ingest_seq} AS ingest_seq")
+
+
+def status_rank_sql(tag: str, statuses) -> str:
     """Position of a channel-C status batch in fetch order (later wins)."""
-    r = F.lit(None).cast("int")
-    for i, s in reversed(list(enumerate(statuses))):
-        r = F.when(tag == s, F.lit(i)).otherwise(r)
-    return r
+    whens = " ".join(f"WHEN {lit_sql(s)} THEN {i}" for i, s in enumerate(statuses))
+    return f"CASE {tag} {whens} END"
 
 
 def normalize_c(orders: DataFrame, statuses, channel: str = CHANNEL_C) -> DataFrame:
@@ -111,16 +97,15 @@ def normalize_c(orders: DataFrame, statuses, channel: str = CHANNEL_C) -> DataFr
     status; ``ingest_seq`` = position of the batch, so the later status
     wins at the upsert."""
     oid = _text("productOrderId", "orderId")
-    return orders.select(
-        F.concat(F.lit(ID_PREFIX.get(channel, f"{channel}_")), oid).alias("id"), F.lit(channel).alias("channel"),
-        oid.alias("order_id"), _day("orderDate", "paymentDate").alias("order_date"),
-        _text("search_status", "productOrderStatus").alias("status"),
-        _text("productName").alias("product_name"), _text("productId").alias("product_no"),
-        F.lit("").alias("variant_code"),
-        lenient_int(falsy_coalesce("quantity", default="1")).alias("quantity"),
-        lenient_double(falsy_coalesce("totalPaymentAmount", "paymentAmount", default="0")).alias("amount"),
-        _text("ordererName").alias("customer"),
-        F.coalesce(status_rank(F.col("search_status"), statuses), F.lit(-1)).alias("ingest_seq"))
+    return orders.selectExpr(
+        f"concat({lit_sql(ID_PREFIX.get(channel, f'{channel}_'))}, {oid}) AS id", f"{lit_sql(channel)} AS channel",
+        f"{oid} AS order_id", f"try_cast({day_sql('orderDate', 'paymentDate')} AS DATE) AS order_date",
+        f"{_text('search_status', 'productOrderStatus')} AS status", f"{_text('productName')} AS product_name",
+        f"{_text('productId')} AS product_no", "'' AS variant_code",
+        f"{parse_int_sql(or_sql('quantity', default='1'))} AS quantity",
+        f"{parse_float_sql(or_sql('totalPaymentAmount', 'paymentAmount', default='0'))} AS amount",
+        f"{_text('ordererName')} AS customer",
+        f"coalesce({status_rank_sql('search_status', statuses)}, -1) AS ingest_seq")
 
 
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -141,12 +126,11 @@ def union_channels(*frames: DataFrame) -> DataFrame:
 def catalogue_stock(products: DataFrame) -> DataFrame:
     """Catalogue -> one row per variant; T/F flags to boolean, defaults
     for missing stock data (``??``: only null is missing)."""
-    v = products.select("product_no", "product_name", "selling", "display", F.explode_outer("variants").alias("v"))
-    inv = F.col("v.inventories")
-    return v.select(
-        "product_no", "product_name", F.col("v.variant_code").alias("variant_code"),
-        falsy_coalesce(F.col("v.option_value"), default="-").alias("option_value"),
-        F.coalesce(inv.getField("quantity"), F.lit(0)).cast("bigint").alias("quantity"),
-        F.coalesce(inv.getField("safety_inventory"), F.lit(0)).cast("bigint").alias("safety_inventory"),
-        F.coalesce(inv.getField("use_inventory"), F.lit("F")).alias("use_inventory"),
-        (F.col("selling") == "T").alias("selling"), (F.col("display") == "T").alias("display"))
+    v = products.selectExpr("product_no", "product_name", "selling", "display", "explode_outer(variants) AS v")
+    return v.selectExpr(
+        "product_no", "product_name", "v.variant_code AS variant_code",
+        f"{or_sql('v.option_value', default='-')} AS option_value",
+        "CAST(coalesce(v.inventories.quantity, 0) AS BIGINT) AS quantity",
+        "CAST(coalesce(v.inventories.safety_inventory, 0) AS BIGINT) AS safety_inventory",
+        "coalesce(v.inventories.use_inventory, 'F') AS use_inventory",
+        "selling = 'T' AS selling", "display = 'T' AS display")

@@ -13,8 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (
-    col_, date_text, effective_sale, falsy_coalesce, lenient_double, lenient_int, nonempty,
-    numbered, search_any)
+    col_, date_text, effective_sale, falsy_coalesce, ident, lit_sql, nonempty, numbered, or_sql,
+    parse_float_sql, parse_int_sql, search_any)
 
 # ---- fixed values ----------------------------------------------------------
 # Stock-sheet header names (S6) and their fields.
@@ -48,24 +48,24 @@ def parse_stock_sheet(sheet: DataFrame) -> DataFrame:
     h = STOCK_SHEET_HEADERS
 
     def cell(k):
-        return F.col(f"`{h[k]}`") if h[k] in sheet.columns else F.lit(None).cast("string")
+        return ident(h[k]) if h[k] in sheet.columns else "CAST(NULL AS STRING)"
 
     def text(k):
-        return F.coalesce(cell(k).cast("string"), F.lit(""))
-
-    out = sheet.select(
-        *([F.col("seq")] if "seq" in sheet.columns else []),
-        F.coalesce(falsy_coalesce(cell("product_code"), cell("barcode"), kind="cell"), F.lit("")).alias("product_code"),
-        text("barcode").alias("barcode"), text("product_name").alias("product_name"),
-        text("option_name").alias("option_name"), text("category").alias("category"),
-        text("supplier").alias("supplier"), text("supplier_option").alias("supplier_option"),
-        F.coalesce(lenient_double(falsy_coalesce(cell("cost_price"), kind="cell")), F.lit(0.0)).alias("cost_price"),
-        F.coalesce(lenient_double(falsy_coalesce(cell("sell_price"), kind="cell")), F.lit(0.0)).alias("sell_price"),
-        F.coalesce(lenient_int(falsy_coalesce(cell("stock_qty"), cell("stock_qty_alt"), kind="cell")),
-                   F.lit(0)).alias("stock_qty"),
-        F.coalesce(lenient_int(falsy_coalesce(cell("defect_qty"), kind="cell")), F.lit(0)).alias("defect_qty"),
-    )
-    return out.where(F.col("product_name") != "")
+        return f"coalesce(CAST({cell(k)} AS STRING), '')"
+
+    def num(fn, *ks, default):
+        return f"coalesce({fn(or_sql(*[cell(k) for k in ks], kind='cell'))}, {default})"
+
+    out = sheet.selectExpr(
+        *(["seq"] if "seq" in sheet.columns else []),
+        f"coalesce({or_sql(cell('product_code'), cell('barcode'), kind='cell')}, '') AS product_code",
+        *[f"{text(k)} AS {k}" for k in ("barcode", "product_name", "option_name", "category", "supplier",
+                                        "supplier_option")],
+        f"{num(parse_float_sql, 'cost_price', default='0.0')} AS cost_price",
+        f"{num(parse_float_sql, 'sell_price', default='0.0')} AS sell_price",
+        f"{num(parse_int_sql, 'stock_qty', 'stock_qty_alt', default='CAST(0 AS BIGINT)')} AS stock_qty",
+        f"{num(parse_int_sql, 'defect_qty', default='CAST(0 AS BIGINT)')} AS defect_qty")
+    return out.where("product_name != ''")
 
 
 # ---- S7/S9: header row located in the first rows ---------------------------
@@ -102,15 +102,15 @@ def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None) ->
     h = header or OPENING_SHEET_HEADERS
 
     def text(k):
-        return F.trim(F.coalesce(F.col(f"`{h[k]}`").cast("string"), F.lit("")))
-
-    items = raw.where(nonempty(F.col(f"`{h['code']}`"))).select(
-        *([F.col("pos")] if "pos" in raw.columns else []),
-        text("code").alias("code"), text("barcode").alias("barcode"), text("name").alias("name"),
-        text("option").alias("option"), text("category").alias("category"),
-        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['cost']}`"), kind="cell")), F.lit(0.0)).alias("cost"),
-        F.coalesce(lenient_double(falsy_coalesce(F.col(f"`{h['price']}`"), kind="cell")), F.lit(0.0)).alias("price"),
-    )
+        return f"trim(coalesce(CAST({ident(h[k])} AS STRING), ''))"
+
+    def num(k):
+        return f"coalesce({parse_float_sql(or_sql(ident(h[k]), kind='cell'))}, 0.0)"
+
+    items = raw.where(f"{ident(h['code'])} IS NOT NULL AND {ident(h['code'])} != ''").selectExpr(
+        *(["pos"] if "pos" in raw.columns else []),
+        *[f"{text(k)} AS {k}" for k in ("code", "barcode", "name", "option", "category")],
+        f"{num('cost')} AS cost", f"{num('price')} AS price")
     return numbered(items, "pos", "no") if "pos" in raw.columns else items
 
 
@@ -149,15 +149,13 @@ def attach_shipped(stock: DataFrame, by_variant: DataFrame, by_name: DataFrame)
 def pick_shipped(window: str) -> Column:
     """Variant total if the row has a supplier option and the total is
     truthy, else the name total if truthy, else 0 (JS ``||`` chain)."""
-    v = F.when(nonempty("supplier_option"), F.col(f"{window}_v"))
-    return falsy_coalesce(v, F.col(f"{window}_n"), default=0, kind="number").cast("bigint")
+    v = f"CASE WHEN supplier_option IS NOT NULL AND supplier_option != '' THEN {window}_v END"
+    return F.expr(f"CAST({or_sql(v, f'{window}_n', default=0, kind='number')} AS BIGINT)")
 
 
 def shipped_source(window: str) -> Column:
-    v = F.col(f"{window}_v")
-    n = F.col(f"{window}_n")
-    return (F.when(nonempty("supplier_option") & v.isNotNull() & (v != 0), F.lit("variant"))
-             .when(n.isNotNull() & (n != 0), F.lit("name")).otherwise(F.lit("zero")))
+    return F.expr(f"CASE WHEN supplier_option IS NOT NULL AND supplier_option != '' AND {window}_v != 0 "
+                  f"THEN 'variant' WHEN {window}_n != 0 THEN 'name' ELSE 'zero' END")
 
 
 def stock_filters(inv: DataFrame, search: str | None = None, supplier: str | None = None,
@@ -407,3 +405,70 @@ def safety_report(variants: DataFrame, band: str | None = None) -> DataFrame:
         out = out.where(F.col("st") == band)
     order = F.when(F.col("st") == "out", 0).when(F.col("st") == "low", 1).otherwise(2)
     return out.orderBy(order, "variant_code")
+
+
+# ---- J6: order items -> stock rows ---------------------------------------------------------------
+
+def sync_items(orders_a: DataFrame, start: str, end: str) -> DataFrame:
+    """Items of channel-A orders dated in ``[start, end]`` whose status does
+    not start with C or R (case-sensitive), reduced to their match inputs:
+    (key, name, option, qty).  key = product code, else variant code, else
+    name; qty = parseInt(quantity || 1)."""
+    day = "substring(coalesce(order_date, ''), 1, 10)"
+    st = "coalesce(order_status, '')"
+    o = orders_a.where(f"{day} BETWEEN {lit_sql(start)} AND {lit_sql(end)} AND NOT {st} LIKE 'C%' "
+                       f"AND NOT {st} LIKE 'R%'")
+    return o.selectExpr("explode(items) AS it").selectExpr(
+        f"{or_sql('it.product_code', 'it.variant_code', 'it.product_name', default='')} AS key",
+        "coalesce(it.product_name, '') AS name", "coalesce(it.option_value, '') AS option",
+        f"{parse_int_sql(or_sql('it.quantity', default='1'))} AS qty")
+
+
+def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
+    """Add item quantities to the stock page's outgoing.
+
+    An item goes to the first row (lowest ``no``) whose barcode or code
+    equals the item key, or whose name equals the item name and whose option
+    contains the item option.  An item without such a row adds its quantity
+    to every row whose name contains the item name.
+
+    Items are pre-aggregated per match input, so the work grows with the
+    distinct inputs, not with order volume.  The "contains" fallback is an
+    exact equi-join: every row name is expanded into its substrings no longer
+    than the longest unmatched item name, and those are joined to the item
+    names -- no nested-loop join and no cap on candidates.
+    """
+    agg = items.groupBy("key", "name", "option").agg(F.sum("qty").alias("qty"))
+    inv = page.select("no", "code", "barcode", F.col("name").alias("inv_name"), F.col("option").alias("inv_option"))
+
+    by_barcode = agg.join(inv.where(F.col("barcode") != ""), agg.key == inv.barcode).select("key", "name", "option", "no")
+    by_code = agg.join(inv.where(F.col("code") != ""), agg.key == inv.code).select("key", "name", "option", "no")
+    by_name = (agg.where((F.col("name") != "") & (F.col("option") != ""))
+                  .join(inv, agg.name == inv.inv_name)
+                  .where(F.col("inv_option").contains(F.col("option")))
+                  .select("key", "name", "option", "no"))
+    first = (by_barcode.unionByName(by_code).unionByName(by_name)
+             .groupBy("key", "name", "option").agg(F.min("no").alias("no")))
+    matched = agg.join(first, ["key", "name", "option"]).groupBy("no").agg(F.sum("qty").alias("add_first"))
+
+    rest = (agg.join(first, ["key", "name", "option"], "left_anti").where(F.col("name") != "")
+               .groupBy("name").agg(F.sum("qty").alias("qty")))
+    # longest unmatched name: a one-row aggregate joined on a constant key
+    # (a hash join against one row, evaluated inside the same plan)
+    longest = rest.agg(F.max(F.length("name")).alias("_max")).withColumn("_k", F.lit(0))
+    n = F.length("inv_name")
+    inv_b = (inv.withColumn("_k", F.lit(0)).join(F.broadcast(longest), "_k")
+                .withColumn("_up", F.least(n, F.coalesce(F.col("_max"), F.lit(0))).cast("int")))
+    lengths = F.when(F.col("_up") >= 1, F.sequence(F.lit(1), F.col("_up"))).otherwise(F.array().cast("array<int>"))
+    subs = inv_b.select("no", F.explode(F.flatten(F.transform(
+        lengths,
+        lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda i: F.substring("inv_name", i, ln))))
+    ).alias("sub")).where(F.col("sub").isNotNull()).distinct()
+    contained = subs.join(rest, subs.sub == rest.name).groupBy("no").agg(F.sum("qty").alias("add_contains"))
+
+    out = (page.join(matched, "no", "left").join(contained, "no", "left")
+               .withColumn("outgoing", F.col("outgoing") + F.coalesce("add_first", F.lit(0))
+                           + F.coalesce("add_contains", F.lit(0)))
+               .withColumn("closing", F.col("opening") - F.col("outgoing"))
+               .drop("add_first", "add_contains"))
+    return out

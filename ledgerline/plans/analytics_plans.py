@@ -22,7 +22,7 @@ CH = ("A", "B", "C")
 # ---- Spark inputs ----------------------------------------------------------------------
 
 def _raw_a(spark, sf):
-    return feeds.parse_json(feeds.feed_a_json(spark, sf), "json", feeds.ORDER_A)
+    return feeds.landed_a(spark, sf)
 
 
 def _order_rows(spark, sf):

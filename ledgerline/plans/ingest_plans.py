@@ -53,7 +53,7 @@ A_VIEWS = [("a_lines", _A_LINES), ("a_orders", _A_ORDERS), ("a_agg", _A_AGG), ("
 
 
 def _a_lines(spark, sf):
-    raw = feeds.parse_json(feeds.feed_a_json(spark, sf), "json", feeds.ORDER_A)
+    raw = feeds.landed_a(spark, sf)
     return nz.normalize_a(raw)
 
 
@@ -74,7 +74,7 @@ WHERE g.n > 1 GROUP BY o.order_id, g.n, o.pay""", A_VIEWS))
 def p02(spark, sf):
     """P2 invariant per multi-item order: the rounded shares add up to the
     payment within n/2."""
-    raw = feeds.parse_json(feeds.feed_a_json(spark, sf), "json", feeds.ORDER_A)
+    raw = feeds.landed_a(spark, sf)
     n = F.size("items")
     pay = F.col("payment_amount")
     orders = raw.where(n > 1).select("order_id", n.cast("bigint").alias("items"),
@@ -157,7 +157,7 @@ FROM part, range(1, 4) r(i) WHERE i <= 1 + p_size % 3"""
 
 
 def _catalogue(spark, sf):
-    return nz.catalogue_stock(feeds.feed_products(spark, sf))
+    return nz.catalogue_stock(feeds.landed_products(spark, sf))
 
 
 @plan("s04_catalogue_stock", oracle=_CAT_SQL)

@@ -150,7 +150,7 @@ def f02(spark, sf):
 SELECT id, channel, order_id, CAST(order_date AS VARCHAR) AS order_date, status, product_name, product_no,
   variant_code, quantity, amount, customer FROM fx_orders"""))
 def k01(spark, sf):
-    o = fx.orders_table(spark, sf)
+    o = fx.upsert_lines(spark, sf)
     return o.withColumn("order_date", F.col("order_date").cast("string"))
 
 
@@ -158,4 +158,4 @@ def k01(spark, sf):
 SELECT product_code, barcode, product_name, option_name, category, supplier, supplier_option, cost_price,
   sell_price, stock_qty, defect_qty, CAST(base_date AS VARCHAR) AS base_date FROM fx_inventory"""))
 def k02(spark, sf):
-    return fx.inventory(spark, sf).withColumn("base_date", F.col("base_date").cast("string"))
+    return fx.replace_stock(spark, sf).drop("seq").withColumn("base_date", F.col("base_date").cast("string"))

@@ -85,16 +85,15 @@ def _status_all(spark, sf):
 
 def _page(spark, sf):
     """Stock page over the stock table: opening = stock, outgoing = period
-    shipped (J2), numbered by code."""
+    shipped (J2), numbered by sheet order (before the order data joins in)."""
     from ledgerline.functions.rules import numbered
-    inv = fx.inventory(spark, sf, keep_seq=True)
+    inv = numbered(fx.inventory(spark, sf, keep_seq=True), "seq", "no")
     st = stock.stock_status_rows(fx.orders_table(spark, sf), inv, STOCK_START, STOCK_END)
     j = inv.join(st.select("product_code", "option_name", "shipped"), ["product_code", "option_name"])
-    page = j.select("seq", F.col("product_code").alias("code"), "barcode", F.col("product_name").alias("name"),
+    return j.select("no", F.col("product_code").alias("code"), "barcode", F.col("product_name").alias("name"),
                     F.col("option_name").alias("option"), "category", F.col("cost_price").alias("cost"),
                     F.col("sell_price").alias("price"), F.col("stock_qty").alias("opening"),
                     F.col("shipped").alias("outgoing"), (F.col("stock_qty") - F.col("shipped")).alias("closing"))
-    return numbered(page, "seq", "no").drop("seq")
 
 
 @plan("j01_daily_snapshot", headline=True, oracle=with_views(["fx_orders", "fx_inventory"],
@@ -349,14 +348,62 @@ def s09(spark, sf):
     return stock.parse_opening_sheet(_opening_raw(spark, sf)).drop("pos")
 
 
-@plan("j07_restore_saved", oracle=with_views(["fx_orders", "fx_inventory", "fx_inventory_rows"], """
-SELECT row_number() OVER (ORDER BY r.seq) AS no, r.product_code AS code, r.product_name AS name,
+RESTORED_SQL = """
+SELECT row_number() OVER (ORDER BY r.seq) AS no, r.product_code AS code, r.barcode, r.product_name AS name,
+  r.option_name AS option,
   CAST(COALESCE(NULLIF(s.opening, 0), 0) AS BIGINT) AS opening, CAST(COALESCE(NULLIF(s.outgoing, 0), 0) AS BIGINT) AS outgoing,
   CAST(COALESCE(NULLIF(s.opening, 0), 0) - COALESCE(NULLIF(s.outgoing, 0), 0) AS BIGINT) AS closing
 FROM fx_inventory_rows r
 LEFT JOIN (SELECT code, opening, outgoing FROM page WHERE opening > 0 OR outgoing > 0) s ON r.product_code = s.code
-WHERE r.seq % 9 <> 0""", PAGE_VIEWS))
-def j07(spark, sf):
+WHERE r.seq % 9 <> 0"""
+RESTORED_VIEWS = PAGE_VIEWS + [("restored", RESTORED_SQL)]
+
+
+def _restored(spark, sf):
     items = stock.parse_opening_sheet(_opening_raw(spark, sf))
     saved = stock.saved_stock(_page(spark, sf))
-    return stock.restore_saved(items, saved).select("no", "code", "name", "opening", "outgoing", "closing")
+    return stock.restore_saved(items, saved)
+
+
+@plan("j07_restore_saved", oracle=with_views(["fx_orders", "fx_inventory", "fx_inventory_rows"], """
+SELECT no, code, name, opening, outgoing, closing FROM restored""", RESTORED_VIEWS))
+def j07(spark, sf):
+    return _restored(spark, sf).select("no", "code", "name", "opening", "outgoing", "closing")
+
+
+def _sync_sql():
+    from ledgerline.plans.ingest_plans import A_VIEWS
+    items = f"""
+SELECT 'P' || l.product_no AS key, l.product_name AS name, 'opt' AS option, l.q AS qty
+FROM a_lines l JOIN a_raw r ON r.order_id = l.order_id
+WHERE r.date BETWEEN '{STOCK_START}' AND '{STOCK_END}' AND r.status NOT LIKE 'C%' AND r.status NOT LIKE 'R%'"""
+    views = A_VIEWS + RESTORED_VIEWS + [
+        ("items", items),
+        ("agg", "SELECT key, name, option, SUM(qty) AS qty FROM items GROUP BY key, name, option"),
+        ("cand", "SELECT a.key, a.name, a.option, p.no FROM agg a JOIN restored p ON (p.barcode <> '' AND p.barcode = a.key) "
+                 "OR (p.code <> '' AND p.code = a.key) OR (a.name <> '' AND a.option <> '' AND p.name = a.name "
+                 "AND strpos(p.option, a.option) > 0)"),
+        ("first_hit", "SELECT key, name, option, MIN(no) AS no FROM cand GROUP BY key, name, option"),
+        ("matched", "SELECT f.no, SUM(a.qty) AS add_first FROM agg a JOIN first_hit f ON a.key = f.key "
+                    "AND a.name = f.name AND a.option = f.option GROUP BY f.no"),
+        ("rest", "SELECT a.name, SUM(a.qty) AS qty FROM agg a LEFT JOIN first_hit f ON a.key = f.key AND a.name = f.name "
+                 "AND a.option = f.option WHERE f.no IS NULL AND a.name <> '' GROUP BY a.name"),
+        ("contained", "SELECT p.no, SUM(r.qty) AS add_contains FROM restored p JOIN rest r ON strpos(p.name, r.name) > 0 "
+                      "GROUP BY p.no"),
+    ]
+    body = """
+SELECT p.no, p.code, p.opening,
+  CAST(p.outgoing + COALESCE(m.add_first, 0) + COALESCE(c.add_contains, 0) AS BIGINT) AS outgoing,
+  CAST(p.opening - (p.outgoing + COALESCE(m.add_first, 0) + COALESCE(c.add_contains, 0)) AS BIGINT) AS closing
+FROM restored p LEFT JOIN matched m ON m.no = p.no LEFT JOIN contained c ON c.no = p.no"""
+    return with_views(["fx_orders", "fx_inventory", "fx_inventory_rows"], body, views)
+
+
+@plan("j06_sync_orders", oracle=_sync_sql())
+def j06(spark, sf):
+    from ledgerline.sources import feeds
+    raw_a = feeds.landed_a(spark, sf)
+    items = stock.sync_items(raw_a, STOCK_START, STOCK_END)
+    out = stock.sync_outgoing(_restored(spark, sf), items)
+    return out.select("no", "code", "opening", F.col("outgoing").cast("bigint").alias("outgoing"),
+                      F.col("closing").cast("bigint").alias("closing"))

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.sources import fixtures as fx
-from ledgerline.sources.tables import read_table
+from ledgerline.sources.fixtures import _memo
+from ledgerline.sources.staging import staged
+from ledgerline.sources.tables import read_table, table_path
 
 S = T.StringType()
 
@@ -116,6 +118,42 @@ def _line_status_tag():
              .when(s.isin("C40", "CANCELED"), "CANCELED").otherwise("RETURNED"))
 
 
+_ORDER_INPUTS = ("lineitem", "orders", "part", "customer")
+
+
+def _inputs(sf_dir, names=_ORDER_INPUTS):
+    return [table_path(sf_dir, t) for t in names]
+
+
+@_memo
+def landed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel A feed as landed JSON-lines files, read with the S1 reader."""
+    return staged(spark, "landing_A", _inputs(sf_dir), lambda: feed_a_json(spark, sf_dir),
+                  read=lambda p: read_orders_a(spark, p), fmt="text")
+
+
+@_memo
+def landed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel B feed as landed JSON files, read with the S2 reader."""
+    return staged(spark, "landing_B", _inputs(sf_dir), lambda: _records_b(spark, sf_dir),
+                  read=lambda p: read_orders_b(spark, p), fmt="json")
+
+
+@_memo
+def landed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel C feed as ``search_status=<STATUS>/`` folders, read with the
+    S3 reader (the folder is the status tag)."""
+    return staged(spark, "landing_C", _inputs(sf_dir), lambda: _records_c(spark, sf_dir),
+                  read=lambda p: read_orders_c(spark, p), fmt="json", partition_by=("search_status",))
+
+
+@_memo
+def landed_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Catalogue as landed JSON files, read with the S4 reader."""
+    return staged(spark, "landing_products", _inputs(sf_dir, ("part",)), lambda: feed_products(spark, sf_dir),
+                  read=lambda p: read_products_a(spark, p), fmt="json")
+
+
 def feed_a_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel A orders as landed JSON text (column ``json``), built from the
     'mall' orders: items from the upserted lines in line order, payments
@@ -154,6 +192,11 @@ def feed_a_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel B records as a reader sees them (staged landing files)."""
+    return landed_b(spark, sf_dir)
+
+
+def _records_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel B records (flat, one per line) from the 'market' lines."""
     lines = fx.orders_table(spark, sf_dir).where(F.col("channel") == "market")
     ln = _line_no()
@@ -168,10 +211,15 @@ def feed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(ln == 6, F.lit("")).otherwise(F.col("amount").cast("string")).alias("orderPrice"),
         F.col("amount").cast("string").alias("totalPrice"),
         F.struct(F.col("customer").alias("name")).alias("receiver"))
-    return land(rec, ORDER_B)
+    return rec
 
 
 def feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Channel C records as a reader sees them (staged landing folders)."""
+    return landed_c(spark, sf_dir)
+
+
+def _records_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel C records (flat, one per line) from the 'store' lines, tagged
     with their status batch; returned lines also appear, earlier, in the
     PAYED batch (a status change between collections)."""
@@ -189,7 +237,7 @@ def feed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("customer").alias("ordererName"), _line_status_tag().alias("search_status"))
     earlier = base.where(F.col("search_status") == "RETURNED").withColumn("search_status", F.lit("PAYED")) \
         .withColumn("productOrderStatus", F.lit("N10"))
-    return land(base.unionByName(earlier), ORDER_C, keep=("search_status",))
+    return base.unionByName(earlier)
 
 
 def feed_products(spark: SparkSession, sf_dir: str) -> DataFrame:

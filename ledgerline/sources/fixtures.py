@@ -11,18 +11,40 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import last_wins
-from ledgerline.sources.tables import read_table
+from ledgerline.sources.staging import staged
+from ledgerline.sources.tables import read_table, table_path
 
 # Fixed values of the fixture model.
 CHANNELS = ("mall", "market", "store")
 STOCK_BASE_DATE = "2001-01-01"
 
 
+_VIEWS: dict[tuple, DataFrame] = {}
+
+
+def _memo(fn):
+    """Reuse the built view per (session, sf_dir, args): the views are pure
+    functions of read-only tables, and reusing the object spares the
+    analyzer from re-resolving the same subtree for every report."""
+    import functools
+
+    @functools.wraps(fn)
+    def wrapper(spark, sf_dir, *args, **kw):
+        key = (fn.__name__, id(spark), sf_dir, args, tuple(sorted(kw.items())))
+        df = _VIEWS.get(key)
+        if df is None:
+            df = fn(spark, sf_dir, *args, **kw)
+            _VIEWS[key] = df
+        return df
+    return wrapper
+
+
 def _channel(key: Column) -> Column:
     k = key % 3
     return F.when(k == 0, "mall").when(k == 1, "market").otherwise("store")
 
 
+@_memo
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_order_lines``: lines as collected, repeats included."""
     li = read_table(spark, sf_dir, "lineitem").select(
@@ -65,12 +87,20 @@ ORDER_COLUMNS = ("id", "channel", "order_id", "order_date", "status", "product_n
                  "product_no", "variant_code", "quantity", "amount", "customer")
 
 
-def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fx_orders``: the order-line table after the upsert (latest per id)."""
+def upsert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_orders`` computed: the latest line per id (the K1 upsert rule)."""
     latest = last_wins(order_lines(spark, sf_dir), ["id"], ["collected_at", "tie1", "tie2", "tie3"])
     return latest.select(*ORDER_COLUMNS)
 
 
+@_memo
+def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_orders``: the stored order-line table (``upsert_lines`` staged)."""
+    inputs = [table_path(sf_dir, t) for t in ("lineitem", "orders", "part", "customer")]
+    return staged(spark, "fx_orders", inputs, lambda: upsert_lines(spark, sf_dir))
+
+
+@_memo
 def inventory_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_inventory_rows``: stock sheet rows in sheet order ``seq``."""
     p = read_table(spark, sf_dir, "part")
@@ -96,13 +126,21 @@ INVENTORY_COLUMNS = ("product_code", "barcode", "product_name", "option_name", "
                      "supplier_option", "cost_price", "sell_price", "stock_qty", "defect_qty", "base_date")
 
 
+def replace_stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_inventory`` computed: the last sheet row per (name, option) (K2)."""
+    return last_wins(inventory_rows(spark, sf_dir), ["product_name", "option_name"], ["seq"]) \
+        .select("seq", *INVENTORY_COLUMNS)
+
+
+@_memo
 def inventory(spark: SparkSession, sf_dir: str, keep_seq: bool = False) -> DataFrame:
-    """``fx_inventory``: the stock table after the keyed replace (K2);
-    ``keep_seq`` keeps the sheet row order of the surviving row."""
-    cols = ("seq",) + INVENTORY_COLUMNS if keep_seq else INVENTORY_COLUMNS
-    return last_wins(inventory_rows(spark, sf_dir), ["product_name", "option_name"], ["seq"]).select(*cols)
+    """``fx_inventory``: the stored stock table; ``keep_seq`` keeps the sheet
+    row order of the surviving row."""
+    df = staged(spark, "fx_inventory", [table_path(sf_dir, "part")], lambda: replace_stock(spark, sf_dir))
+    return df.select(*(("seq",) + INVENTORY_COLUMNS if keep_seq else INVENTORY_COLUMNS))
 
 
+@_memo
 def costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_costs``: cost list with repeated codes, empty barcodes, zero costs."""
     p = read_table(spark, sf_dir, "part")

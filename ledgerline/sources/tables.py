@@ -19,5 +19,15 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+_SCANS: dict[tuple, DataFrame] = {}
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(table_path(sf_dir, name))
+    """The table as a DataFrame; the scan object is reused per session and
+    path, so file listing and footer reads happen once per plan build."""
+    key = (id(spark), table_path(sf_dir, name))
+    df = _SCANS.get(key)
+    if df is None:
+        df = spark.read.parquet(table_path(sf_dir, name))
+        _SCANS[key] = df
+    return df
