@@ -2,6 +2,7 @@
 
 from ledgerline.plans.registry import PLANS, Plan, plan
 from ledgerline.plans import (analytics_plans, ingest_plans, margin_plans, sales_plans,  # noqa: F401
+                              stream_plans,
                               stock_plans)
 
 

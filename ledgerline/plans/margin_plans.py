@@ -162,6 +162,14 @@ _CELLS = [f"c{i}" for i in range(10)]
 
 
 def _cost_sheet_raw(spark, sf):
+    """The uploaded cost sheet (staged rows), header located."""
+    from ledgerline.sources.staging import staged
+    from ledgerline.sources.tables import table_path
+    rows = staged(spark, "sheet_costs", [table_path(sf, "part")], lambda: _cost_sheet_rows(spark, sf))
+    return stock.locate_header(rows, _CELLS, "pos")
+
+
+def _cost_sheet_rows(spark, sf):
     """Cost list as a positional sheet: a title row, a header row (marker in
     column 0), then data rows; costs written with thousands separators."""
     c = fx.costs(spark, sf)
@@ -176,7 +184,7 @@ def _cost_sheet_raw(spark, sf):
                        *[F.lit("cost list" if i == 2 else None).cast("string").alias(x) for i, x in enumerate(_CELLS)])
     header = one.select(F.lit(1).cast("bigint").alias("pos"),
                         *[F.lit(stock.HEADER_MARKER if i == 0 else f"col{i}").alias(x) for i, x in enumerate(_CELLS)])
-    return stock.locate_header(title.unionByName(header).unionByName(data), _CELLS, "pos")
+    return title.unionByName(header).unionByName(data)
 
 
 @plan("s07_cost_sheet", oracle=with_views(["fx_costs"], f"""

@@ -10,6 +10,8 @@ from ledgerline.plans.params import (EFF_SQL, SNAPSHOT_DAY, STOCK_END, STOCK_STA
 from ledgerline.plans.registry import plan
 from ledgerline.sources import fixtures as fx
 from ledgerline.sources.fixtures import with_views
+from ledgerline.sources.staging import staged
+from ledgerline.sources.tables import table_path
 
 DAY = SNAPSHOT_DAY
 SHEET_STOCK_HEADERS = stock.STOCK_SHEET_HEADERS
@@ -316,6 +318,18 @@ def s06(spark, sf):
 
 
 def _opening_raw(spark, sf):
+    """The uploaded opening-stock sheet (staged rows), header located."""
+    rows = staged(spark, "sheet_opening", [table_path(sf, "part")], lambda: _opening_rows(spark, sf))
+    return stock.locate_header(rows, list(OPEN_HEADERS.values()), "pos")
+
+
+def _saved(spark, sf):
+    """The saved stock table (K10 output), as written by the page."""
+    inputs = [table_path(sf, t) for t in ("lineitem", "orders", "part", "customer")]
+    return staged(spark, "saved_stock", inputs, lambda: stock.saved_stock(_page(spark, sf)))
+
+
+def _opening_rows(spark, sf):
     """Opening-stock sheet as raw rows: two title rows, the header row, then
     one row per stock row (every 9th without a code)."""
     h = OPEN_HEADERS
@@ -334,8 +348,7 @@ def _opening_raw(spark, sf):
                        *[F.lit("stock list" if i == 0 else None).cast("string").alias(c) for i, c in enumerate(cells)])
     blank = one.select(F.lit(1).cast("bigint").alias("pos"), *[F.lit(None).cast("string").alias(c) for c in cells])
     header = one.select(F.lit(2).cast("bigint").alias("pos"), *[F.lit(c).alias(c) for c in cells])
-    raw = title.unionByName(blank).unionByName(header).unionByName(data)
-    return stock.locate_header(raw, cells, "pos")
+    return title.unionByName(blank).unionByName(header).unionByName(data)
 
 
 @plan("s09_opening_sheet", oracle=with_views(["fx_inventory_rows"], """
@@ -361,8 +374,7 @@ RESTORED_VIEWS = PAGE_VIEWS + [("restored", RESTORED_SQL)]
 
 def _restored(spark, sf):
     items = stock.parse_opening_sheet(_opening_raw(spark, sf))
-    saved = stock.saved_stock(_page(spark, sf))
-    return stock.restore_saved(items, saved)
+    return stock.restore_saved(items, _saved(spark, sf))
 
 
 @plan("j07_restore_saved", oracle=with_views(["fx_orders", "fx_inventory", "fx_inventory_rows"], """

@@ -11,12 +11,15 @@ readers, so later plans are small and get Parquet pushdown and pruning.
 The location is keyed by the view name, a format version and the inputs'
 paths, sizes and modification times; a stale copy is never reused.  A copy is
 used only when its ``_SUCCESS`` marker exists, so a write interrupted by a
-lost executor or driver is simply redone.
+lost executor or driver is simply redone.  Writers never overwrite a
+published copy: each writes to its own temporary folder and renames it into
+place, so concurrent jobs never read a half-replaced table.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,8 +59,20 @@ def staged(spark: SparkSession, name: str, inputs: Sequence[str], build: Callabl
     key = hashlib.sha1(f"{VERSION}|{name}|{_fingerprint(spark, inputs)}".encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staged/{name}-{key}"
     if not _done(spark, path):
+        tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
         w = build().write.mode("overwrite").format(fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
-        w.save(path)
+        w.save(tmp)
+        fs, target, jvm = _fs(spark, path)
+        src = jvm.org.apache.hadoop.fs.Path(tmp)
+        if _done(spark, path):          # another writer published first
+            fs.delete(src, True)
+        else:
+            if fs.exists(target):       # leftover of an interrupted publish
+                fs.delete(target, True)
+            if not fs.rename(src, target) and not _done(spark, path):
+                raise RuntimeError(f"could not publish staged table {path}")
+            if fs.exists(src):
+                fs.delete(src, True)
     return read(path) if read else spark.read.format(fmt).load(path)
