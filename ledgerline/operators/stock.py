@@ -75,24 +75,25 @@ def locate_header(raw: DataFrame, cells: list[str], pos: str = "pos", file: str
 
     ``raw`` has text cells ``cells`` and an order column ``pos``.  The header
     is the first of the first ``HEADER_SEARCH_ROWS`` rows that contains the
-    marker text in any cell; if none does, the first row.  Computed with
-    per-file aggregates (one row per file) joined back, no global sort.
+    marker text in any cell; if none does, the first row.  ``pos`` is
+    contiguous at the start of a file, so the first rows are those less than
+    ``HEADER_SEARCH_ROWS`` after the file's first position.  One file: two
+    scalar subqueries; many files (``file`` column): per-file aggregates
+    joined back on the file.
     """
-    fkey = [file] if file else []
-    t = raw if file else raw.withColumn("_file", F.lit(""))
-    fkey = fkey or ["_file"]
     has_marker = F.lit(False)
     for c in cells:
         has_marker = has_marker | F.coalesce(F.col(c).cast("string").contains(HEADER_MARKER), F.lit(False))
-    firsts = t.groupBy(*fkey).agg(F.min(pos).alias("_first"))
-    ranked = t.join(firsts, fkey)
-    # ``pos`` is contiguous at the start of a file: the first rows are the
-    # ones less than HEADER_SEARCH_ROWS after the file's first position
-    early = ranked.where(F.col(pos) < F.col("_first") + F.lit(HEADER_SEARCH_ROWS))
-    heads = (early.where(has_marker).groupBy(*fkey).agg(F.min(pos).alias("_hdr")))
-    with_hdr = ranked.join(heads, fkey, "left").withColumn("_hdr", F.coalesce("_hdr", "_first"))
-    out = with_hdr.where(F.col(pos) > F.col("_hdr")).drop("_first", "_hdr")
-    return out if file else out.drop("_file")
+    if file is None:
+        first = raw.select(F.min(pos)).scalar()
+        head = raw.where(has_marker & (F.col(pos) < first + F.lit(HEADER_SEARCH_ROWS))).select(F.min(pos)).scalar()
+        return raw.where(F.col(pos) > F.coalesce(head, first))
+    firsts = raw.groupBy(file).agg(F.min(pos).alias("_first"))
+    ranked = raw.join(firsts, file)
+    heads = (ranked.where(has_marker & (F.col(pos) < F.col("_first") + F.lit(HEADER_SEARCH_ROWS)))
+                   .groupBy(file).agg(F.min(pos).alias("_hdr")))
+    return (ranked.join(heads, file, "left").where(F.col(pos) > F.coalesce("_hdr", "_first"))
+                  .drop("_first", "_hdr"))
 
 
 def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None) -> DataFrame:
@@ -453,12 +454,11 @@ def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
 
     rest = (agg.join(first, ["key", "name", "option"], "left_anti").where(F.col("name") != "")
                .groupBy("name").agg(F.sum("qty").alias("qty")))
-    # longest unmatched name: a one-row aggregate joined on a constant key
-    # (a hash join against one row, evaluated inside the same plan)
-    longest = rest.agg(F.max(F.length("name")).alias("_max")).withColumn("_k", F.lit(0))
+    # longest unmatched name (a scalar subquery), materialised as a column
+    # before the higher-order functions use it
+    longest = rest.select(F.max(F.length("name"))).scalar()
     n = F.length("inv_name")
-    inv_b = (inv.withColumn("_k", F.lit(0)).join(F.broadcast(longest), "_k")
-                .withColumn("_up", F.least(n, F.coalesce(F.col("_max"), F.lit(0))).cast("int")))
+    inv_b = inv.withColumn("_up", F.least(n, F.coalesce(longest, F.lit(0))).cast("int"))
     lengths = F.when(F.col("_up") >= 1, F.sequence(F.lit(1), F.col("_up"))).otherwise(F.array().cast("array<int>"))
     subs = inv_b.select("no", F.explode(F.flatten(F.transform(
         lengths,

@@ -78,3 +78,27 @@ def test_run_history_round_trip(spark, tmp_dir):
     assert [r.batch_id for r in h] == [2, 1]
     assert h[0].channels[0].saved == 2
     assert F  # keep import
+
+
+def test_cost_replace_and_append(spark, tmp_dir):
+    path = f"{tmp_dir}/costs"
+    s = "item_code string, barcode string, item_name string, option_name string, cost_price double, " \
+        "sell_price double, category string, supplier string"
+    a = spark.createDataFrame([("C1", "", "n", "o", 1.0, 2.0, "c", "s")], s)
+    sinks.replace_costs(a, path)
+    sinks.replace_costs(a.union(a), path)
+    assert spark.read.parquet(path).count() == 2          # replace: not 3
+    sinks.append_costs(a, path)
+    assert spark.read.parquet(path).count() == 3          # append keeps repeats
+
+
+def test_rejects_are_quarantined(spark):
+    from ledgerline.operators import normalize as nz
+    from ledgerline.sources import feeds
+    raw = spark.createDataFrame([("o1", "2024-01-01", "5"), (None, "2024-01-01", "5"), ("", "", "")],
+                                "orderId string, orderedAt string, orderPrice string")
+    for f in feeds.ORDER_B.fields:
+        if f.name not in raw.columns:
+            raw = raw.withColumn(f.name, F.lit(None).cast(f.dataType))
+    good, bad = nz.split_rejects(nz.normalize_b(raw))
+    assert [r.order_id for r in good.collect()] == ["o1"] and bad.count() == 2
