@@ -416,6 +416,9 @@ def j06(spark, sf):
     from ledgerline.sources import feeds
     raw_a = feeds.landed_a(spark, sf)
     items = stock.sync_items(raw_a, STOCK_START, STOCK_END)
-    out = stock.sync_outgoing(_restored(spark, sf), items)
+    # the page state after load + restore (J7), as the stored page table
+    inputs = [table_path(sf, t) for t in ("lineitem", "orders", "part", "customer")]
+    page = staged(spark, "stock_page", inputs, lambda: _restored(spark, sf))
+    out = stock.sync_outgoing(page, items)
     return out.select("no", "code", "opening", F.col("outgoing").cast("bigint").alias("outgoing"),
                       F.col("closing").cast("bigint").alias("closing"))
