@@ -124,6 +124,19 @@ def sum_money(c) -> Column:
     return F.sum(money(c)).cast("double")
 
 
+def month_prune(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
+    """Add a filter on the ``order_month`` partition column (yyyymm) implied
+    by an ``order_date`` window, so the scan skips whole folders.  No-op for
+    frames without that column."""
+    if "order_month" not in df.columns:
+        return df
+    if start:
+        df = df.where(F.col("order_month") >= int(start[:4]) * 100 + int(start[5:7]))
+    if end:
+        df = df.where(F.col("order_month") <= int(end[:4]) * 100 + int(end[5:7]))
+    return df
+
+
 def date_text(c) -> Column:
     """Dates leave the engine as 'YYYY-MM-DD' text, like the source system."""
     return col_(c).cast("date").cast("string")

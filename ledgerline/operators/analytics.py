@@ -227,10 +227,13 @@ def hour_histogram(events: DataFrame, ts: str = "ts") -> DataFrame:
 def recent_channel_share(orders: DataFrame, as_of: str, windows=(7, 14, 30)) -> DataFrame:
     """Channel revenue over the last n days (n in ``windows``, as-of day
     included) and its share of the n-day total; one pass, stacked."""
-    from ledgerline.functions.rules import effective_sale
+    import datetime as _dt
+    from ledgerline.functions.rules import effective_sale, month_prune
     d = F.col("order_date")
     end = F.lit(as_of).cast("date")
     longest = max(windows)
+    first_day = (_dt.date.fromisoformat(as_of) - _dt.timedelta(days=longest)).isoformat()
+    orders = month_prune(orders, first_day, as_of)
     base = orders.where(effective_sale("status") & (d > F.date_sub(end, longest)) & (d <= end))
     sums = [F.sum(F.when(d > F.date_sub(end, n), money("amount"))).alias(f"r{n}") for n in windows]
     per = base.groupBy("channel").agg(*sums)

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (
-    effective_sale, falsy_coalesce, ident, js_rate, js_round, last_wins, money, nonempty, or_sql, parse_float_sql)
+    effective_sale, falsy_coalesce, ident, js_rate, js_round, last_wins, money, month_prune, nonempty, or_sql,
+    parse_float_sql)
 
 # ---- fixed values -----------------------------------------------------------------
 COST_SHEET_POSITIONS = {"code": 0, "barcode": 1, "name": 2, "option": 3, "cost": 4, "sell": 5,
@@ -125,7 +126,8 @@ def cost_bridge(inventory: DataFrame, by_code: DataFrame, by_barcode: DataFrame)
 def margin_groups(orders: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
     """Sales per (name, product no, variant) in the period, effective,
     named; the top ``limit`` by revenue (ties by the group key)."""
-    s = orders.where(F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    s = month_prune(orders, start, end).where(
+        F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
                      & (F.col("product_name") != "") & effective_sale("status"))
     g = s.groupBy("product_name", "product_no", "variant_code").agg(
         F.sum("quantity").cast("bigint").alias("total_qty"),

@@ -12,19 +12,22 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions.rules import (date_text, effective_sale, js_round, money, nonempty)
+from ledgerline.functions.rules import (date_text, effective_sale, js_round, money, month_prune, nonempty)
 
 
 # ---- filters (F1, F3) -----------------------------------------------------
 
 def in_period(df: DataFrame, start: str, end: str, col: str = "order_date") -> DataFrame:
-    """inclusive date range (``BETWEEN``)."""
+    """inclusive date range (``BETWEEN``); on the stored table the month
+    partitions outside the range are not read."""
+    df = month_prune(df, start, end) if col == "order_date" else df
     return df.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
 def before_period(df: DataFrame, base: str, start: str, col: str = "order_date") -> DataFrame:
     """half-open ``[base, start)`` -- movement before a period."""
     c = F.col(col)
+    df = month_prune(df, base, start) if col == "order_date" else df
     return df.where((c >= F.lit(base).cast("date")) & (c < F.lit(start).cast("date")))
 
 
@@ -178,5 +181,6 @@ def recent_orders(orders: DataFrame, limit: int = 50, channel: str | None = None
 
 def order_by_id(orders: DataFrame, order_id: str) -> DataFrame:
     """All lines of one order."""
+    cols = [c for c in orders.columns if c != "order_month"]
     return orders.where(F.col("order_id") == order_id) \
-        .select(*[date_text(c).alias(c) if c == "order_date" else F.col(c) for c in orders.columns])
+        .select(*[date_text(c).alias(c) if c == "order_date" else F.col(c) for c in cols])

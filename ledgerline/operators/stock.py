@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (
-    col_, date_text, effective_sale, falsy_coalesce, ident, lit_sql, nonempty, numbered, or_sql,
+    col_, date_text, effective_sale, falsy_coalesce, ident, lit_sql, month_prune, nonempty, numbered, or_sql,
     parse_float_sql, parse_int_sql, search_any)
 
 # ---- fixed values ----------------------------------------------------------
@@ -181,7 +181,7 @@ def daily_snapshot(orders: DataFrame, inventory: DataFrame, day: str, with_sourc
     """J1/K6 content: every stock row with the quantity shipped on ``day``
     (variant match first, then name, else 0) and the expected stock."""
     d = F.lit(day).cast("date")
-    by_v, by_n = shipped_totals(orders, {"day": F.col("order_date") == d})
+    by_v, by_n = shipped_totals(month_prune(orders, day, day), {"day": F.col("order_date") == d})
     j = attach_shipped(inventory, by_v, by_n)
     shipped = pick_shipped("day")
     base = F.coalesce(F.col("stock_qty"), F.lit(0)).cast("bigint")
@@ -197,7 +197,7 @@ def snapshot_shipped_totals(orders: DataFrame, day: str) -> DataFrame:
     """K6 return value ``totalShipped``, split: the sum over the variant map
     and over the name map (their sum double-counts; both are exposed)."""
     d = F.lit(day).cast("date")
-    by_v, by_n = shipped_totals(orders, {"day": F.col("order_date") == d})
+    by_v, by_n = shipped_totals(month_prune(orders, day, day), {"day": F.col("order_date") == d})
     tv = by_v.agg(F.sum("day_v").cast("bigint").alias("shipped_by_variant"))
     tn = by_n.agg(F.sum("day_n").cast("bigint").alias("shipped_by_name"))
     u = (tv.select("shipped_by_variant", F.lit(None).cast("bigint").alias("shipped_by_name"))
@@ -248,7 +248,8 @@ def stock_status_rows(orders: DataFrame, inventory: DataFrame, start: str, end:
     base = F.coalesce(first_base.cast("date"), F.lit(start).cast("date"))
     d = F.col("order_date")
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    by_v, by_n = shipped_totals(orders, {"prev": (d >= base) & (d < s), "per": (d >= s) & (d <= e)})
+    by_v, by_n = shipped_totals(month_prune(orders, None, end),
+                                {"prev": (d >= base) & (d < s), "per": (d >= s) & (d <= e)})
     j = attach_shipped(inv, by_v, by_n)
     upload = F.coalesce(F.col("stock_qty"), F.lit(0)).cast("bigint")
     prev, per = pick_shipped("prev"), pick_shipped("per")

@@ -103,9 +103,14 @@ def upsert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_memo
 def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``fx_orders``: the stored order-line table (``upsert_lines`` staged)."""
+    """``fx_orders``: the stored order-line table (``upsert_lines`` staged),
+    partitioned by ``order_month`` (yyyymm) so date windows prune folders."""
     inputs = [table_path(sf_dir, t) for t in ("lineitem", "orders", "part", "customer")]
-    return staged(spark, "fx_orders", inputs, lambda: upsert_lines(spark, sf_dir))
+
+    def build():
+        o = upsert_lines(spark, sf_dir)
+        return o.withColumn("order_month", (F.year("order_date") * 100 + F.month("order_date")).cast("int"))
+    return staged(spark, "fx_orders_by_month", inputs, build, partition_by=("order_month",))
 
 
 @_memo

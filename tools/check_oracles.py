@@ -56,6 +56,32 @@ def norm(v):
     return str(v)
 
 
+def _cat_spark(t: str) -> str:
+    t = t.lower()
+    if t in ("bigint", "int", "smallint", "tinyint"):
+        return "int"
+    if t in ("double", "float") or t.startswith("decimal"):
+        return "float"
+    if t == "boolean":
+        return "bool"
+    if t.startswith("timestamp"):
+        return "timestamp"
+    return {"string": "str", "date": "date"}.get(t, t)
+
+
+def _cat_duck(t) -> str:
+    t = str(t).upper()
+    if t in ("BIGINT", "INTEGER", "HUGEINT", "SMALLINT", "TINYINT", "UBIGINT", "UINTEGER"):
+        return "int"
+    if t in ("DOUBLE", "FLOAT") or t.startswith("DECIMAL"):
+        return "float"
+    if t == "BOOLEAN":
+        return "bool"
+    if t.startswith("TIMESTAMP"):
+        return "timestamp"
+    return {"VARCHAR": "str", "STRING": "str", "DATE": "date"}.get(t, t.lower())
+
+
 def rows_of(cols, records):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     out = [tuple(norm(r[i]) for i in order) for r in records]
@@ -79,6 +105,11 @@ def compare(spark, con, name, build, sql, sf_dir):
     if sorted(scols) != sorted(dcols):
         res["status"] = f"COLUMNS spark={sorted(scols)} oracle={sorted(dcols)}"
         return res
+    st = {c: _cat_spark(t) for c, t in sdf.dtypes}
+    dt_ = {d[0]: _cat_duck(d[1]) for d in cur.description}
+    diff_types = {c: (st[c], dt_.get(c)) for c in st if st[c] != dt_.get(c)}
+    if diff_types:
+        res["types"] = diff_types
     a = rows_of(scols, [tuple(r) for r in srows])
     b = rows_of(dcols, drows)
     if len(a) != len(b):
