@@ -84,16 +84,25 @@ def _entry() -> Column:
                     F.coalesce(F.col("category"), F.lit("")).alias("category"))
 
 
-def cost_maps(costs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def cost_maps(costs: DataFrame, code_keys: DataFrame | None = None,
+              barcode_keys: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Rows with a positive cost; the last row (greatest ``seq``) per
     non-empty code and per non-empty barcode.  Returns (by_code, by_barcode)
-    with columns (key, entry)."""
+    with columns (key, entry).
+
+    ``code_keys`` / ``barcode_keys`` (one column ``k``) restrict each map to
+    the keys a caller can look up: the cost rows are semi-joined first, so
+    only those rows are shuffled for the de-duplication (a key's winner
+    depends only on that key's rows)."""
     pos = costs.where(F.col("cost_price") > 0).select("seq", "item_code", "barcode", _entry().alias("entry"))
-    by_code = last_wins(pos.where(F.col("item_code") != "").select(F.col("item_code").alias("key"), "seq", "entry"),
-                        ["key"], ["seq"]).select("key", "entry")
-    by_barcode = last_wins(pos.where(F.col("barcode") != "").select(F.col("barcode").alias("key"), "seq", "entry"),
-                           ["key"], ["seq"]).select("key", "entry")
-    return by_code, by_barcode
+
+    def one(col: str, keys: DataFrame | None) -> DataFrame:
+        rows = pos.where(F.col(col) != "").select(F.col(col).alias("key"), "seq", "entry")
+        if keys is not None:
+            rows = rows.join(keys, rows.key == keys.k, "left_semi")
+        return last_wins(rows, ["key"], ["seq"]).select("key", "entry")
+
+    return one("item_code", code_keys), one("barcode", barcode_keys)
 
 
 def _lookup(df: DataFrame, m: DataFrame, on: str, alias: str) -> DataFrame:
@@ -174,16 +183,17 @@ def margin_report(orders: DataFrame, inventory: DataFrame, costs: DataFrame, sta
                   limit: int = 100) -> DataFrame:
     """Top groups, cost cascade, then cost, margin, rate, unit margin."""
     top = margin_groups(orders, start, end, limit)
-    by_code, by_barcode = cost_maps(costs)
-    # keys the top groups can look up: at most 2 * limit values
+    # keys the top groups can look up: at most 2 * limit values (broadcast)
     keys = (top.select(F.col("variant_code").alias("k")).unionByName(top.select(F.col("product_no").alias("k")))
                .where(F.col("k") != "").distinct())
     kb = F.broadcast(keys)
-    by_code_k = by_code.join(kb, by_code.key == kb.k, "left_semi")
-    by_barcode_k = by_barcode.join(kb, by_barcode.key == kb.k, "left_semi")
+    # stock rows that can bridge a top variant, and the barcodes they look up
     inv_k = inventory.join(kb, inventory.supplier_option == kb.k, "left_semi")
+    bkeys = (keys.unionByName(inv_k.select(F.col("barcode").alias("k")))
+                 .unionByName(inv_k.select(F.col("product_code").alias("k"))).distinct())
+    by_code, by_barcode = cost_maps(costs, kb, bkeys)
     bridge = cost_bridge(inv_k, by_code, by_barcode)
-    m = match_costs(top, by_code_k, by_barcode_k, bridge)
+    m = match_costs(top, by_code, by_barcode, bridge)
 
     matched = F.col("match_rule") > 0
     cost = F.when(matched, F.col("_e.cost")).otherwise(F.lit(0.0))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import last_wins
 from ledgerline.sources.staging import staged
-from ledgerline.sources.tables import read_table, table_path
+from ledgerline.sources.tables import read_table, session_key, table_path
 
 # Fixed values of the fixture model.
 CHANNELS = ("mall", "market", "store")
@@ -30,7 +30,7 @@ def _memo(fn):
 
     @functools.wraps(fn)
     def wrapper(spark, sf_dir, *args, **kw):
-        key = (fn.__name__, id(spark), sf_dir, args, tuple(sorted(kw.items())))
+        key = (fn.__name__, session_key(spark), sf_dir, args, tuple(sorted(kw.items())))
         df = _VIEWS.get(key)
         if df is None:
             df = fn(spark, sf_dir, *args, **kw)

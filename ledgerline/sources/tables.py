@@ -22,10 +22,16 @@ def table_path(sf_dir: str, name: str) -> str:
 _SCANS: dict[tuple, DataFrame] = {}
 
 
+def session_key(spark: SparkSession) -> tuple:
+    """Identity of a live session: a new application never reuses cached
+    DataFrames of a stopped one."""
+    return id(spark), spark.sparkContext.applicationId
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table as a DataFrame; the scan object is reused per session and
     path, so file listing and footer reads happen once per plan build."""
-    key = (id(spark), table_path(sf_dir, name))
+    key = (session_key(spark), table_path(sf_dir, name))
     df = _SCANS.get(key)
     if df is None:
         df = spark.read.parquet(table_path(sf_dir, name))
