@@ -10,7 +10,7 @@ readers, so later plans are small and get Parquet pushdown and pruning.
 
 The location is keyed by the view name, a format version and the inputs'
 paths, sizes and modification times; a stale copy is never reused.  A copy is
-used only when its ``_SUCCESS`` marker exists, so a write interrupted by a
+used only when its completion marker exists, so a write interrupted by a
 lost executor or driver is simply redone.  Writers never overwrite a
 published copy: each writes to its own temporary folder and renames it into
 place, so concurrent jobs never read a half-replaced table.
@@ -47,9 +47,12 @@ def _fingerprint(spark: SparkSession, inputs: Sequence[str]) -> str:
     return "|".join(parts)
 
 
+MARKER = "_STAGED"
+
+
 def _done(spark: SparkSession, path: str) -> bool:
     fs, _, jvm = _fs(spark, path)
-    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")))
+    return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}")))
 
 
 def staged(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
@@ -60,12 +63,13 @@ def staged(spark: SparkSession, name: str, inputs: Sequence[str], build: Callabl
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staged/{name}-{key}"
     if not _done(spark, path):
         tmp = f"{path}.tmp-{uuid.uuid4().hex[:12]}"
-        w = build().write.mode("overwrite").format(fmt)
+        w = build().write.mode("overwrite").option("partitionOverwriteMode", "static").format(fmt)
         if partition_by:
             w = w.partitionBy(*partition_by)
         w.save(tmp)
         fs, target, jvm = _fs(spark, path)
         src = jvm.org.apache.hadoop.fs.Path(tmp)
+        fs.create(jvm.org.apache.hadoop.fs.Path(f"{tmp}/{MARKER}"), True).close()   # complete copy
         if _done(spark, path):          # another writer published first
             fs.delete(src, True)
         else:
