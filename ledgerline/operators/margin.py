@@ -181,8 +181,13 @@ REPORT_COLUMNS = ("product_name", "product_no", "variant_code", "matched_inv_nam
 
 def margin_report(orders: DataFrame, inventory: DataFrame, costs: DataFrame, start: str, end: str,
                   limit: int = 100) -> DataFrame:
-    """Top groups, cost cascade, then cost, margin, rate, unit margin."""
-    top = margin_groups(orders, start, end, limit)
+    """Top groups, cost cascade, then cost, margin, rate, unit margin.
+
+    The top groups and the pruned cost maps are small (bounded by ``limit``)
+    and each feeds several lookups; they are checkpointed to the shared
+    checkpoint folder so the lookups read them instead of re-deriving them
+    (and the plan does not repeat their lineage)."""
+    top = margin_groups(orders, start, end, limit).checkpoint()
     # keys the top groups can look up: at most 2 * limit values (broadcast)
     keys = (top.select(F.col("variant_code").alias("k")).unionByName(top.select(F.col("product_no").alias("k")))
                .where(F.col("k") != "").distinct())
@@ -191,7 +196,7 @@ def margin_report(orders: DataFrame, inventory: DataFrame, costs: DataFrame, sta
     inv_k = inventory.join(kb, inventory.supplier_option == kb.k, "left_semi")
     bkeys = (keys.unionByName(inv_k.select(F.col("barcode").alias("k")))
                  .unionByName(inv_k.select(F.col("product_code").alias("k"))).distinct())
-    by_code, by_barcode = cost_maps(costs, kb, bkeys)
+    by_code, by_barcode = (m.checkpoint() for m in cost_maps(costs, kb, bkeys))
     bridge = cost_bridge(inv_k, by_code, by_barcode)
     m = match_costs(top, by_code, by_barcode, bridge)
 
