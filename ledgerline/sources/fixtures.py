@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import last_wins
 from ledgerline.sources.staging import staged
-from ledgerline.sources.tables import read_table, session_key, table_path
+from ledgerline.sources.tables import read_table, session_key, spread, table_path
 
 # Fixed values of the fixture model.
 CHANNELS = ("mall", "market", "store")
@@ -48,9 +48,9 @@ def _channel(key: Column) -> Column:
 def order_lines(spark: SparkSession, sf_dir: str, keys: bool = False) -> DataFrame:
     """``fx_order_lines``: lines as collected, repeats included.  ``keys``
     adds the numeric line key (``_ok``, ``_ln``) the string id is built from."""
-    li = read_table(spark, sf_dir, "lineitem").select(
+    li = spread(read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_returnflag", "l_shipdate")
+        "l_extendedprice", "l_returnflag", "l_shipdate"))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
