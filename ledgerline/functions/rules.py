@@ -49,10 +49,6 @@ def js_round(x) -> Column:
     return F.floor(col_(x) + F.lit(0.5)).cast("bigint")
 
 
-def js_round1(x) -> Column:
-    """``Math.round(x * 10) / 10`` -- one decimal, JS rounding, DOUBLE."""
-    return (F.floor(col_(x) * F.lit(10.0) + F.lit(0.5)) / F.lit(10.0)).cast("double")
-
 
 def js_rate(num, den) -> Column:
     """``Math.round(num / den * 1000) / 10``: a percentage to one decimal,
@@ -94,10 +90,6 @@ def nonempty(c) -> Column:
     return c.isNotNull() & (c != F.lit(""))
 
 
-def empty_to_null(c) -> Column:
-    c = col_(c)
-    return F.when(c != F.lit(""), c)
-
 
 def lenient_double(c) -> Column:
     """``parseFloat``: leading numeric prefix of a string, else null."""
@@ -111,18 +103,11 @@ def lenient_int(c) -> Column:
     return F.when(txt != F.lit(""), txt).try_cast("bigint")
 
 
-def strip_commas(c) -> Column:
-    return F.regexp_replace(col_(c).cast("string"), ",", "")
-
 
 def money(c) -> Column:
     return col_(c).cast(MONEY)
 
 
-def sum_money(c) -> Column:
-    """Exact money sum (decimal) returned as DOUBLE; independent of order."""
-    return F.sum(money(c)).cast("double")
-
 
 def month_prune(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Add a filter on the ``order_month`` partition column (yyyymm) implied

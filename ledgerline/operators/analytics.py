@@ -17,15 +17,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (day_sql, falsy_coalesce, js_rate, js_round, lit_sql, money, or_sql,
                                        parse_float_sql, parse_int_sql)
 
-ORDER_ROW = ("channel", "date", "amount", "valid")
-PRODUCT_ROW = ("channel", "key", "name", "quantity", "revenue", "date")
-
 
 # ---- per-channel reduction ------------------------------------------------------
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import (
-    col_, date_text, effective_sale, falsy_coalesce, ident, lit_sql, month_prune, nonempty, numbered, or_sql,
+    col_, date_text, effective_sale, falsy_coalesce, ident, lit_sql, month_prune, numbered, or_sql,
     parse_float_sql, parse_int_sql, search_any)
 
 # ---- fixed values ----------------------------------------------------------
@@ -405,7 +405,8 @@ def safety_report(variants: DataFrame, band: str | None = None) -> DataFrame:
     out = variants.withColumn("st", safety_band()).withColumn("availability", availability_pct())
     if band and band != "all":
         out = out.where(F.col("st") == band)
-    order = F.when(F.col("st") == "out", 0).when(F.col("st") == "low", 1).otherwise(2)
+    order = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in SAFETY_ORDER.items() for x in kv]),
+                                    F.col("st")), F.lit(len(SAFETY_ORDER)))
     return out.orderBy(order, "variant_code")
 
 

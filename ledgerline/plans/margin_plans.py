@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerline.operators import margin, stock
-from ledgerline.plans.params import (SALES_END, SALES_START, SALES_WHERE, js_rate_sql, js_round_sql,
-                                     money_sum_sql)
+from ledgerline.plans.params import SALES_END, SALES_START, SALES_WHERE, js_rate_sql, js_round_sql
 from ledgerline.plans.registry import plan
 from ledgerline.sources import fixtures as fx
 from ledgerline.sources.fixtures import with_views
@@ -44,9 +43,6 @@ _RULE = ("CASE WHEN t.variant_code <> '' AND m1.k IS NOT NULL THEN 1 WHEN t.vari
          "THEN 4 WHEN t.product_no <> '' AND m5.k IS NOT NULL THEN 5 ELSE 0 END")
 
 
-def _pick(field):
-    return "CASE rule " + " ".join(f"WHEN {i} THEN m{i}.{field}" for i in range(1, 6)) + " END"
-
 
 _M = (f"SELECT t.*, {_RULE} AS rule, " + ", ".join(f"m1.{f} AS m1_{f}, m2.{f} AS m2_{f}, m3.{f} AS m3_{f}, "
                                                    f"m4.{f} AS m4_{f}, m5.{f} AS m5_{f}" for f in FIELDS)

@@ -23,9 +23,6 @@ def js_round_sql(expr: str) -> str:
     return f"CAST(floor(({expr}) + 0.5) AS BIGINT)"
 
 
-def js_round1_sql(expr: str) -> str:
-    return f"CAST(floor(({expr}) * 10.0 + 0.5) / 10.0 AS DOUBLE)"
-
 
 def js_rate_sql(num: str, den: str) -> str:
     return f"CAST(floor(CAST({num} AS DOUBLE) / CAST({den} AS DOUBLE) * 1000.0 + 0.5) / 10.0 AS DOUBLE)"

@@ -102,3 +102,12 @@ def test_rejects_are_quarantined(spark):
             raw = raw.withColumn(f.name, F.lit(None).cast(f.dataType))
     good, bad = nz.split_rejects(nz.normalize_b(raw))
     assert [r.order_id for r in good.collect()] == ["o1"] and bad.count() == 2
+
+
+def test_snapshot_rebuild_replaces_one_date(spark, tmp_dir):
+    path = f"{tmp_dir}/snap"
+    s = "date string, product_code string, shipped bigint"
+    sinks.write_snapshot(spark.createDataFrame([("2024-01-01", "P1", 1), ("2024-01-02", "P1", 2)], s), path)
+    sinks.write_snapshot(spark.createDataFrame([("2024-01-02", "P2", 5)], s), path)
+    got = sorted((str(r.snapshot_date), r.product_code, r.shipped) for r in spark.read.parquet(path).collect())
+    assert got == [("2024-01-01", "P1", 1), ("2024-01-02", "P2", 5)]
