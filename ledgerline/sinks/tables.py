@@ -67,8 +67,9 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
     current = read_table(spark, path)
     if current is None:
         staged = _stage(merged, "orders-new", [ORDER_PARTITION])
+        months = sorted(r[0] for r in staged.select(ORDER_PARTITION).distinct().collect())  # one per month
         _publish(staged, path, [ORDER_PARTITION])
-        return {"batch_rows": batch.count(), "rows_written": staged.count()}
+        return {"batch_rows": batch.count(), "rows_written": staged.count(), "months": months}
     ids = merged.select("id")
     moved = current.select("id", ORDER_PARTITION).join(ids, "id", "left_semi").select(ORDER_PARTITION)
     months = merged.select(ORDER_PARTITION).union(moved).distinct()
@@ -84,7 +85,7 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for m in sorted(touched - kept):
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{ORDER_PARTITION}={m}"), True)
-    return {"batch_rows": batch.count(), "rows_written": staged.count()}
+    return {"batch_rows": batch.count(), "rows_written": staged.count(), "months": sorted(touched)}
 
 
 # ---- K2 / K3 / K4: stock and cost tables --------------------------------------------------
@@ -117,6 +118,27 @@ def refresh_daily_summary(summary: DataFrame, path: str) -> None:
     _publish(summary, path, ["channel"])
 
 
+def refresh_summary_months(spark: SparkSession, orders_path: str, summary_path: str, channel: str,
+                           months: Sequence[str]) -> None:
+    """K5 for a stream: recompute the daily summary of one channel only for
+    the months an upsert touched (the order table is read with partition
+    pruning), and swap those (channel, month) partitions; a month left
+    without orders loses its summary partition."""
+    from ledgerline.operators.sales import daily_summary
+    if not months:
+        return
+    orders = spark.read.parquet(orders_path).where(
+        (F.col("channel") == channel) & F.col(ORDER_PARTITION).isin(list(months)))
+    summ = daily_summary(orders, channel).withColumn(ORDER_PARTITION, F.substring("date", 1, 7))
+    staged = _stage(summ, "summary", ["channel", ORDER_PARTITION])
+    kept = {r[0] for r in staged.select(ORDER_PARTITION).distinct().collect()}   # one per month
+    _publish(staged, summary_path, ["channel", ORDER_PARTITION])
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(summary_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for m in sorted(set(months) - kept):
+        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{summary_path}/channel={channel}/{ORDER_PARTITION}={m}"), True)
+
+
 def write_snapshot(snapshot: DataFrame, path: str) -> None:
     """K6: replace the snapshot of the dates present (delete + rebuild)."""
     _publish(snapshot.withColumnRenamed("date", "snapshot_date"), path, ["snapshot_date"])

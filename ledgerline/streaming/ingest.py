@@ -2,8 +2,9 @@
 
 * T1 -- continuous order ingest: a file-source stream over the channel-A
   landing folder; each micro-batch is normalised (P1/P2), upserted into the
-  order table (K1), the channel's daily summary is refreshed (K5) and a run
-  record is appended (K7/T4).  The upsert is idempotent, so a batch replayed
+  order table (K1), the channel's daily summary is recomputed for the months
+  the batch touched (K5; cancellations lower the sums, which an append-mode
+  aggregate could not retract) and a run record is appended (K7/T4).  The upsert is idempotent, so a batch replayed
   after a failure leaves the same table.
 * T2 -- sales per hour over the last day: tumbling day windows and sliding
   one-day windows every hour on the event stream, with a watermark.
@@ -25,7 +26,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ledgerline.operators import normalize as nz
-from ledgerline.operators import sales
 from ledgerline.sinks import tables as sinks
 from ledgerline.sources import feeds
 
@@ -49,9 +49,8 @@ def ingest_batch(spark: SparkSession, raw: DataFrame, batch_id: int, table: str,
     status, error, counts = "success", "", {"batch_rows": 0, "rows_written": 0}
     try:
         counts = sinks.upsert_orders(spark, table, lines)
-        if summary:
-            orders = spark.read.parquet(table).where(F.col("channel") == channel)
-            sinks.refresh_daily_summary(sales.daily_summary(orders, channel), summary)
+        if summary:      # only the (channel, month) partitions this batch touched
+            sinks.refresh_summary_months(spark, table, summary, channel, counts.get("months", []))
     except Exception as e:  # a failed channel is recorded, the run goes on
         status, error = "failed", str(e)[:500]
     rec = {"batch_rows": counts["batch_rows"], "rows_written": counts["rows_written"],
