@@ -52,29 +52,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
 ORDER_PARTITION = "order_month"
 
 
-def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",)) -> dict:
+def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",),
+                  replace_by_order: bool = False) -> dict:
     """K1: replace order lines by ``id``, last write wins.
 
     A batch row always replaces the stored row with the same id; inside the
     batch the greatest ``order`` tuple wins.  The table is partitioned by
     ``order_month``; only months that receive a batch row, or that hold a
     stored row of a batch id (a line whose date moved), are rewritten, and a
-    month left without rows is removed.  Returns the batch row count and the
-    rows written.
+    month left without rows is removed.
+
+    ``replace_by_order``: the source keeps the old single-line id when an
+    order grows from one item to several; with this option every stored line
+    of a (channel, order) present in the batch is replaced instead.
+
+    Returns the batch row count, the surviving batch lines, the rows written
+    and the touched months.
     """
     b = batch.withColumn(ORDER_PARTITION, F.date_format("order_date", "yyyy-MM"))
     merged = last_wins(b, ["id"], list(order))
+    key = ["channel", "order_id"] if replace_by_order else ["id"]
     current = read_table(spark, path)
     if current is None:
         staged = _stage(merged, "orders-new", [ORDER_PARTITION])
         months = sorted(r[0] for r in staged.select(ORDER_PARTITION).distinct().collect())  # one per month
         _publish(staged, path, [ORDER_PARTITION])
-        return {"batch_rows": batch.count(), "rows_written": staged.count(), "months": months}
-    ids = merged.select("id")
-    moved = current.select("id", ORDER_PARTITION).join(ids, "id", "left_semi").select(ORDER_PARTITION)
+        return {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": staged.count(),
+                "months": months}
+    ids = merged.select(*key).distinct()
+    moved = current.select(*key, ORDER_PARTITION).join(ids, key, "left_semi").select(ORDER_PARTITION)
     months = merged.select(ORDER_PARTITION).union(moved).distinct()
     # one row per month: a bounded broadcast
-    keep = current.join(F.broadcast(months), ORDER_PARTITION, "left_semi").join(ids, "id", "left_anti")
+    keep = current.join(F.broadcast(months), ORDER_PARTITION, "left_semi").join(ids, key, "left_anti")
     staged = _stage(keep.unionByName(merged, allowMissingColumns=True), "orders-upsert", [ORDER_PARTITION])
     # months whose rows all moved away lose their partition folder; both
     # lists hold at most one value per month, so they are read on the driver
@@ -85,7 +94,8 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
     fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for m in sorted(touched - kept):
         fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{ORDER_PARTITION}={m}"), True)
-    return {"batch_rows": batch.count(), "rows_written": staged.count(), "months": sorted(touched)}
+    return {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": staged.count(),
+            "months": sorted(touched)}
 
 
 # ---- K2 / K3 / K4: stock and cost tables --------------------------------------------------

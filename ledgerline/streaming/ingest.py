@@ -42,10 +42,15 @@ RUN_COLUMNS = T.StructType([
 
 
 def ingest_batch(spark: SparkSession, raw: DataFrame, batch_id: int, table: str, summary: str | None,
-                 history: str | None, channel: str = nz.CHANNEL_A, source: str = "orders-A") -> dict:
-    """One micro-batch of T1: normalise, upsert, refresh summary, record."""
+                 history: str | None, channel: str = nz.CHANNEL_A, source: str = "orders-A",
+                 rejects_path: str | None = None) -> dict:
+    """One micro-batch of T1: normalise, upsert, refresh summary, record.
+    Records without an order id are appended to ``rejects_path`` (with the
+    batch id) instead of being dropped silently."""
     t0 = time.time()
     lines, rejects = nz.split_rejects(nz.normalize_a(raw, channel, ingest_seq=str(int(batch_id))))
+    if rejects_path:
+        rejects.withColumn("batch_id", F.lit(int(batch_id))).write.mode("append").parquet(rejects_path)
     status, error, counts = "success", "", {"batch_rows": 0, "rows_written": 0}
     try:
         counts = sinks.upsert_orders(spark, table, lines)

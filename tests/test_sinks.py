@@ -111,3 +111,17 @@ def test_snapshot_rebuild_replaces_one_date(spark, tmp_dir):
     sinks.write_snapshot(spark.createDataFrame([("2024-01-02", "P2", 5)], s), path)
     got = sorted((str(r.snapshot_date), r.product_code, r.shipped) for r in spark.read.parquet(path).collect())
     assert got == [("2024-01-01", "P1", 1), ("2024-01-02", "P2", 5)]
+
+
+def test_upsert_replace_by_order_drops_old_single_line_id(spark, tmp_dir):
+    d = dt.date(2024, 1, 5)
+    path = f"{tmp_dir}/orders"
+    sinks.upsert_orders(spark, path, _lines(spark, [("A_7", "A", "7", d, "N10", "p", "1", "", 1, 10.0, "c", 0)]))
+    grown = _lines(spark, [("A_7_0", "A", "7", d, "N10", "p", "1", "", 1, 5.0, "c", 1),
+                           ("A_7_1", "A", "7", d, "N10", "q", "2", "", 1, 5.0, "c", 1)])
+    default_path = f"{tmp_dir}/orders_default"
+    sinks.upsert_orders(spark, default_path, _lines(spark, [("A_7", "A", "7", d, "N10", "p", "1", "", 1, 10.0, "c", 0)]))
+    sinks.upsert_orders(spark, default_path, grown)
+    assert sorted(r.id for r in spark.read.parquet(default_path).collect()) == ["A_7", "A_7_0", "A_7_1"]
+    sinks.upsert_orders(spark, path, grown, replace_by_order=True)
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["A_7_0", "A_7_1"]
