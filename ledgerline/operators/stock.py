@@ -437,9 +437,9 @@ def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
 
     Items are pre-aggregated per match input, so the work grows with the
     distinct inputs, not with order volume.  The "contains" fallback is an
-    exact equi-join: every row name is expanded into its substrings no longer
-    than the longest unmatched item name, and those are joined to the item
-    names -- no nested-loop join and no cap on candidates.
+    exact equi-join: every row name is expanded into its substrings whose
+    lengths occur among the unmatched item names, and those are joined to
+    the item names -- no nested-loop join and no cap on candidates.
     """
     agg = items.groupBy("key", "name", "option").agg(F.sum("qty").alias("qty"))
     inv = page.select("no", "code", "barcode", F.col("name").alias("inv_name"), F.col("option").alias("inv_option"))
@@ -456,12 +456,13 @@ def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
 
     rest = (agg.join(first, ["key", "name", "option"], "left_anti").where(F.col("name") != "")
                .groupBy("name").agg(F.sum("qty").alias("qty")))
-    # longest unmatched name (a scalar subquery), materialised as a column
-    # before the higher-order functions use it
-    longest = rest.select(F.max(F.length("name"))).scalar()
+    # the distinct lengths of the unmatched names (a scalar subquery: at most
+    # the longest name length values), materialised as a column before the
+    # higher-order functions use it
+    lens = rest.select(F.array_sort(F.collect_set(F.length("name")))).scalar()
     n = F.length("inv_name")
-    inv_b = inv.withColumn("_up", F.least(n, F.coalesce(longest, F.lit(0))).cast("int"))
-    lengths = F.when(F.col("_up") >= 1, F.sequence(F.lit(1), F.col("_up"))).otherwise(F.array().cast("array<int>"))
+    inv_b = inv.withColumn("_lens", F.coalesce(lens, F.array().cast("array<int>")))
+    lengths = F.filter(F.col("_lens"), lambda ln: (ln >= 1) & (ln <= n))
     subs = inv_b.select("no", F.explode(F.flatten(F.transform(
         lengths,
         lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda i: F.substring("inv_name", i, ln))))
