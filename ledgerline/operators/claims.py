@@ -19,6 +19,9 @@ STATUS_LABELS = {
 MORE_ITEMS_PREFIX, MORE_ITEMS_SUFFIX = " 외 ", "건"
 NAME_CUT, CLAIM_NAMES_CUT = 25, 30
 ELLIPSIS = "..."
+# Order export header (K8).
+EXPORT_HEADER = ("주문번호", "일시", "주문자", "상품", "수량", "상태", "결제금액")
+
 
 def label_sql(status: str = "order_status", fallback: str | None = "?") -> str:
     """P10 as SQL: stage label of a status code.  Unknown codes keep their
@@ -133,9 +136,6 @@ def order_kpis(orders: DataFrame) -> DataFrame:
 
 # ---- K8: export rows ------------------------------------------------------------------------
 
-EXPORT_HEADER = ("주문번호", "일시", "주문자", "상품", "수량", "상태", "결제금액")
-
-
 def export_rows(orders: DataFrame) -> DataFrame:
     """K8 content: one row per order; item names joined with '/', label (or
     raw status), raw paid-amount text."""
