@@ -125,3 +125,14 @@ def test_upsert_replace_by_order_drops_old_single_line_id(spark, tmp_dir):
     assert sorted(r.id for r in spark.read.parquet(default_path).collect()) == ["A_7", "A_7_0", "A_7_1"]
     sinks.upsert_orders(spark, path, grown, replace_by_order=True)
     assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["A_7_0", "A_7_1"]
+
+
+def test_order_export_end_to_end(spark, tmp_dir):
+    from ledgerline.operators import claims
+    from ledgerline.sources import feeds
+    from conftest import SF_SMALL
+    rows = claims.export_rows(feeds.landed_a(spark, SF_SMALL))
+    sinks.export_csv(rows, f"{tmp_dir}/k8", claims.EXPORT_HEADER)
+    back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_dir}/k8")
+    assert back.columns == list(claims.EXPORT_HEADER)
+    assert back.count() == rows.count()
