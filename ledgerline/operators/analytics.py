@@ -119,7 +119,7 @@ def channel_top_products(product_rows: DataFrame, k: int = 20) -> DataFrame:
         F.sum("quantity").cast("bigint").alias("quantity"),
         F.sum(money("revenue")).cast("double").alias("revenue"))
     w = Window.partitionBy("channel").orderBy(F.col("revenue").desc(), F.col("key"))
-    return agg.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return agg.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 # ---- integrated analytics (G17) ---------------------------------------------------------
