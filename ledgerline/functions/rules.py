@@ -144,17 +144,19 @@ def search_any(cols: Sequence, needle: str | None) -> Column:
 def last_wins(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Keep one row per key: the one with the greatest ``order`` tuple.
 
-    Expressed as ``max_by(payload, ordering)`` per key so the plan is a
-    partial aggregate before the shuffle: a key with millions of copies is
-    reduced to one row per map task instead of landing whole in one task.
-    The payload is appended to the ordering, so full ties on ``order`` are
-    still resolved the same way on every run (safe under task retries).
+    ``row_number() = 1`` over the key ordered by ``order`` descending: Spark
+    plans it with a partial ``WindowGroupLimit`` before the shuffle, so a key
+    with millions of copies is cut to one row per map task instead of
+    landing whole in one task.  The remaining columns extend the ordering,
+    so full ties on ``order`` resolve the same way on every run (safe under
+    task retries).  Nulls sort lowest, as in a ``max``.
     """
+    from pyspark.sql import Window
     payload = [c for c in df.columns if c not in keys and c not in order]
-    cols = ", ".join(ident(c) for c in list(order) + payload)
-    ordering = ", ".join(ident(c) for c in list(order) + payload)
-    return (df.groupBy(*keys).agg(F.expr(f"max_by(struct({cols}), struct({ordering}))").alias("_w"))
-              .selectExpr(*[ident(k) for k in keys], "_w.*"))
+    w = Window.partitionBy(*[F.col(ident(k)) for k in keys]).orderBy(
+        *[F.col(ident(c)).desc_nulls_last() for c in list(order) + payload])
+    return (df.withColumn("_lw_rn", F.row_number().over(w)).where(F.col("_lw_rn") == 1)
+              .select(*[F.col(ident(k)) for k in keys], *[F.col(ident(c)) for c in list(order) + payload]))
 
 
 def numbered(df: DataFrame, order: str, name: str = "row_no", buckets: int | None = None) -> DataFrame:
