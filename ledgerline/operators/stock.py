@@ -240,15 +240,24 @@ STATUS_COLUMNS = ("product_code", "product_name", "option_name", "supplier", "ca
                   "shipped", "expected_stock")
 
 
+def stock_base_date(inv: DataFrame, start: str) -> str:
+    """Base date of the first stock row in stock order (greatest stock, then
+    code), else ``start``.  One value, read on the driver so that the order
+    scan can be bounded by it."""
+    row = inv.select(F.max_by(F.col("base_date"), F.struct("stock_qty", "product_code")).cast("string")).first()
+    return row[0] if row and row[0] else start
+
+
 def stock_status_rows(orders: DataFrame, inventory: DataFrame, start: str, end: str,
                        search=None, supplier=None, category=None) -> DataFrame:
     inv = stock_filters(inventory, search, supplier, category)
-    # base date of the first row in stock order (max stock), else the start
-    first_base = inv.select(F.max_by(F.col("base_date"), F.struct("stock_qty", "product_code")).alias("b")).scalar()
-    base = F.coalesce(first_base.cast("date"), F.lit(start).cast("date"))
+    base_day = stock_base_date(inv, start)
+    base = F.lit(base_day).cast("date")
     d = F.col("order_date")
     s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
-    by_v, by_n = shipped_totals(month_prune(orders, None, end),
+    # the base date is a literal, so only the months from it to the period
+    # end are read (partition pruning) instead of the whole order history
+    by_v, by_n = shipped_totals(month_prune(orders, min(base_day, start), end),
                                 {"prev": (d >= base) & (d < s), "per": (d >= s) & (d <= e)})
     j = attach_shipped(inv, by_v, by_n)
     upload = F.coalesce(F.col("stock_qty"), F.lit(0)).cast("bigint")
@@ -278,10 +287,9 @@ def stock_status_summary(orders: DataFrame, inventory: DataFrame, start: str, en
     """J2 summary over all filtered rows (before shipped-only / limit)."""
     rows = stock_status_rows(orders, inventory, start, end, search, supplier, category)
     inv = stock_filters(inventory, search, supplier, category)
-    first_base = inv.select(F.max_by(F.col("base_date"), F.struct("stock_qty", "product_code")).alias("b")).scalar()
     return rows.agg(
         F.lit(start).alias("start_date"), F.lit(end).alias("end_date"),
-        date_text(F.coalesce(first_base.cast("date"), F.lit(start).cast("date"))).alias("base_date"),
+        F.lit(stock_base_date(inv, start)).alias("base_date"),
         F.count(F.lit(1)).alias("total_products"),
         F.coalesce(F.sum("base_stock"), F.lit(0)).cast("bigint").alias("total_base_stock"),
         F.coalesce(F.sum("shipped"), F.lit(0)).cast("bigint").alias("total_shipped"),

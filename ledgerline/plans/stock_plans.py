@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerline.functions.rules import month_prune
 from ledgerline.operators import stock
 from ledgerline.plans.params import (EFF_SQL, SNAPSHOT_DAY, STOCK_END, STOCK_START)
 from ledgerline.plans.registry import plan
@@ -228,8 +229,10 @@ SELECT 'variant' AS kind, variant_code AS key, prev_v AS prev_qty, per_v AS peri
 UNION ALL SELECT 'name', nk, prev_n, per_n FROM bn""", _maps_sql(STATUS_WINDOWS)))
 def g11(spark, sf):
     o, inv = fx.orders_table(spark, sf), fx.inventory(spark, sf)
-    first_base = inv.select(F.max_by(F.col("base_date"), F.struct("stock_qty", "product_code"))).scalar()
+    base_day = stock.stock_base_date(inv, STOCK_START)
+    first_base = F.lit(base_day).cast("date")
     d, s, e = F.col("order_date"), F.lit(STOCK_START).cast("date"), F.lit(STOCK_END).cast("date")
+    o = month_prune(o, min(base_day, STOCK_START), STOCK_END)
     bv, bn = stock.shipped_totals(o, {"prev": (d >= first_base) & (d < s), "per": (d >= s) & (d <= e)})
     return (bv.select(F.lit("variant").alias("kind"), F.col("variant_code").alias("key"),
                       F.col("prev_v").alias("prev_qty"), F.col("per_v").alias("period_qty"))
