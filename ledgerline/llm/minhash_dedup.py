@@ -254,13 +254,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, all columns, one for each group of near duplicates;
     of rows that repeat an id one stays (rows without words, or without an id, all stay)."""
-    judged = near_duplicates(docs, id_col, text_col)
-    dropped = judged.where("not kept").select(F.col(id_col).alias("drop_id")).distinct()
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"))
-    left = rows.join(dropped, F.col("id") == F.col("drop_id"), "left_anti")
-    one = F.col("id").isNotNull() & F.coalesce(F.col(f"row.{text_col}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    # rows that all stay are spread over many windows
+    judged = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("drop_id"), "kept").checkpoint()
+    dropped = judged.where("not kept").select("drop_id").distinct()
+    repeated = judged.where("drop_id is not null").groupBy("drop_id").count().where("count > 1").select("drop_id")
+    seen = Bitmap(dropped.unionByName(repeated), "drop_id")
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
+    rows = rows.withColumn("maybe", F.col("id").isNotNull() & seen.might_have(F.col("id")))
+    # only rows whose id may be dropped or repeated are shuffled
+    left = rows.where("maybe").join(dropped, F.col("id") == F.col("drop_id"), "left_anti")
+    one = F.coalesce(F.col(f"row.{text_col}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # wordless rows all stay and are spread over many windows
     left = left.select("row", "id", one.alias("one"),
                        F.when(one, -1).otherwise(F.monotonically_increasing_id() % 4096).alias("salt"))
     w = Window.partitionBy("id", "salt").orderBy(F.xxhash64(f"row.{text_col}"))
-    return left.withColumn("nth", F.row_number().over(w)).where("nth = 1 or not one").select("row.*")
+    left = left.withColumn("nth", F.row_number().over(w)).where("nth = 1 or not one")
+    return rows.where("not maybe").select("row.*").unionByName(left.select("row.*"))
