@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, minhash_dedup, quality, token_counts
+from ledgerline.llm import decontaminate, minhash_dedup, mixing, quality, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,23 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@query("op7_mixing")
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = mixing.mix(table(spark, sf_dir, "documents"), share=1.5, max_copies=2)
+    return got.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+#: Fixed by the contract: (verdict, host and path).
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+@query("op8_url_filters")
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    return url_filters.judge(table(spark, sf_dir, "pages"), outcomes, url_filters.rules_table(spark, URL_RULES))
+
+
 @query("op9_quality_rules")
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = quality.judge(table(spark, sf_dir, "documents"))
