@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, minhash_dedup, mixing, quality, token_counts, url_filters
+from ledgerline.llm import decontaminate, minhash_dedup, mixing, pii, quality, secrets, spans, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -54,6 +54,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                       decontaminate.contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"))
 
 
+@query("op5_pii")
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.scan(table(spark, sf_dir, "documents"))
+    b = F.col("base")
+    return got.select("doc_id", *[spans.count_kind(b, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+                      F.sha2(spans.joined(b), 256).alias("base_sha256"),
+                      spans.joined(F.array_sort(F.concat("base", "ids"))).alias("spans"))
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.scan(table(spark, sf_dir, "documents"))
+    b = F.col("base")
+    return got.select("doc_id", *[spans.count_kind(b, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+                      F.sha2(spans.joined(b), 256).alias("base_sha256"),
+                      spans.joined(F.array_sort(F.concat("base", "linked"))).alias("spans"))
+
+
 @query("op7_mixing")
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"), share=1.5, max_copies=2)
