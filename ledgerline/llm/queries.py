@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, minhash_dedup, mixing, pii, quality, secrets, spans, token_counts, url_filters
+from ledgerline.llm import decontaminate, licenses, minhash_dedup, mixing, pii, quality, secrets, spans, token_counts, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -95,3 +95,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "n_covered", "longest_repeat",
                       F.size("repeats").alias("n_repeats"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = licenses.scan(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "digest", "license", F.size("named").cast("long").alias("n_named"),
+                      F.array_join("named", ",").alias("named"))
