@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (decontaminate, licenses, lm_scoring, minhash_dedup, mixing, pii, quality, secrets, spans,
-                            token_counts, url_filters)
+from ledgerline.llm import (decontaminate, licenses, lm_scoring, minhash_dedup, mixing, oracles, pii, quality,
+                            secrets, spans, token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -42,7 +42,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_documents(table(spark, sf_dir, "documents"), tokenizer_path(), limit=4096)
 
 
-@query("op2_minhash_dedup")
+@query("op2_minhash_dedup", oracles.OP2)
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=5, percent=85)
 
@@ -52,7 +52,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score(table(spark, sf_dir, "documents"))
 
 
-@query("op4_decontamination")
+@query("op4_decontamination", oracles.OP4)
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return got.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -78,7 +78,7 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       spans.joined(F.array_sort(F.concat("base", "linked"))).alias("spans"))
 
 
-@query("op7_mixing")
+@query("op7_mixing", oracles.OP7)
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = mixing.mix(table(spark, sf_dir, "documents"), share=1.5, max_copies=2)
     return got.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -88,11 +88,12 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
 
-@query("op8_url_filters")
+@query("op8_url_filters", oracles.OP8)
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
-    return url_filters.judge(table(spark, sf_dir, "pages"), outcomes, url_filters.rules_table(spark, URL_RULES))
+    got = url_filters.judge(table(spark, sf_dir, "pages"), outcomes, url_filters.rules_table(spark, URL_RULES))
+    return got.select("page_id", "host", "path", "rule", "verdict")
 
 
 @query("op9_quality_rules")
@@ -103,7 +104,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.size("repeats").alias("n_repeats"))
 
 
-@query("op10_license_scan")
+@query("op10_license_scan", oracles.OP10)
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "digest", "license", F.size("named").cast("long").alias("n_named"),
