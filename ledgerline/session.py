@@ -31,12 +31,12 @@ def build_session(master: str | None = None, app: str = "ledgerline",
                   extra: dict | None = None) -> SparkSession:
     """Return (or reuse) a session with the settings above.
 
-    ``master`` defaults to ``local[$BENCH_CPUS or 8]`` only when no master is
-    configured by the launcher, so the same code runs under spark-submit.
+    The master is set only when the caller passes one; otherwise the
+    launcher's (spark-submit, spark-defaults) holds.
     """
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{os.environ.get('BENCH_CPUS', '8')}]")
+    if master:
+        builder = builder.master(master)
     conf = dict(BASE_CONF)
     if shuffle_partitions is not None:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
@@ -53,12 +53,16 @@ def build_session(master: str | None = None, app: str = "ledgerline",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is
-    unset -- local runs and tests -- a private scratch folder is created.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  A scratch
+    folder is created only where the driver is the one executor (a local
+    master); elsewhere executors would not see it, so an unset folder is an error.
     """
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="ledgerline-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)
     if spark.sparkContext.getCheckpointDir() is None:
