@@ -109,6 +109,17 @@ def money(c) -> Column:
 
 
 
+ORDER_PARTITIONS = ("channel", "order_month")
+UNDATED_MONTH = 0
+
+
+def order_month(date_col="order_date") -> Column:
+    """The month partition of the order table: integer yyyymm, never null
+    (lines without a date are kept in ``UNDATED_MONTH``)."""
+    d = col_(date_col).cast("date")
+    return F.coalesce(F.year(d) * 100 + F.month(d), F.lit(UNDATED_MONTH)).cast("int")
+
+
 def month_prune(df: DataFrame, start: str | None, end: str | None) -> DataFrame:
     """Add a filter on the ``order_month`` partition column (yyyymm) implied
     by an ``order_date`` window, so the scan skips whole folders.  No-op for

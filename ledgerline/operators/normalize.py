@@ -92,11 +92,12 @@ def status_rank_sql(tag: str, statuses) -> str:
     return f"CASE {tag} {whens} END"
 
 
-def normalize_c(orders: DataFrame, statuses, channel: str = CHANNEL_C) -> DataFrame:
+def normalize_c(orders: DataFrame, statuses, channel: str = CHANNEL_C, ingest_seq: str | None = None) -> DataFrame:
     """Channel C record -> one line; status = search tag, else product
     status; ``ingest_seq`` = position of the batch, so the later status
-    wins at the upsert."""
+    wins at the upsert.  An ``ingest_seq`` expression (arrival order) comes after the position."""
     oid = _text("productOrderId", "orderId")
+    rank = f"coalesce({status_rank_sql('search_status', statuses)}, -1)"
     return orders.selectExpr(
         f"concat({lit_sql(ID_PREFIX.get(channel, f'{channel}_'))}, {oid}) AS id", f"{lit_sql(channel)} AS channel",
         f"{oid} AS order_id", f"try_cast({day_sql('orderDate', 'paymentDate')} AS DATE) AS order_date",
@@ -105,7 +106,8 @@ def normalize_c(orders: DataFrame, statuses, channel: str = CHANNEL_C) -> DataFr
         f"{parse_int_sql(or_sql('quantity', default='1'))} AS quantity",
         f"{parse_float_sql(or_sql('totalPaymentAmount', 'paymentAmount', default='0'))} AS amount",
         f"{_text('ordererName')} AS customer",
-        f"coalesce({status_rank_sql('search_status', statuses)}, -1) AS ingest_seq")
+        (f"{rank} AS ingest_seq" if ingest_seq is None
+         else f"named_struct('rank', {rank}, 'arrival', {ingest_seq}) AS ingest_seq"))
 
 
 def split_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,10 +13,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.functions.rules import last_wins
+from ledgerline.functions.rules import ORDER_PARTITIONS, last_wins, order_month
 from ledgerline.session import checkpoint_dir
 
 
@@ -47,9 +47,37 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     return spark.read.parquet(path) if _exists(spark, path) else None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 # ---- K1: order upsert ----------------------------------------------------------------
 
-ORDER_PARTITION = "order_month"
+NO_CHANNEL = "unknown"
+
+
+def read_orders(spark: SparkSession, path: str) -> DataFrame:
+    """The stored order table, partition columns in their declared types."""
+    df = spark.read.parquet(path)
+    return df.withColumns({"channel": F.col("channel").cast("string"), "order_month": F.col("order_month").cast("int")})
+
+
+def _keyed(batch: DataFrame) -> DataFrame:
+    """Partition columns that are never null: undated lines have a month of their own."""
+    channel = F.when(F.col("channel") != "", F.col("channel")).otherwise(NO_CHANNEL)
+    return batch.withColumns({"channel": channel, "order_month": order_month()})
+
+
+def _in_parts(parts: Sequence[tuple[str, int]]) -> Column:
+    """Filter on (channel, month) partitions, as pruned by the scan."""
+    by: dict[str, list[int]] = {}
+    for c, m in parts:
+        by.setdefault(c, []).append(m)
+    cond = F.lit(False)
+    for c, months in sorted(by.items()):
+        cond = cond | ((F.col("channel") == c) & F.col("order_month").isin(sorted(months)))
+    return cond
 
 
 def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",),
@@ -58,44 +86,51 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
 
     A batch row always replaces the stored row with the same id; inside the
     batch the greatest ``order`` tuple wins.  The table is partitioned by
-    ``order_month``; only months that receive a batch row, or that hold a
-    stored row of a batch id (a line whose date moved), are rewritten, and a
-    month left without rows is removed.
+    (channel, ``order_month``), so streams of two channels never rewrite the
+    same folder; lines without a date are kept in month 0.  Only partitions
+    that receive a batch row, or that hold a stored row of a batch id (a line
+    whose date moved), are rewritten, and one left without rows is removed.
+    Retrying a batch, also one stopped between these steps, gives the same table.
 
     ``replace_by_order``: the source keeps the old single-line id when an
     order grows from one item to several; with this option every stored line
     of a (channel, order) present in the batch is replaced instead.
 
     Returns the batch row count, the surviving batch lines, the rows written
-    and the touched months.
+    (all rows of the touched partitions) and the touched (channel, month) pairs.
     """
-    b = batch.withColumn(ORDER_PARTITION, F.date_format("order_date", "yyyy-MM"))
-    merged = last_wins(b, ["id"], list(order))
-    key = ["channel", "order_id"] if replace_by_order else ["id"]
-    current = read_table(spark, path)
-    if current is None:
-        staged = _stage(merged, "orders-new", [ORDER_PARTITION])
-        months = sorted(r[0] for r in staged.select(ORDER_PARTITION).distinct().collect())  # one per month
-        _publish(staged, path, [ORDER_PARTITION])
-        return {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": staged.count(),
-                "months": months}
-    ids = merged.select(*key).distinct()
-    moved = current.select(*key, ORDER_PARTITION).join(ids, key, "left_semi").select(ORDER_PARTITION)
-    months = merged.select(ORDER_PARTITION).union(moved).distinct()
-    # one row per month: a bounded broadcast
-    keep = current.join(F.broadcast(months), ORDER_PARTITION, "left_semi").join(ids, key, "left_anti")
-    staged = _stage(keep.unionByName(merged, allowMissingColumns=True), "orders-upsert", [ORDER_PARTITION])
-    # months whose rows all moved away lose their partition folder; both
-    # lists hold at most one value per month, so they are read on the driver
-    touched = {r[0] for r in months.collect()}
-    kept = {r[0] for r in staged.select(ORDER_PARTITION).distinct().collect()}
-    _publish(staged, path, [ORDER_PARTITION])
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for m in sorted(touched - kept):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/{ORDER_PARTITION}={m}"), True)
-    return {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": staged.count(),
-            "months": sorted(touched)}
+    parts = list(ORDER_PARTITIONS)
+    pairs = lambda df: {(r[0], r[1]) for r in df.select(*parts).distinct().collect()}  # noqa: E731  one per channel and month
+    merged, new = _stage_orders(last_wins(_keyed(batch), ["id"], list(order)), "orders-batch")
+    staged = [new]
+    touched = pairs(merged)
+    out = merged
+    if _exists(spark, path):
+        key = ["channel", "order_id"] if replace_by_order else ["id"]
+        ids = merged.select(*key).distinct()
+        current = read_orders(spark, path)
+        touched |= pairs(current.select(*key, *[c for c in parts if c not in key]).join(ids, key, "left_semi"))
+        keep = current.where(_in_parts(sorted(touched))).join(ids, key, "left_anti")
+        out, rest = _stage_orders(keep.unionByName(merged, allowMissingColumns=True), "orders-upsert")
+        staged.append(rest)
+    kept = pairs(out)
+    if kept:
+        _publish(out, path, parts)
+    for c, m in sorted(touched - kept):
+        _delete(spark, f"{path}/channel={c}/order_month={m}")
+    counts = {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": out.count(),
+              "partitions": sorted(touched)}
+    for p in staged:
+        _delete(spark, p)
+    return counts
+
+
+def _stage_orders(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staging/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.partitionBy(*ORDER_PARTITIONS).parquet(path)
+    # without rows there are no files to take the schema from
+    return spark.read.schema(df.schema).parquet(path), path
 
 
 # ---- K2 / K3 / K4: stock and cost tables --------------------------------------------------
@@ -129,29 +164,38 @@ def refresh_daily_summary(summary: DataFrame, path: str) -> None:
 
 
 def refresh_summary_months(spark: SparkSession, orders_path: str, summary_path: str, channel: str,
-                           months: Sequence[str]) -> None:
+                           partitions: Sequence[tuple[str, int]]) -> None:
     """K5 for a stream: recompute the daily summary of one channel only for
-    the months an upsert touched (the order table is read with partition
-    pruning), and swap those (channel, month) partitions; a month left
-    without orders loses its summary partition."""
+    the (channel, month) partitions an upsert touched (the order table is read
+    with partition pruning), and swap those; a month left without orders loses its summary partition."""
     from ledgerline.operators.sales import daily_summary
+    months = sorted({m for c, m in partitions if c == channel})
     if not months:
         return
-    orders = spark.read.parquet(orders_path).where(
-        (F.col("channel") == channel) & F.col(ORDER_PARTITION).isin(list(months)))
-    summ = daily_summary(orders, channel).withColumn(ORDER_PARTITION, F.substring("date", 1, 7))
-    staged = _stage(summ, "summary", ["channel", ORDER_PARTITION])
-    kept = {r[0] for r in staged.select(ORDER_PARTITION).distinct().collect()}   # one per month
-    _publish(staged, summary_path, ["channel", ORDER_PARTITION])
-    jvm = spark.sparkContext._jvm
-    fs = jvm.org.apache.hadoop.fs.Path(summary_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    orders = read_orders(spark, orders_path).where(_in_parts([(channel, m) for m in months]))
+    summ = daily_summary(orders, channel).withColumn("order_month", order_month("date"))
+    staged = _stage(summ, "summary", ORDER_PARTITIONS)
+    kept = {r[0] for r in staged.select("order_month").distinct().collect()} if summ.head(1) else set()   # one per month
+    if kept:
+        _publish(staged, summary_path, ORDER_PARTITIONS)
     for m in sorted(set(months) - kept):
-        fs.delete(jvm.org.apache.hadoop.fs.Path(f"{summary_path}/channel={channel}/{ORDER_PARTITION}={m}"), True)
+        _delete(spark, f"{summary_path}/channel={channel}/order_month={m}")
+
 
+SNAPSHOT_KEY = ("date", "product_code", "option_name")
 
-def write_snapshot(snapshot: DataFrame, path: str) -> None:
-    """K6: replace the snapshot of the dates present (delete + rebuild)."""
-    _publish(snapshot.withColumnRenamed("date", "snapshot_date"), path, ["snapshot_date"])
+
+def write_snapshot(snapshot: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """K6: replace the snapshot of the dates present (delete + rebuild).
+
+    One row per (date, product code, option): the greatest ``order`` tuple
+    wins; by default the lowest stock, as the source writes rows by falling stock."""
+    key = [c for c in SNAPSHOT_KEY if c in snapshot.columns]
+    rows = snapshot
+    if not order and "base_stock" in snapshot.columns:
+        rows, order = snapshot.withColumn("_low", -F.col("base_stock")), ("_low",)
+    rows = last_wins(rows, key, list(order)).select(*snapshot.columns)
+    _publish(rows.withColumnRenamed("date", "snapshot_date"), path, ["snapshot_date"])
 
 
 # ---- K7: run history ---------------------------------------------------------------------------
@@ -162,12 +206,20 @@ def append_run(record: DataFrame, path: str) -> None:
                   F.to_json("channels").alias("channels_json")).write.mode("append").parquet(path)
 
 
-def run_history(spark: SparkSession, path: str, limit: int = 50) -> DataFrame:
-    """Newest runs first, at most ``limit``; metrics parsed back."""
+def record_run(record: DataFrame, path: str) -> None:
+    """K7/T4: one run record per (source, batch id); a retried batch replaces its record."""
+    _publish(record.select(*[c for c in record.columns if c != "channels"], F.to_json("channels").alias("channels_json")),
+             path, ["source", "batch_id"])
+
+
+def run_history(spark: SparkSession, path: str, limit: int | None = 50) -> DataFrame:
+    """Newest runs first (ties by batch id), at most ``limit``, or all with None; metrics parsed back."""
     from ledgerline.sources.feeds import RUN_RECORD
     chan = [f for f in RUN_RECORD.fields if f.name == "channels"][0].dataType
     h = spark.read.parquet(path)
-    return (h.orderBy(F.col("timestamp").desc()).limit(limit)
+    ties = [F.col("batch_id").desc()] if "batch_id" in h.columns else []
+    h = h.orderBy(F.col("timestamp").desc(), *ties)
+    return ((h if limit is None else h.limit(limit))
              .withColumn("channels", F.from_json("channels_json", chan)).drop("channels_json"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import last_wins
 from ledgerline.sources.staging import staged
-from ledgerline.sources.tables import read_table, session_key, spread, table_path
+from ledgerline.sources.tables import read_table, session_key, table_path
 
 # Fixed values of the fixture model.
 CHANNELS = ("mall", "market", "store")
@@ -48,7 +48,7 @@ def _channel(key: Column) -> Column:
 def order_lines(spark: SparkSession, sf_dir: str, keys: bool = False) -> DataFrame:
     """``fx_order_lines``: lines as collected, repeats included.  ``keys``
     adds the numeric line key (``_ok``, ``_ln``) the string id is built from."""
-    li = spread(read_table(spark, sf_dir, "lineitem").select(
+    li = (read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate"))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
@@ -104,13 +104,12 @@ def upsert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_memo
 def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_orders``: the stored order-line table (``upsert_lines`` staged),
-    partitioned by ``order_month`` (yyyymm) so date windows prune folders."""
+    written by the K1 sink, so date windows prune its month folders."""
+    from ledgerline.sinks import tables as sinks
     inputs = [table_path(sf_dir, t) for t in ("lineitem", "orders", "part", "customer")]
-
-    def build():
-        o = upsert_lines(spark, sf_dir)
-        return o.withColumn("order_month", (F.year("order_date") * 100 + F.month("order_date")).cast("int"))
-    return staged(spark, "fx_orders_by_month", inputs, build, partition_by=("order_month",))
+    return staged(spark, "fx_orders", inputs, lambda: upsert_lines(spark, sf_dir),
+                  read=lambda path: sinks.read_orders(spark, path),
+                  write=lambda path: sinks.upsert_orders(spark, path, upsert_lines(spark, sf_dir), order=()))
 
 
 @_memo

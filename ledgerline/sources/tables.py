@@ -37,12 +37,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         df = spark.read.parquet(table_path(sf_dir, name))
         _SCANS[key] = df
     return df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give an under-split scan (fewer input splits than task slots, e.g. a
-    single-row-group file) a round-robin repartition so the work before the
-    first shuffle uses every core.  Inputs with enough splits -- any large
-    table -- are returned unchanged."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

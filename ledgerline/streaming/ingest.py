@@ -1,7 +1,7 @@
 """Streaming jobs.
 
-* T1 -- continuous order ingest: a file-source stream over the channel-A
-  landing folder; each micro-batch is normalised (P1/P2), upserted into the
+* T1 -- continuous order ingest: one file-source stream per channel over its
+  landing folder; each micro-batch is normalised (P1-P4), upserted into the
   order table (K1), the channel's daily summary is recomputed for the months
   the batch touched (K5; cancellations lower the sums, which an append-mode
   aggregate could not retract) and a run record is appended (K7/T4).  The upsert is idempotent, so a batch replayed
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.rules import last_wins
 from ledgerline.operators import normalize as nz
 from ledgerline.sinks import tables as sinks
 from ledgerline.sources import feeds
@@ -41,48 +42,89 @@ RUN_COLUMNS = T.StructType([
 ])
 
 
+# Where a row comes from, in arrival order: later files, and later rows of a file, win.
+ARRIVAL = ("_time", "_file", "_block", "_row")
+
+
+def with_arrival(raw: DataFrame) -> DataFrame:
+    """Add what orders rows read from files by arrival: modification time,
+    file, and block of the file (the row's place in the block is added per batch)."""
+    return raw.select("*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"),
+                      F.col("_metadata.file_block_start").alias("_block"))
+
+
+def _normalized(raw: DataFrame, channel: str) -> DataFrame:
+    """Lines of one channel, ``ingest_seq`` a struct of the arrival order."""
+    arrival = "named_struct(" + ", ".join(f"'{c}', {c}" for c in ARRIVAL) + ")"
+    if channel == nz.CHANNEL_A:
+        return nz.normalize_a(raw, channel, ingest_seq=arrival)
+    if channel == nz.CHANNEL_B:
+        return nz.normalize_b(raw, channel, ingest_seq=arrival)
+    return nz.normalize_c(raw, feeds.C_STATUSES, channel, ingest_seq=arrival)
+
+
 def ingest_batch(spark: SparkSession, raw: DataFrame, batch_id: int, table: str, summary: str | None,
-                 history: str | None, channel: str = nz.CHANNEL_A, source: str = "orders-A",
+                 history: str | None, channel: str = nz.CHANNEL_A, source: str | None = None,
                  rejects_path: str | None = None) -> dict:
     """One micro-batch of T1: normalise, upsert, refresh summary, record.
-    Records without an order id are appended to ``rejects_path`` (with the
-    batch id) instead of being dropped silently."""
+
+    ``raw`` carries the arrival order (``with_arrival``): inside the batch the
+    row that arrived last wins.  Records without an order id are kept in the
+    batch's folder under ``rejects_path``.  A failure is recorded and raised
+    again, so the stream keeps its offset and the batch is retried; rejects and the run
+    record are keyed by the batch id, so a retry replaces them."""
     t0 = time.time()
-    lines, rejects = nz.split_rejects(nz.normalize_a(raw, channel, ingest_seq=str(int(batch_id))))
-    if rejects_path:
-        rejects.withColumn("batch_id", F.lit(int(batch_id))).write.mode("append").parquet(rejects_path)
-    status, error, counts = "success", "", {"batch_rows": 0, "rows_written": 0}
+    source = source or f"orders-{channel}"
+    # rows of a block are read in order by one task
+    lines, rejects = nz.split_rejects(_normalized(raw.withColumn("_row", F.monotonically_increasing_id()), channel))
+    counts, n_rejects, error = {"batch_rows": 0, "batch_lines": 0, "rows_written": 0}, 0, None
     try:
-        counts = sinks.upsert_orders(spark, table, lines)
+        if rejects_path:
+            out = f"{rejects_path.rstrip('/')}/channel={channel}/batch_id={int(batch_id)}"
+            rejects.drop("ingest_seq", "channel").write.mode("overwrite").parquet(out)
+            n_rejects = spark.read.parquet(out).count()
+        latest = last_wins(lines, ["id"], ["ingest_seq"]).withColumn("ingest_seq", F.lit(int(batch_id)).cast("long"))
+        counts = sinks.upsert_orders(spark, table, latest)
         if summary:      # only the (channel, month) partitions this batch touched
-            sinks.refresh_summary_months(spark, table, summary, channel, counts.get("months", []))
-    except Exception as e:  # a failed channel is recorded, the run goes on
-        status, error = "failed", str(e)[:500]
-    rec = {"batch_rows": counts["batch_rows"], "rows_written": counts["rows_written"],
-           "rejects": rejects.count(), "status": status}
+            sinks.refresh_summary_months(spark, table, summary, channel, counts["partitions"])
+    except Exception as e:
+        error = e
+    status = "failed" if error else "success"
     if history:
         latency = int((time.time() - t0) * 1000)
         row = (source, int(batch_id), "stream", time.strftime("%Y-%m-%dT%H:%M:%S", time.gmtime()), latency,
-               counts["batch_rows"], counts["rows_written"],
-               [(channel, status, error, counts["batch_rows"], counts["rows_written"], latency)])
-        sinks.append_run(spark.createDataFrame([row], RUN_COLUMNS), history)
-    return rec
+               counts["batch_rows"], counts["batch_lines"],
+               [(channel, status, str(error or ""), counts["batch_rows"], counts["batch_lines"], latency)])
+        sinks.record_run(spark.createDataFrame([row], RUN_COLUMNS), history)
+    if error:
+        raise error
+    return {"batch_rows": counts["batch_rows"], "batch_lines": counts["batch_lines"],
+            "rows_written": counts["rows_written"], "rejects": n_rejects, "status": status}
 
 
-def order_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, summary: str | None = None,
-                 history: str | None = None, trigger: dict | None = None, max_files: int | None = None):
-    """Start the ingest stream over ``landing`` (channel-A JSON lines).
+LANDED = {nz.CHANNEL_A: feeds.ORDER_A, nz.CHANNEL_B: feeds.ORDER_B,
+          nz.CHANNEL_C: T.StructType(feeds.ORDER_C.fields + [T.StructField("search_status", T.StringType())])}
 
-    ``trigger`` defaults to ``availableNow`` (process what has landed, then
+
+def order_ingest(spark: SparkSession, landing: str, table: str, checkpoint: str, summary: str | None = None,
+                 history: str | None = None, trigger: dict | None = None, max_files: int | None = None,
+                 channel: str = nz.CHANNEL_A, rejects: str | None = None):
+    """Start the ingest stream of one channel over ``landing`` (JSON
+    lines; channel C in ``search_status=<STATUS>`` folders).
+
+    One query per channel: a failing channel stops alone, and channels write
+    to different partitions of ``table``.  Rejects are kept in ``rejects``, by default
+    ``<table>_rejects``.  ``trigger`` defaults to ``availableNow`` (process what has landed, then
     stop); use ``{"processingTime": "30 minutes"}`` for the scheduled cadence.
     """
-    reader = spark.readStream.schema(feeds.ORDER_A)
+    reader = spark.readStream.schema(LANDED[channel])
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    stream = reader.json(landing)
+    stream = with_arrival(reader.json(landing))
+    rejects = rejects or f"{table.rstrip('/')}_rejects"
 
     def each(df: DataFrame, batch_id: int) -> None:
-        ingest_batch(df.sparkSession, df, batch_id, table, summary, history)
+        ingest_batch(df.sparkSession, df, batch_id, table, summary, history, channel, rejects_path=rejects)
 
     w = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     w = w.trigger(**(trigger or {"availableNow": True}))

@@ -38,7 +38,7 @@ def test_upsert_drops_emptied_month(spark, tmp_dir):
     sinks.upsert_orders(spark, path, _lines(spark, [("A_9", "A", "9", dt.date(2024, 3, 1), "N10", "p", "1", "", 1,
                                                      1.0, "c", 1)]))
     t = spark.read.parquet(path)
-    assert [r.order_month for r in t.collect()] == ["2024-03"]
+    assert [r.order_month for r in t.collect()] == [202403]
 
 
 def test_csv_export_has_header_and_quotes(spark, tmp_dir):
@@ -136,3 +136,77 @@ def test_order_export_end_to_end(spark, tmp_dir):
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_dir}/k8")
     assert back.columns == list(claims.EXPORT_HEADER)
     assert back.count() == rows.count()
+
+
+def _all(spark, path):
+    return sorted((r.id, str(r.order_date), r.order_month) for r in sinks.read_orders(spark, path).collect())
+
+
+def test_upsert_keeps_undated_lines(spark, tmp_dir):
+    path, d = f"{tmp_dir}/orders", dt.date(2024, 1, 5)
+    line = lambda i, day, seq: (f"A_{i}", "A", str(i), day, "N10", "p", "1", "", 1, 1.0, "c", seq)
+    sinks.upsert_orders(spark, path, _lines(spark, [line(3, None, 0), line(4, d, 0)]))
+    sinks.upsert_orders(spark, path, _lines(spark, [line(5, None, 1)]))             # undated rows only
+    assert _all(spark, path) == [("A_3", "None", 0), ("A_4", "2024-01-05", 202401), ("A_5", "None", 0)]
+    moved = _lines(spark, [line(5, d, 2), line(3, d, 2)])                            # both get a date
+    for _ in range(2):                                                               # a retry changes nothing
+        got = sinks.upsert_orders(spark, path, moved)
+        assert _all(spark, path) == [(f"A_{i}", "2024-01-05", 202401) for i in (3, 4, 5)]
+    assert got["batch_lines"] == 2 and got["rows_written"] == 3
+    assert not glob.glob(f"{path}/channel=A/order_month=0/*")
+    assert sinks.upsert_orders(spark, path, moved.limit(0))["rows_written"] == 0
+
+
+def test_channels_keep_their_own_partitions(spark, tmp_dir):
+    path, d = f"{tmp_dir}/orders", dt.date(2024, 1, 5)
+    for ch in ("A", "1", ""):
+        got = sinks.upsert_orders(spark, path, _lines(spark, [(f"{ch}_1", ch, "1", d, "N10", "p", "1", "", 1, 1.0, "c", 0)]))
+        assert got["rows_written"] == 1
+    assert sorted(r.channel for r in sinks.read_orders(spark, path).collect()) == ["1", "A", "unknown"]
+
+
+def test_dated_reports_run_on_the_stored_table(spark, tmp_dir):
+    from ledgerline.operators import analytics, margin, sales, stock
+    path = f"{tmp_dir}/orders"
+    rows = [(f"A_{m}", "A", str(m), dt.date(2001, m, 1), "N10", "p", "1", "V1", 1, 10.0, "c", 0) for m in range(1, 7)]
+    sinks.upsert_orders(spark, path, _lines(spark, rows + [("A_9", "A", "9", None, "N10", "p", "1", "V1", 1, 10.0, "c", 0)]))
+    o, s, e = sinks.read_orders(spark, path), "2001-02-01", "2001-04-30"
+    assert [r.order_count for r in sales.sales_by_channel(o, s, e).collect()] == [3]
+    assert sales.daily_sales(o, s, e).count() == 3 and sales.top_products(o, s, e, 5).count() == 1
+    assert sales.range_counts(o, s, e).first().orders_count == 3
+    assert margin.margin_groups(o, s, e).first().total_qty == 3
+    assert margin.margin_groups(o, s, e, limit=None).count() == 1
+    assert analytics.recent_channel_share(o, e).count() > 0
+    assert sales.before_period(o, s, e).count() == 3
+    plan = sales.in_period(spark.read.parquet(path), s, e)._jdf.queryExecution().executedPlan().toString()
+    assert "order_month" in plan.split("PartitionFilters")[1][:300]
+    assert stock
+
+
+def test_recent_orders_and_history_have_no_hidden_limit(spark, tmp_dir):
+    from ledgerline.operators import sales
+    rows = [(f"A_{i}", "A", str(i), dt.date(2001, 1, 1), "N10", "p", "1", "", 1, 1.0, "c", 0) for i in range(700)]
+    assert sales.recent_orders(_lines(spark, rows), 600).count() == 600
+
+
+def test_snapshot_has_one_row_per_key(spark, tmp_dir):
+    path = f"{tmp_dir}/snap"
+    s = "date string, product_code string, option_name string, base_stock bigint"
+    sinks.write_snapshot(spark.createDataFrame([("2024-01-01", "P1", "o", 9), ("2024-01-01", "P1", "o", 4), ("2024-01-01", "P1", "x", 1)], s), path)
+    assert sorted((r.option_name, r.base_stock) for r in spark.read.parquet(path).collect()) == [("o", 4), ("x", 1)]
+
+
+def test_session_keeps_the_launchers_master_and_needs_a_shared_folder(spark):
+    import pytest
+    from unittest import mock
+    from ledgerline import session
+    b = mock.MagicMock()
+    b.appName.return_value = b.config.return_value = b
+    with mock.patch.object(session, "SparkSession", mock.MagicMock(builder=b)), mock.patch.object(session, "checkpoint_dir"):
+        session.build_session()
+        assert not b.master.called
+    far = mock.MagicMock()
+    far.sparkContext.getConf().get = lambda k, d=None: {"spark.master": "spark://host:7077"}.get(k, d)
+    far.conf.get = lambda k, d=None: d
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(far)

@@ -48,6 +48,7 @@ def test_order_ingest_stream_equals_batch(spark, tmp_dir):
     changed_ids = [str(r["order_id"]) for r in changed]
     assert {r.status for r in got.where(F.col("order_id").isin(changed_ids)).collect()} == {"R40"}
     runs = spark.read.parquet(history)
+    assert runs.selectExpr("sum(total_saved)").first()[0] == sum(b.select("id").distinct().count() for b in batches)
     assert runs.count() == 4 and runs.where("channels_json LIKE '%success%'").count() == 4
     # the incrementally refreshed summary equals a full recomputation
     from ledgerline.operators.sales import daily_summary
@@ -81,3 +82,49 @@ def test_window_stream_equals_batch_and_drops_repeats(spark, tmp_dir):
     assert a == b and len(a) > 0
     assert got.where(~F.col("day").isin(final)).count() <= 5 * 2
     assert dt  # keep import
+
+
+def _order(i, status, **more):
+    return dict({"order_id": str(i), "order_date": "2001-01-05", "order_status": status, "payment_amount": "5"}, **more)
+
+
+def test_last_arrival_wins_inside_one_trigger_and_rejects_are_kept(spark, tmp_dir):
+    land, table = f"{tmp_dir}/land", f"{tmp_dir}/orders"
+    _write_lines(f"{land}/z.json", [_order(1, "N40"), _order(2, "R40"), _order(2, "C40"), {"order_status": "N10"}])
+    _write_lines(f"{land}/a.json", [_order(1, "C40")])              # collected later, sorts first by name
+    os.utime(f"{land}/z.json", (1_700_000_000, 1_700_000_000))
+    os.utime(f"{land}/a.json", (1_700_000_100, 1_700_000_100))
+    ingest.order_ingest(spark, land, table, f"{tmp_dir}/ck", history=f"{tmp_dir}/h").awaitTermination()
+    assert sorted((r.id, r.status) for r in spark.read.parquet(table).collect()) == [("A_1", "C40"), ("A_2", "C40")]
+    rejects = spark.read.parquet(f"{table}_rejects")
+    assert [(r.status, r.batch_id) for r in rejects.collect()] == [("N10", 0)]
+
+
+def test_failed_batch_is_recorded_raised_and_retried(spark, tmp_dir, monkeypatch):
+    import pytest
+    land, table, history = f"{tmp_dir}/land", f"{tmp_dir}/orders", f"{tmp_dir}/h"
+    _write_lines(f"{land}/a.json", [_order(5, "N10")])
+    real = ingest.sinks.upsert_orders
+    monkeypatch.setattr(ingest.sinks, "upsert_orders", lambda *a, **k: (_ for _ in ()).throw(ValueError("x" * 900)))
+    with pytest.raises(Exception):
+        ingest.order_ingest(spark, land, table, f"{tmp_dir}/ck", history=history).awaitTermination()
+    failed = spark.read.parquet(history).collect()
+    assert len(failed) == 1 and "x" * 900 in failed[0].channels_json
+    monkeypatch.setattr(ingest.sinks, "upsert_orders", real)
+    ingest.order_ingest(spark, land, table, f"{tmp_dir}/ck", history=history).awaitTermination()
+    assert [r.id for r in spark.read.parquet(table).collect()] == ["A_5"]
+    runs = spark.read.parquet(history).collect()
+    assert len(runs) == 1 and "success" in runs[0].channels_json
+
+
+def test_channels_b_and_c_share_the_table(spark, tmp_dir):
+    table = f"{tmp_dir}/orders"
+    _write_lines(f"{tmp_dir}/B/x.json", [{"orderId": "7", "orderedAt": "2001-01-02", "status": "N10", "orderPrice": "3"}])
+    c = {"productOrderId": "8", "orderDate": "2001-01-03", "totalPaymentAmount": "4"}
+    _write_lines(f"{tmp_dir}/C/search_status=CANCELED/x.json", [c])
+    _write_lines(f"{tmp_dir}/C/search_status=PAYED/x.json", [c])
+    os.utime(f"{tmp_dir}/C/search_status=CANCELED/x.json", (1_700_000_000, 1_700_000_000))
+    for ch in (nz.CHANNEL_B, nz.CHANNEL_C):
+        ingest.order_ingest(spark, f"{tmp_dir}/{ch}", table, f"{tmp_dir}/ck{ch}", channel=ch).awaitTermination()
+    got = sorted((r.channel, r.order_id, r.status) for r in spark.read.parquet(table).collect())
+    assert got == [(nz.CHANNEL_B, "7", "N10"), (nz.CHANNEL_C, "8", "CANCELED")]
