@@ -111,13 +111,17 @@ def channel_daily(order_rows: DataFrame) -> DataFrame:
             .groupBy("channel", "date").agg(F.sum(money("amount")).cast("double").alias("amount")))
 
 
-def channel_top_products(product_rows: DataFrame, k: int = 20) -> DataFrame:
-    """Per channel: quantity and revenue per product key, top ``k`` by
-    revenue (ties by key), with rank."""
-    agg = product_rows.groupBy("channel", "key").agg(
+def channel_products(product_rows: DataFrame) -> DataFrame:
+    """Per channel: quantity and revenue of every product key."""
+    return product_rows.groupBy("channel", "key").agg(
         F.min_by("name", F.struct("date", "name")).alias("name"),
         F.sum("quantity").cast("bigint").alias("quantity"),
         F.sum(money("revenue")).cast("double").alias("revenue"))
+
+
+def channel_top_products(product_rows: DataFrame, k: int = 20) -> DataFrame:
+    """Per channel: the top ``k`` products by revenue (ties by key), with rank."""
+    agg = channel_products(product_rows)
     w = Window.partitionBy("channel").orderBy(F.col("revenue").desc(), F.col("key"))
     return agg.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
@@ -127,7 +131,8 @@ def channel_top_products(product_rows: DataFrame, k: int = 20) -> DataFrame:
 def integrated_channels(summary: DataFrame) -> DataFrame:
     """Per channel: revenue, orders, average and share of the grand total
     (``Math.round(x * 1000) / 10``)."""
-    total = summary.select(F.sum(money("total_revenue"))).scalar()
+    # one row per channel: the grand total is a window over them
+    total = F.sum(money("total_revenue")).over(Window.partitionBy(F.lit(0)))
     rev = F.col("total_revenue")
     return summary.select("channel", rev.alias("revenue"), F.col("order_count").alias("orders"),
                           F.col("avg_order_value"),
@@ -153,8 +158,8 @@ def integrated_daily(daily: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def integrated_products(top: DataFrame, channels: Sequence[str], k: int = 30) -> DataFrame:
-    """Per-channel top lists merged by product name: summed quantity and
-    revenue, per-channel revenue columns; top ``k`` by revenue."""
+    """Per-channel products (all of them, or top lists) merged by product
+    name: summed quantity and revenue, per-channel revenue columns; top ``k`` by revenue."""
     key = falsy_coalesce(F.col("name"), default="unknown")
     per = [F.sum(F.when(F.col("channel") == c, money("revenue"))).cast("double").alias(f"revenue_{c}")
            for c in channels]

@@ -15,10 +15,8 @@ STATUS_LABELS = {
     "R00": "반품신청", "R10": "반품접수", "R30": "반품처리", "R40": "반품완료", "E00": "교환신청",
     "E10": "교환접수", "E40": "교환완료",
 }
-# List-row text: "<first item> 외 <n-1>건", cut at 25 / 30 characters.
+# List-row text: "<first item> 외 <n-1>건", in full.
 MORE_ITEMS_PREFIX, MORE_ITEMS_SUFFIX = " 외 ", "건"
-NAME_CUT, CLAIM_NAMES_CUT = 25, 30
-ELLIPSIS = "..."
 # Order export header (K8).
 EXPORT_HEADER = ("주문번호", "일시", "주문자", "상품", "수량", "상태", "결제금액")
 
@@ -43,10 +41,6 @@ TIME_TEXT = ("CASE WHEN order_date IS NULL OR order_date = '' THEN '-' "
              "ELSE regexp_replace(substring(order_date, 1, 16), 'T', ' ') END")
 
 
-def _cut(x: str, n: int) -> str:
-    return f"CASE WHEN length({x}) > {n} THEN concat(substring({x}, 1, {n}), {lit_sql(ELLIPSIS)}) ELSE {x} END"
-
-
 # ---- F9 / F10: filters ----------------------------------------------------------------------
 
 def claims_view(orders: DataFrame) -> DataFrame:
@@ -78,7 +72,7 @@ def order_rows(orders: DataFrame) -> DataFrame:
             f"{lit_sql(MORE_ITEMS_SUFFIX)}) ELSE {first} END")
     return orders.selectExpr(
         "order_id", f"{TIME_TEXT} AS order_time", f"{or_sql('buyer_name', default='-')} AS buyer",
-        f"{_cut(name, NAME_CUT)} AS item_name", f"{_QTY} AS total_qty", "order_status AS status",
+        f"{name} AS item_name", f"{_QTY} AS total_qty", "order_status AS status",
         f"{label_sql()} AS status_label", f"{js_round_sql(PAGE_AMOUNT)} AS amount",
         "coalesce(order_status, '') RLIKE '^[CRE]' AS is_refund",
         f"{or_sql('payment_method', default='-')} AS payment_method")
@@ -89,7 +83,7 @@ def claim_rows(orders: DataFrame) -> DataFrame:
     reason, else return reason)."""
     names = or_sql(f"array_join(transform({_ITEMS}, i -> coalesce(i.product_name, '')), ', ')", default="-")
     return claims_view(orders).selectExpr(
-        "order_id", f"{TIME_TEXT} AS order_time", f"{_cut(names, CLAIM_NAMES_CUT)} AS items",
+        "order_id", f"{TIME_TEXT} AS order_time", f"{names} AS items",
         "order_status AS status", f"{label_sql()} AS status_label", f"{js_round_sql(PAGE_AMOUNT)} AS amount",
         f"{or_sql('cancel_reason', 'return_reason', default='-')} AS reason")
 
@@ -101,7 +95,7 @@ def order_detail(orders: DataFrame, order_id: str) -> DataFrame:
         "order_id", "order_status", "posexplode(items) AS (pos, it)")
     st = or_sql("it.order_status", "order_status")
     return e.selectExpr(
-        "order_id", "pos", "substring(coalesce(it.product_name, ''), 1, 25) AS product_name",
+        "order_id", "pos", "coalesce(it.product_name, '') AS product_name",
         f"{or_sql('it.option_value', default='-')} AS option_value",
         f"{or_sql('it.quantity', default='1')} AS quantity",
         f"{js_round_sql('coalesce(' + parse_float_sql(or_sql('it.product_price', default='0')) + ', 0.0)')} AS price",

@@ -132,9 +132,9 @@ def cost_bridge(inventory: DataFrame, by_code: DataFrame, by_barcode: DataFrame)
 
 # ---- G12: margin groups, J4 cascade, margin columns ---------------------------------------
 
-def margin_groups(orders: DataFrame, start: str, end: str, limit: int = 100) -> DataFrame:
+def margin_groups(orders: DataFrame, start: str, end: str, limit: int | None = 100) -> DataFrame:
     """Sales per (name, product no, variant) in the period, effective,
-    named; the top ``limit`` by revenue (ties by the group key)."""
+    named; the top ``limit`` by revenue (ties by the group key), or all with None."""
     s = month_prune(orders, start, end).where(
         F.col("order_date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
                      & (F.col("product_name") != "") & effective_sale("status"))
@@ -142,6 +142,8 @@ def margin_groups(orders: DataFrame, start: str, end: str, limit: int = 100) ->
         F.sum("quantity").cast("bigint").alias("total_qty"),
         F.sum(money("amount")).alias("revenue_dec"),
         F.count(F.lit(1)).alias("order_count"))
+    if limit is None:
+        return g
     return g.orderBy(F.col("revenue_dec").desc(), "product_name", "product_no", "variant_code").limit(limit)
 
 

@@ -171,8 +171,8 @@ RECENT_COLUMNS = ("id", "channel", "order_id", "order_date", "status", "product_
 
 
 def recent_orders(orders: DataFrame, limit: int = 50, channel: str | None = None) -> DataFrame:
-    """L2: newest lines first, limit capped at 500 (id breaks ties)."""
-    n = max(0, min(int(limit), 500))
+    """L2: the ``limit`` newest lines (id breaks ties)."""
+    n = max(0, int(limit))
     return (for_channel(orders, channel)
             .orderBy(F.col("order_date").desc(), F.col("id"))
             .limit(n)

@@ -30,7 +30,6 @@ OPENING_SHEET_HEADERS = {
     "category": "카테고리", "cost": "입고단가", "price": "출고단가",
 }
 HEADER_MARKER = "품목코드"
-HEADER_SEARCH_ROWS = 5
 LOW_STOCK = 10
 # Stock-band labels (P11) and safety-band order (L4).
 BAND_NEGATIVE, BAND_OUT, BAND_LOW, BAND_OK = "negative", "out", "low", "ok"
@@ -74,10 +73,8 @@ def locate_header(raw: DataFrame, cells: list[str], pos: str = "pos", file: str
     """Keep the rows after the header row of each file.
 
     ``raw`` has text cells ``cells`` and an order column ``pos``.  The header
-    is the first of the first ``HEADER_SEARCH_ROWS`` rows that contains the
-    marker text in any cell; if none does, the first row.  ``pos`` is
-    contiguous at the start of a file, so the first rows are those less than
-    ``HEADER_SEARCH_ROWS`` after the file's first position.  One file: two
+    is the first row, at any depth, that contains the marker text in any
+    cell; if none does, the first row.  One file: two
     scalar subqueries; many files (``file`` column): per-file aggregates
     joined back on the file.
     """
@@ -86,12 +83,11 @@ def locate_header(raw: DataFrame, cells: list[str], pos: str = "pos", file: str
         has_marker = has_marker | F.coalesce(F.col(c).cast("string").contains(HEADER_MARKER), F.lit(False))
     if file is None:
         first = raw.select(F.min(pos)).scalar()
-        head = raw.where(has_marker & (F.col(pos) < first + F.lit(HEADER_SEARCH_ROWS))).select(F.min(pos)).scalar()
+        head = raw.where(has_marker).select(F.min(pos)).scalar()
         return raw.where(F.col(pos) > F.coalesce(head, first))
     firsts = raw.groupBy(file).agg(F.min(pos).alias("_first"))
     ranked = raw.join(firsts, file)
-    heads = (ranked.where(has_marker & (F.col(pos) < F.col("_first") + F.lit(HEADER_SEARCH_ROWS)))
-                   .groupBy(file).agg(F.min(pos).alias("_hdr")))
+    heads = (ranked.where(has_marker).groupBy(file).agg(F.min(pos).alias("_hdr")))
     return (ranked.join(heads, file, "left").where(F.col(pos) > F.coalesce("_hdr", "_first"))
                   .drop("_first", "_hdr"))
 

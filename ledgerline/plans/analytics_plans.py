@@ -60,8 +60,12 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY revenu
   SELECT channel, key, min_by(name, (date, name)) AS name, CAST(SUM(quantity) AS BIGINT) AS quantity,
     {money_sum_sql('revenue')} AS revenue
   FROM product_rows WHERE {IN_WIN} GROUP BY channel, key) a) b WHERE rank <= 20"""
+ALL_PRODUCTS = f"""
+SELECT channel, key, min_by(name, (date, name)) AS name, CAST(SUM(quantity) AS BIGINT) AS quantity,
+  {money_sum_sql('revenue')} AS revenue
+FROM product_rows WHERE {IN_WIN} GROUP BY channel, key"""
 AN_VIEWS = FEED_VIEWS + [("order_rows", ORDER_ROWS), ("product_rows", PRODUCT_ROWS), ("summary0", SUMMARY),
-                         ("summary", SUMMARY_OUT), ("top", TOP)]
+                         ("summary", SUMMARY_OUT), ("top", TOP), ("all_products", ALL_PRODUCTS)]
 AN_BASE = ["fx_orders"]
 
 
@@ -128,9 +132,10 @@ _PER_CH = ", ".join(
 @plan("g17_top_products", oracle=with_views(AN_BASE, f"""
 SELECT COALESCE(NULLIF(name, ''), 'unknown') AS product_name, CAST(SUM(quantity) AS BIGINT) AS total_qty,
   {money_sum_sql('revenue')} AS total_revenue, COUNT(*) AS n_channels, {_PER_CH}
-FROM top GROUP BY COALESCE(NULLIF(name, ''), 'unknown') ORDER BY total_revenue DESC, product_name LIMIT 30""", AN_VIEWS))
+FROM all_products GROUP BY COALESCE(NULLIF(name, ''), 'unknown') ORDER BY total_revenue DESC, product_name LIMIT 30""", AN_VIEWS))
 def g17_top(spark, sf):
-    return an.integrated_products(_top(spark, sf), CH, 30)
+    rows = an.in_window(_product_rows(spark, sf), S, E)
+    return an.integrated_products(an.channel_products(rows), CH, 30)
 
 
 _J8_SQL = f"""
@@ -235,12 +240,8 @@ _NAME = ("CASE WHEN n > 1 THEN first_name || ' 외 ' || CAST(n - 1 AS VARCHAR) |
          "ELSE COALESCE(first_name, '') END")
 
 
-def _cut_sql(x, n):
-    return f"CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END"
-
-
 ORDER_ROWS_SQL = f"""
-SELECT order_id, date || ' 10:15' AS order_time, customer AS buyer, {_cut_sql(_NAME, 25)} AS item_name,
+SELECT order_id, date || ' 10:15' AS order_time, customer AS buyer, {_NAME} AS item_name,
   CAST(qsum AS BIGINT) AS total_qty, status, {_label_sql('status')} AS status_label,
   CAST(floor(page_amount + 0.5) AS BIGINT) AS amount, regexp_matches(status, '^[CRE]') AS is_refund,
   '-' AS payment_method
@@ -253,7 +254,7 @@ def p07(spark, sf):
 
 
 @plan("p09_claim_rows", oracle=with_views(AN_BASE, f"""
-SELECT order_id, date || ' 10:15' AS order_time, {_cut_sql("COALESCE(NULLIF(names_comma, ''), '-')", 30)} AS items,
+SELECT order_id, date || ' 10:15' AS order_time, COALESCE(NULLIF(names_comma, ''), '-') AS items,
   status, {_label_sql('status')} AS status_label, CAST(floor(page_amount + 0.5) AS BIGINT) AS amount, '-' AS reason
 FROM a_raw WHERE substr(status, 1, 1) IN ('C', 'R', 'E')""", AN_VIEWS))
 def p09(spark, sf):
@@ -261,7 +262,7 @@ def p09(spark, sf):
 
 
 @plan("p08_order_detail", oracle=with_views(AN_BASE, f"""
-SELECT l.order_id, CAST(row_number() OVER (ORDER BY l.l) - 1 AS INT) AS pos, substr(l.product_name, 1, 25) AS product_name,
+SELECT l.order_id, CAST(row_number() OVER (ORDER BY l.l) - 1 AS INT) AS pos, l.product_name,
   'opt' AS option_value, CASE WHEN l.l = 5 THEN '1' ELSE CAST(l.q AS VARCHAR) END AS quantity,
   CAST(floor(l.price + 0.5) AS BIGINT) AS price, l.status, {_label_sql('l.status')} AS status_label
 FROM a_lines l WHERE l.order_id = '3'""", AN_VIEWS))
