@@ -30,16 +30,22 @@ def _stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFr
     """Write ``df`` to a fresh staging folder and read it back."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staging/{name}-{uuid.uuid4().hex[:12]}"
-    w = df.write.mode("overwrite")
+    w = (_clustered(df, partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
     return spark.read.parquet(path)
 
 
+def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Rows of a partition together, so that a task writes few folders; Spark
+    splits partitions that are large and merges small ones."""
+    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+
+
 def _publish(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Overwrite only the partitions present in ``df``."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (_clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
 
 
@@ -128,7 +134,7 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
 def _stage_orders(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staging/{name}-{uuid.uuid4().hex[:12]}"
-    df.write.partitionBy(*ORDER_PARTITIONS).parquet(path)
+    _clustered(df, ORDER_PARTITIONS).write.partitionBy(*ORDER_PARTITIONS).parquet(path)
     # without rows there are no files to take the schema from
     return spark.read.schema(df.schema).parquet(path), path
 
