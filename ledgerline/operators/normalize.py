@@ -57,12 +57,12 @@ def normalize_a(orders: DataFrame, channel: str = CHANNEL_A, ingest_seq: str = "
         f"aggregate({items}, CAST(0.0 AS DOUBLE), (s, i) -> s + {_item_price('i')} * {_item_qty('i')}) AS _isum",
         f"aggregate({items}, CAST(0 AS BIGINT), (s, i) -> s + {_item_qty('i')}) AS _qsum",
         f"size({items}) AS _n", f"{items} AS _items", f"{ingest_seq} AS ingest_seq")
-    multi = base.where("_n > 1").selectExpr("*", "posexplode(_items) AS (_pos, _item)")
-    single = base.where("_n <= 1").selectExpr("*", "CAST(NULL AS INT) AS _pos", "get(_items, 0) AS _item")
+    # orders without items keep one line; every record is parsed once
+    lines = base.selectExpr("*", "posexplode_outer(_items) AS (_pos, _item)")
     prefix = lit_sql(ID_PREFIX.get(channel, f"{channel}_"))
     ratio = "CASE WHEN _isum > 0 THEN ({p} * {q}) / _isum ELSE 1.0 / _n END".format(
         p=_item_price("_item"), q=_item_qty("_item"))
-    return multi.unionByName(single).selectExpr(
+    return lines.selectExpr(
         f"CASE WHEN _n > 1 THEN concat({prefix}, _oid, '_', CAST(_pos AS STRING)) ELSE concat({prefix}, _oid) END AS id",
         f"{lit_sql(channel)} AS channel", "_oid AS order_id", "order_date", "status",
         f"{_text('_item.product_name')} AS product_name", f"{_text('_item.product_no')} AS product_no",

@@ -26,7 +26,8 @@ def _fresh(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-plans/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_OID = F.col("order_id").cast("bigint")
+def _oid():
+    return F.col("order_id").cast("bigint")
 
 
 @plan("k01_upsert_stored", oracle=with_views(["fx_orders"], """
@@ -37,9 +38,9 @@ def k01_stored(spark, sf):
     """K1: a first batch with undated and wrongly dated lines, then the right
     lines of some of them, twice (a retry)."""
     path, lines = _fresh(spark, "orders"), fx.upsert_lines(spark, sf).withColumn("ingest_seq", F.lit(0))
-    early = F.when(_OID % 10 == 0, F.lit(None)).when(_OID % 7 == 0, F.date_add("order_date", 40)).otherwise(F.col("order_date"))
+    early = F.when(_oid() % 10 == 0, F.lit(None)).when(_oid() % 7 == 0, F.date_add("order_date", 40)).otherwise(F.col("order_date"))
     sinks.upsert_orders(spark, path, lines.withColumn("order_date", early))
-    right = lines.where((_OID % 20 == 0) | (_OID % 7 == 0))
+    right = lines.where((_oid() % 20 == 0) | (_oid() % 7 == 0))
     for _ in range(2):
         sinks.upsert_orders(spark, path, right)
     return _out(sinks.read_orders(spark, path))
@@ -176,8 +177,8 @@ def _collected(spark, sf) -> str:
     of changed orders and of records without an order id."""
     path, raw = _fresh(spark, "landing"), feeds.landed_a(spark, sf)
     raw.repartition(3).write.json(path)
-    raw.where(_OID % 5 == 0).withColumn("order_status", F.lit("R40")).repartition(2).write.mode("append").json(path)
-    raw.where(_OID % 9 == 0).drop("order_id", "order_no").write.mode("append").json(path)
+    raw.where(_oid() % 5 == 0).withColumn("order_status", F.lit("R40")).repartition(2).write.mode("append").json(path)
+    raw.where(_oid() % 9 == 0).drop("order_id", "order_no").write.mode("append").json(path)
     return path
 
 
