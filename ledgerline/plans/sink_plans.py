@@ -16,7 +16,7 @@ from ledgerline.plans.registry import plan
 from ledgerline.plans.stock_plans import _EXPORT_SQL, PAGE_VIEWS, SNAPSHOT_VIEWS, _page, _snapshot
 from ledgerline.session import checkpoint_dir
 from ledgerline.sinks import tables as sinks
-from ledgerline.sources import feeds
+from ledgerline.sources import feeds, sheets
 from ledgerline.sources import fixtures as fx
 from ledgerline.sources.fixtures import with_views
 from ledgerline.streaming import ingest
@@ -202,3 +202,79 @@ def p05(spark, sf):
     rejects = spark.read.parquet(f"{table}_rejects").agg(F.lit("rejects").alias("what"), F.count(F.lit(1)).alias("n"))
     saved = spark.read.parquet(f"{table}_runs").agg(F.lit("saved").alias("what"), F.sum("total_saved").cast("bigint").alias("n"))
     return rejects.unionByName(saved)
+
+
+# ---- sheets and cost lists read from files (S6-S9) -----------------------------------------------
+
+FILES = 4
+
+
+def _upload(df, path: str, cells: list[str], before: list[list[str | None]], seq: str = "seq") -> str:
+    """``FILES`` CSV files of the rows, each with the rows ``before`` it, in order."""
+    data = df.select((F.col(seq) % FILES).alias("b"), (F.col(seq) + 10).alias("pos"), *cells)
+    top = data.select("b").distinct()
+    for n, row in enumerate(before):
+        data = data.unionByName(top.select("b", F.lit(n).cast("bigint").alias("pos"),
+                                           *[F.lit(v).cast("string").alias(c) for c, v in zip(cells, row)]))
+    (data.repartition(FILES, "b").sortWithinPartitions("b", "pos").select("b", *cells)
+     .write.partitionBy("b").option("escape", '"').option("emptyValue", "").csv(path))
+    return path
+
+
+@plan("s06_stock_sheet_files", oracle=with_views(["fx_inventory_rows"], """
+SELECT CASE WHEN seq % 7 = 0 THEN barcode ELSE product_code END AS product_code, barcode, product_name,
+  option_name, category, supplier, supplier_option, cost_price, sell_price, stock_qty, defect_qty
+FROM fx_inventory_rows WHERE seq % 50 <> 0"""))
+def s06_files(spark, sf):
+    """S6 from several CSV files with a header row."""
+    from ledgerline.plans.stock_plans import _stock_sheet
+    path, sheet = _fresh(spark, "sheet-stock"), _stock_sheet(spark, sf)
+    sheet.drop("seq").repartition(3).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    return sheets.read_stock_sheet(spark, path)
+
+
+@plan("s07_cost_sheet_files", oracle=with_views(["fx_costs"], f"SELECT {_COST_OUT} FROM fx_costs WHERE item_code <> ''"))
+def s07_files(spark, sf):
+    """S7 from several CSV files, each with seven title rows and a header row."""
+    c = fx.costs(spark, sf)
+    cells = [f"c{i}" for i in range(10)]
+    rows = c.select("seq", F.col("item_code").alias("c0"), F.col("barcode").alias("c1"), F.col("item_name").alias("c2"),
+                    F.col("option_name").alias("c3"), F.format_number("cost_price", 2).alias("c4"),
+                    F.col("sell_price").cast("string").alias("c5"), F.col("category").alias("c6"), F.lit("x").alias("c7"),
+                    F.lit("").alias("c8"), F.col("supplier").alias("c9"))
+    title = [["cost list" if i == 2 else "-" for i in range(10)]] * 7
+    path = _upload(rows, _fresh(spark, "sheet-costs"), cells, [*title, [stock.HEADER_MARKER, *cells[1:]]])
+    return sheets.read_cost_sheet(spark, path)
+
+
+@plan("s08_cost_json_files", oracle=with_views(["fx_costs"], f"SELECT {_COST_OUT} FROM fx_costs"))
+def s08_files(spark, sf):
+    """JSON files read and stored through K3 (replace) and K4 (append)."""
+    path, c = _fresh(spark, "cost-json"), fx.costs(spark, sf)
+    posted = c.select("seq", F.col("item_code").alias("code"), "barcode", F.col("item_name").alias("name"),
+                      F.col("option_name").alias("option"), F.col("cost_price").alias("cost"), F.col("sell_price").alias("sell"),
+                      "category", "supplier")
+    for n in (0, 1):
+        posted.where(F.col("seq") % 2 == n).drop("seq").write.json(f"{path}/{n}")
+    sinks.replace_costs(sheets.read_cost_json(spark, f"{path}/0"), f"{path}-table")
+    sinks.append_costs(sheets.read_cost_json(spark, f"{path}/1"), f"{path}-table")
+    return spark.read.parquet(f"{path}-table")
+
+
+@plan("s09_opening_sheet_files", oracle=with_views(["fx_inventory_rows"], """
+SELECT product_code AS code, barcode, product_name AS name, option_name AS option, category,
+  CASE WHEN cost_price >= 1000 THEN CAST(floor(cost_price / 1000) AS DOUBLE) ELSE cost_price END AS cost, sell_price AS price
+FROM fx_inventory_rows WHERE seq % 9 <> 0"""))
+def s09_files(spark, sf):
+    """S9 from several CSV files; columns by the header's names."""
+    names = list(stock.OPENING_SHEET_HEADERS.values())
+    r = fx.inventory_rows(spark, sf)
+    code = F.when(F.col("seq") % 9 == 0, F.lit("")).otherwise(F.concat(F.lit(" "), F.col("product_code")))
+    cols = [code, F.col("barcode"), F.col("product_name"), F.col("option_name"), F.col("category"),
+            F.format_number("cost_price", 2), F.col("sell_price").cast("string")]
+    cells = [f"c{i}" for i in range(len(names))]
+    order = [3, 0, 1, 2, 6, 5, 4]           # the sheet's own column order
+    rows = r.select("seq", *[cols[j].alias(cells[i]) for i, j in enumerate(order)])
+    path = _upload(rows, _fresh(spark, "sheet-opening"), cells,
+                   [["stock list", *["-"] * (len(names) - 1)], [names[j] for j in order]])
+    return sheets.read_opening_sheet(spark, path)
