@@ -141,10 +141,13 @@ def event_time(df: DataFrame, col: str = "ts") -> DataFrame:
 def hourly_sales(events: DataFrame, exact: bool = True) -> DataFrame:
     """One-day windows sliding every hour: event count, value sum and
     distinct users (exact in batch; streams use the approximate count)."""
-    users = F.countDistinct("user_id") if exact else F.approx_count_distinct("user_id")
-    return (events.groupBy(F.window("ts", "1 day", "1 hour").alias("w"))
-                  .agg(F.count(F.lit(1)).alias("events"), F.sum(F.col("value").cast("decimal(18,2)"))
-                       .cast("double").alias("value"), users.alias("users"))
+    value = F.col("value").cast("decimal(18,2)")
+    w, n, users = F.window("ts", "1 day", "1 hour").alias("w"), F.count(F.lit(1)), F.approx_count_distinct("user_id")
+    if exact:
+        # one row per hour and user before each is copied into its 24 windows
+        events = events.groupBy(F.date_trunc("hour", "ts").alias("ts"), "user_id").agg(n.alias("n"), F.sum(value).alias("v"))
+        n, value, users = F.sum("n"), F.col("v"), F.countDistinct("user_id")
+    return (events.groupBy(w).agg(n.alias("events"), F.sum(value).cast("double").alias("value"), users.alias("users"))
                   .select(F.col("w.start").cast("string").alias("window_start"),
                           F.col("w.end").cast("string").alias("window_end"), "events", "value", "users"))
 
