@@ -24,6 +24,7 @@ that repeat count and are scored each; with no training text every count is 0; o
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,12 +38,15 @@ from ledgerline.session import checkpoint_dir
 
 ORDER = 2
 FOLDS, HELD_OUT, DELETED = 7, 2, 3      # crc32(id) mod FOLDS: never learned from / deleted for EM
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 14 << 20
 RANGE_KEYS = 1 << 21                    # n-gram keys that one task adds up, about
 BUCKETS = 24
 EM_ROUNDS = 100
 _BEGIN, _END = W.random_words(41, 2)
 _STEP = W.random_words(42, 8) | W.U64(1)
+# Low bits that keys leave out, for words and for longer n-grams: word keys have 62 bits; 48 bits of the others
+# let an n-gram share its count with another one with a chance of 2e-7 in a corpus of 60 million.
+_LOW = (2, 16)
 _NONE = -32768                          # grid value of probability 0
 
 
@@ -76,7 +80,7 @@ class Block:
                 before = np.concatenate(([_BEGIN], before[:-1])) if total else before
                 before[self.starts] = _BEGIN
                 run = W.mix(run + before * _STEP[k])
-            self.keys.append((W.mix(run) & ~W.U64(3)) | W.U64(k))
+            self.keys.append((W.mix(run) & ~W.U64((1 << _LOW[min(k, 1)]) - 1)) | W.U64(k))
 
     def rows(self, docs: np.ndarray) -> np.ndarray:
         """Mask over tokens of the texts in the mask ``docs``."""
@@ -93,6 +97,10 @@ class Block:
         out[np.searchsorted(keys, got)] = n
         return out
 
+    def all_counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """The sorted distinct keys, and how often each occurs."""
+        return np.unique(np.concatenate(self.keys), return_counts=True)
+
 
 def _zip(x: np.ndarray) -> bytes:
     """Integers as bytes: all lowest bytes first, then the next ones, compressed."""
@@ -107,6 +115,17 @@ def _unzip(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(dtype).reshape(n)
 
 
+def _zip_keys(keys: np.ndarray, order: int) -> list[bytes]:
+    """Sorted keys as differences, each order on its own."""
+    own = [keys[(keys & W.U64(3)) == k] >> W.U64(_LOW[min(k, 1)]) for k in range(order)]
+    return [_zip(np.diff(x, prepend=W.U64(0))) for x in own]
+
+
+def _unzip_keys(parts) -> np.ndarray:
+    own = [np.cumsum(_unzip(b, np.uint64), dtype=W.U64) << W.U64(_LOW[min(k, 1)]) | W.U64(k) for k, b in enumerate(parts)]
+    return np.sort(np.concatenate(own))
+
+
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
     schema = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
@@ -144,26 +163,26 @@ def _learned(folds: np.ndarray) -> np.ndarray:
 
 def _send(batches, order: int, log2_ranges: int):
     """Per block and range of keys: the sorted keys (as differences), and their training and deleted counts."""
-    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("keys", pa.binary()),
+    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("keys", pa.list_(pa.binary())),
                         ("train", pa.binary()), ("deleted", pa.binary())])
     for batch in batches:
         for i, raw in zip(batch.column("block").to_pylist(), batch.column("docs")):
             t = _unpack(raw.as_py())
             b = Block(t["text"].combine_chunks(), order)
             folds = t["fold"].to_numpy()
-            keys = b.distinct()
-            train, deleted = b.counts(keys, _learned(folds)), b.counts(keys, folds == DELETED)
+            keys, n = b.all_counts()
+            train, deleted = n - b.counts(keys, ~_learned(folds)), b.counts(keys, folds == DELETED)
             edges = np.searchsorted(keys, np.arange(1, 1 << log2_ranges, dtype=W.U64) << W.U64(64 - log2_ranges)) \
                 if log2_ranges else np.zeros(0, np.int64)
             cut = np.concatenate(([0], edges, [len(keys)]))
-            out = [(i, r, _zip(np.diff(keys[a:z], prepend=W.U64(0))), _zip(train[a:z]), _zip(deleted[a:z]))
+            out = [(i, r, _zip_keys(keys[a:z], order), _zip(train[a:z]), _zip(deleted[a:z]))
                    for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def _add(t: pa.Table) -> pa.Table:
     """Totals of a range, for every block's list; and the range's own sums in the row of block -1."""
-    keys = [np.cumsum(_unzip(x.as_py(), np.uint64), dtype=W.U64) for x in t["keys"]]
+    keys = [_unzip_keys(x.as_py()) for x in t["keys"]]
     every = np.unique(np.concatenate(keys))
     train, deleted = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     at = [np.searchsorted(every, k) for k in keys]
@@ -288,14 +307,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     # about one distinct n-gram of each order for every 10 bytes
     size = blocks.count() * block_bytes * order // 10
     log2_ranges = max(0, int(np.ceil(np.log2(max(1, size / RANGE_KEYS)))))
-    sent = blocks.mapInArrow(lambda x: _send(x, order, log2_ranges), "block bigint, range int, keys binary, train binary, deleted binary")
+    sent = blocks.mapInArrow(lambda x: _send(x, order, log2_ranges), "block bigint, range int, keys array<binary>, train binary, deleted binary")
     answers = sent.groupBy("range").applyInArrow(_add, "block bigint, range int, train binary, deleted binary").checkpoint()
+    del sent
+    _release(docs)
     n_all = n_words = n_gone = n_left = 0
     for r in answers.where("block = -1").select("train").toLocalIterator():                 # four sums for each range
         a, b, c, d = _unzip(bytes(r[0]), np.int64).tolist()
         n_all, n_words, n_gone, n_left = n_all + a, n_words + b, n_gone + c, n_left + d
     met = (blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
            .applyInArrow(_meet, "docs binary, train binary, deleted binary")).checkpoint()
+    del blocks, answers
+    _release(docs)
     cells = met.mapInArrow(lambda x: _cells(x, order, n_all - n_gone, n_rest), "cell array<int>, n bigint")
     grid = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()                      # bounded by the grid
     lam = learn(np.array(grid["cell"].tolist(), dtype=np.int64), grid["n"].to_numpy(), order, n_left)
@@ -306,6 +329,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     return met.mapInArrow(lambda x: _scores(x, order, n_all, n_words, n_docs, lam, schema), ddl).withColumnRenamed("id", id_col)
 
 
+def _release(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files and checkpoints of finished steps:
+    its cleaner does so when the driver has collected their handles."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
 def _arrow(own: DataFrame) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
     return to_arrow_type(own.schema["id"].dataType)

@@ -32,17 +32,11 @@ def brute(rows, order=2):
         return c, sum(c[0].values()), len(c[0])
 
     def estimates(t, c, n, docs):
-        out = []
-        for j in range(len(tokens(t))):
-            row = []
-            for k in range(order):
-                g = grams(t, k + 1)[j]
-                ctx = n if k == 0 else c[k - 1][g[:-1]] if set(g[:-1]) != {"<b>"} else docs
-                if k and g[:-1] and set(g[:-1]) != {"<b>"} and len(g[:-1]) == k:
-                    ctx = c[k - 1][g[:-1]]
-                row.append((c[k][g], ctx))
-            out.append(row)
-        return out
+        by_order = [grams(t, k + 1) for k in range(order)]
+
+        def context(k, g):
+            return n if k == 0 else docs if set(g[:-1]) == {"<b>"} else c[k - 1][g[:-1]]
+        return [[(c[k][g[j]], context(k, g[j])) for k, g in enumerate(by_order)] for j in range(len(by_order[0]))]
 
     train = [r for r in rows if fold(r[0]) != 2]
     rest = [r for r in train if fold(r[0]) != 3]
