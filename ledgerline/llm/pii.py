@@ -4,10 +4,11 @@ identifiers that no base pattern covers (DataFrame functions only).
 Base kinds are e-mail addresses, IPv4 addresses, payment cards (Luhn) and
 phone numbers.  They seed a pattern-instance graph:
 
-* an instance is the string of a base span or of an identifier-like token
-  (letters, digits and ``_ / -``; at least ``MIN_CHARS``, one a digit) outside base spans;
-* a pattern is the lexical context it stands in: up to two words before it, lower-cased, and the
-  shape of the string (runs of digits and letters);
+* an instance is the string of a base span or of an identifier-like token outside base spans: a run
+  of the characters of e-mail addresses, ``@`` and ``/`` with a digit, one of ``@ _ % +`` or an inner dot, or
+  groups of digits written as in cards and phone numbers;
+* a pattern is the lexical context alone: up to two words before it, lower-cased, back to the token
+  or span before; a context without a letter is none;
 * an edge is a distinct (pattern, instance), so copies of a text add nothing.
 
 In each round a pattern's score is the sum of its instances' scores over their
@@ -38,7 +39,12 @@ EMAIL = (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.(?=[A-
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?=[\x20-]?[0-9])[0-9\x20-]*?(?![0-9]|[\x20-][0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-TOKEN = r"(?<![A-Za-z0-9_/-])[A-Za-z_/-]*+[0-9][A-Za-z0-9_/-]*+"
+TOKEN = (r"(?<![A-Za-z0-9_%+@/-])(?!\.)(?=[A-Za-z/-]*+(?:[0-9@_%+]|\.[A-Za-z0-9]))"
+         r"[A-Za-z0-9_%+@/.-]*[A-Za-z0-9_/-]")
+# digit groups with the separators of cards and phone numbers
+GROUPS = (r"(?<![A-Za-z0-9_%+@/.-])[+(]?[0-9][0-9\x20().-]*?"
+          r"(?![0-9]|[\x20().-][0-9]|\)[\x20-][0-9]|\x20\([0-9])(?![A-Za-z_%+@/]|[.-][A-Za-z])")
+HIDDEN = "\x01"         # stands in the place of spans found before
 
 MIN_CHARS = 6
 MAX_CHARS = 64
@@ -78,15 +84,23 @@ def base(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Identifier-like tokens of a text."""
-    return F.filter(S.find(text, TOKEN, text.rlike("[0-9]")), lambda x: F.length(x["t"]).between(MIN_CHARS, MAX_CHARS))
+    """Identifier-like tokens of a text, the short ones too."""
+    like = lambda x: x["t"].rlike(r"[0-9@_%+]|\.[A-Za-z0-9]") & (F.length(x["t"]) <= MAX_CHARS)
+    return F.filter(S.find(text, TOKEN, text.rlike(TOKEN)), like)
 
 
-def _context(left: Column, t: Column) -> Column:
-    """Up to two words before the string, lower-cased, and the string's shape."""
-    words = F.regexp_extract(F.lower(left), r"(?:(\S+)\s+)?(\S+)[\s]*$", 0)
-    shape = F.regexp_replace(F.regexp_replace(t, "[0-9]+", "9"), "[A-Za-z]+", "a")
-    return F.concat_ws(" ", F.regexp_replace(F.btrim(words), r"\s+", " "), F.concat(shape, F.lit("/"), F.length(t).cast("string")))
+def groups(text: Column) -> Column:
+    """Identifier-like groups of digits with spaces or brackets between them."""
+    like = lambda x: (x["t"].rlike(r"[\x20()]") & (F.length(_digits(x["t"])) >= MIN_CHARS)
+                      & (F.length(x["t"]) <= MAX_CHARS))
+    return F.filter(S.find(text, GROUPS, text.rlike(r"[0-9][)\x20][\x20(-]?[0-9]")), like)
+
+
+def _context(left: Column) -> Column:
+    """Up to two words before the string, lower-cased, without marks in front; empty if they have no letter."""
+    after = F.regexp_replace(left, f"(?s)^.*(?:{TOKEN}|{HIDDEN})", "")
+    words = F.regexp_extract(F.lower(after), r"(?:(\S+)\s+)?(\S+)[\s]*$", 0)
+    return F.regexp_replace(F.regexp_replace(F.btrim(words), r"^[^\p{L}]+", ""), r"\s+", " ")
 
 
 def discovered(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -118,11 +132,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
     d = d.select("id", "key", "text", base(F.col("text")).alias("base"))
-    d = d.select("id", "key", "base", tokens(S.mask(F.col("text"), F.col("base"))).alias("tokens")).checkpoint()
+    d = d.select("id", "key", "base", S.mask(F.col("text"), F.col("base"), HIDDEN).alias("text"))
+    d = d.select("id", "key", "base", "text", groups(F.col("text")).alias("groups"))
+    d = d.select("id", "key", "base", F.array_sort(F.concat("groups", tokens(S.mask(F.col("text"), F.col("groups"), HIDDEN)))).alias("tokens")).checkpoint()
     some = d.where("size(base) + size(tokens) > 0").select("key", "base", "tokens").dropDuplicates(["key"])
     of = lambda c, seed: (some.select("key", F.explode(c).alias("x"))
-                          .select("key", "x.s", "x.e", "x.t", _context(F.col("x.left"), F.col("x.t")).alias("pattern"),
-                                  F.lit(seed).alias("seed")))
+                          .select("key", "x.s", "x.e", "x.t", _context(F.col("x.left")).alias("pattern"),
+                                  F.lit(seed).alias("seed")).where("pattern <> ''"))
     seen = of("base", True).unionByName(of("tokens", False)).checkpoint()
     new = discovered(seen, rounds)
     ids = (seen.where("not seed").join(new, ["pattern", "t"])

@@ -28,11 +28,11 @@ def find(text: Column, pattern: str, when: Column) -> Column:
     return F.when(when, _let(pairs, _placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def mask(text: Column, spans: Column) -> Column:
-    """The text with spaces in the place of the spans (sorted by start), other positions unchanged."""
+def mask(text: Column, spans: Column, fill: str = " ") -> Column:
+    """The text with ``fill`` in the place of the spans (sorted by start), other positions unchanged."""
     def step(a, x):
         s = F.greatest(a["p"], x["s"])
-        more = F.concat(a["o"], F.substring(text, a["p"] + 1, s - a["p"]), F.repeat(F.lit(" "), F.greatest(F.lit(0), x["e"] - s)))
+        more = F.concat(a["o"], F.substring(text, a["p"] + 1, s - a["p"]), F.repeat(F.lit(fill), F.greatest(F.lit(0), x["e"] - s)))
         return F.struct(F.greatest(a["p"], x["e"]).alias("p"), more.alias("o"))
 
     masked = F.aggregate(spans, F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step,

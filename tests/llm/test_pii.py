@@ -69,3 +69,21 @@ def test_bootstrapped_identifiers(make_docs):
     assert [(x.s, x.e, x.t) for x in got[10].ids] == [(18, 34, "4111111111111112")]
     assert [(x.s, x.e) for x in got[11].ids] == [(14, 30)]
     assert all(got[i].ids == [] for i in (12, 13, 14))
+
+
+def found(make_docs, rows):
+    return {r.doc_id: [x.t for x in r.ids] for r in pii.scan(make_docs(rows)).collect()}
+
+
+def test_contexts_discover_other_shapes(make_docs):
+    rows = [(i, f"please write to contact: user{i}@mail.example.org today") for i in range(4)]
+    rows += [(10 + i, f"logged in from host 10.1.2.{i} again") for i in range(4)]
+    rows += [(20 + i, f"you may call +1 (743) 555-382{i} now") for i in range(4)]
+    want = {30: ("contact:", "@jane_doe"), 31: ("contact:", "jane.doe"), 32: ("contact:", "CUST-0099812"), 33: ("to contact:", "P1234567"),
+            34: ("from host", "fe80-17/node_4"), 35: ("from host", "db7.intern"), 36: ("may call", "(743) 555-3824"),
+            37: ("may call", "0049 30 123456"), 38: ("may call", "skype_9921")}
+    rows += [(i, f"see 77 you write to {c} {t}, thanks" if c.startswith("contact") else f"see {c} {t}, thanks") for i, (c, t) in want.items()]
+    rows += [(50, "write to contact: somebody"), (51, "part CUST-0099812 in stock"), (52, "12345678 12345679x")]
+    got = found(make_docs, rows)
+    assert {i: got[i] for i in want} == {i: [t] for i, (_, t) in want.items()}
+    assert got[50] == got[51] == got[52] == [] and all(got[i] == [] for i in range(24) if i in got)
