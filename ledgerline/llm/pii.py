@@ -7,14 +7,16 @@ phone numbers.  They seed a pattern-instance graph:
 * an instance is the string of a base span or of an identifier-like token outside base spans: a run
   of the characters of e-mail addresses, ``@`` and ``/`` with a digit, one of ``@ _ % +`` or an inner dot, or
   groups of digits written as in cards and phone numbers;
+* a token of fewer than ``MIN_CHARS`` characters is known to be no identifier;
 * a pattern is the lexical context alone: up to two words before it, lower-cased, back to the token
   or span before; a context without a letter is none;
 * an edge is a distinct (pattern, instance), so copies of a text add nothing.
 
-In each round a pattern's score is the sum of its instances' scores over their
-number plus ``PRIOR``; an instance's is one minus the product of (1 - score) over its
-patterns; seeds stay at 1.  Only patterns with at least ``MIN_SEEDS`` trusted
-instances and a score of at least ``MIN_SCORE`` pass scores on.  After the last
+In each round a pattern's score is its number of trusted instances (seeds, and those with a
+score of ``MIN_SCORE``) over that number, its known non-identifiers and ``PRIOR``; other
+instances are unlabelled and count on neither side.  An instance's score is one minus the product of (1 - score) over its
+patterns; seeds stay at 1.  Only patterns with at least ``MIN_SEEDS`` seeds
+and a score of at least ``MIN_SCORE`` pass scores on.  After the last
 round the instances of such patterns with a score of ``MIN_SCORE`` are discovered, and
 each of their occurrences in such a context is reported as kind ``id``.
 
@@ -106,23 +108,27 @@ def _context(left: Column) -> Column:
 def discovered(occurrences: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(pattern, t) of discovered instances in trusted contexts, from
     occurrences (pattern, t, seed)."""
-    edges = occurrences.groupBy("pattern", "t").agg(F.max("seed").alias("seed"))
+    edges = (occurrences.groupBy("pattern", "t").agg(F.max("seed").alias("seed"))
+             .withColumn("non", ~F.col("seed") & (F.length("t") < MIN_CHARS)))
     # a pattern needs MIN_SEEDS seeds to ever pass a score on
-    able = edges.groupBy("pattern").agg(F.count_if("seed").alias("k"), F.count(F.lit(1)).alias("n")).where(
-        (F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k")))
+    able = edges.groupBy("pattern").agg(F.count_if("seed").alias("k"), F.count_if("non").alias("non"),
+                                        F.count(F.lit(1)).alias("n")).where(
+        (F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k") + F.col("non")))
     edges = edges.join(able.select("pattern"), "pattern", "left_semi").checkpoint()
     score = edges.groupBy("t").agg(F.max(F.col("seed").cast("double")).alias("score"))
     trusted = None
+    known = F.count_if(F.col("score") >= MIN_SCORE)
     for _ in range(rounds):
         patterns = (edges.join(score, "t").groupBy("pattern")
-                    .agg((F.sum("score") / (F.count(F.lit(1)) + PRIOR)).alias("p"))
+                    .agg((known / (known + F.count_if("non") + PRIOR)).alias("p"))
                     .where(F.col("p") >= MIN_SCORE)).checkpoint()
         miss = F.sum(F.log(1 - F.least(F.col("p"), F.lit(1 - 1e-9))))
         score = (edges.join(patterns, "pattern", "left").groupBy("t")
-                 .agg(F.max(F.col("seed").cast("double")).alias("own"), (1 - F.exp(F.coalesce(miss, F.lit(0.0)))).alias("got"))
-                 .select("t", F.greatest("own", "got").alias("score"))).checkpoint()
+                 .agg(F.max(F.col("seed").cast("double")).alias("own"), F.max("non").alias("non"),
+                      (1 - F.exp(F.coalesce(miss, F.lit(0.0)))).alias("got"))
+                 .select("t", F.greatest("own", F.when(F.col("non"), 0.0).otherwise(F.col("got"))).alias("score"))).checkpoint()
         trusted = patterns
-    return (edges.where("not seed").join(trusted.select("pattern"), "pattern")
+    return (edges.where("not seed and not non").join(trusted.select("pattern"), "pattern")
             .join(score.where(F.col("score") >= MIN_SCORE).select("t"), "t").select("pattern", "t").distinct())
 
 

@@ -87,3 +87,15 @@ def test_contexts_discover_other_shapes(make_docs):
     got = found(make_docs, rows)
     assert {i: got[i] for i in want} == {i: [t] for i, (_, t) in want.items()}
     assert got[50] == got[51] == got[52] == [] and all(got[i] == [] for i in range(24) if i in got)
+
+
+def test_unlabelled_are_no_negatives(make_docs):
+    rows = [(i, f"our account holder: u{i}@ex.org") for i in range(3)] + [(3, "our account holder: AB-123456")]
+    rows += [(100 + i, f"client mail: u{i}@ex.org") for i in range(100)] + [(300 + i, f"client mail: ZX{i:06d}") for i in range(40)]
+    rows += [(400 + i, f"seen in u{i}@ex.org") for i in range(3)] + [(410 + i, f"seen in {1990 + i}") for i in range(2)]
+    rows += [(420, "seen in AB-777777")] + [(430 + i, f"only two u{i}@ex.org") for i in range(2)] + [(440, "only two AB-888888")]
+    got = found(make_docs, rows)
+    assert got[3] == ["AB-123456"]
+    assert all(got[300 + i] == [f"ZX{i:06d}"] for i in range(40))
+    assert got[420] == [] and got[440] == []
+    assert not any(got[i] for i in (*range(3), *range(100, 200), 400, 410, 411))
