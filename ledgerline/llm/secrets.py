@@ -39,10 +39,10 @@ HEX = r"[0-9a-f]{24,}"
 
 # Weak parts.
 _END = r"""["']?\x20*[:=]\x20*["']?"""
-NAMED_ID = r"(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:[_-]?name)?|login|account)" + _END + r"[A-Za-z0-9._@+-]{3,128}"
-NAMED_SECRET = r"(?i:pwd|pass|passphrase|credential|private[_-]?key|auth(?:[_-]?key)?)" + _END + r"[A-Za-z0-9+/_.=!@#$%^&*-]{4,256}"
-BARE_KEY = r"(?:\G|(?<![A-Za-z0-9+/=_-]))[A-Za-z0-9+/]{32,256}={0,2}(?![A-Za-z0-9+/=_-])"
-ENDPOINT = r"(?:\G|(?<![A-Za-z0-9+.-]))[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\s\"'<>]{3,512}"
+NAMED_ID = r"(?i:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:[_-]?name)?|login|account)" + _END + r"[A-Za-z0-9._@+-]{3,}+"
+NAMED_SECRET = r"(?i:pwd|pass|passphrase|credential|private[_-]?key|auth(?:[_-]?key)?)" + _END + r"[A-Za-z0-9+/_.=!@#$%^&*-]{4,}+"
+BARE_KEY = r"(?:\G|(?<![A-Za-z0-9+/=_-]))[A-Za-z0-9+/]{32,}+={0,2}(?![A-Za-z0-9+/=_-])"
+ENDPOINT = r"(?:\G|(?<![A-Za-z0-9+.-]))[A-Za-z][A-Za-z0-9+.-]{1,}+://[^\s\"'<>]{3,}+"
 
 IDENTIFIER, SECRET, PLACE = "identifier", "secret", "endpoint"
 

@@ -79,3 +79,18 @@ def test_interval_join_is_exact(spark, make_docs):
     got = kinds(S.scan(make_docs(rows), distance=25).collect())
     for i, kind in got.items():
         assert (kind != []) == (i % 1000 + 1 <= 25), i
+
+
+def test_long_parts_are_whole(make_docs):
+    fill = lambda n: (BARE * (n // len(BARE) + 1))[:n]
+    rows, want = [], {}
+    for n in (300, 5000):
+        for m, (head, tail) in enumerate([(f"{KEY} ", ""), ("login: bob pwd = ", ""), ("pwd = hunter2 login: ", ""),
+                                          ("login: bob pwd = hunter2 https://", "")]):
+            i = 10 * n + m
+            rows.append((i, f"see {head}{fill(n)}{tail} end"))
+            want[i] = len(f"see {head}") + n
+    got = {r.doc_id: max(x.e for x in r.linked) for r in S.scan(make_docs(rows)).collect()}
+    assert got == want
+    for r in S.redact(make_docs(rows)).collect():
+        assert BARE[:8] not in r.text and r.text.endswith("[secret] end") and r.n_chars == len(r.text)
