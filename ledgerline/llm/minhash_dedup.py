@@ -1,10 +1,11 @@
 """Near-duplicate documents: min-max hashing, banding, exact confirmation.
 
-Signature.  Under each of ``PERMUTATIONS`` hash functions both the smallest
+Signature.  Under each of a number of hash functions both the smallest
 and the largest value of a document's shingle set are kept; either one agrees
 between two sets with probability J, so 40 hash evaluations a shingle give 80
-signature values.  20 bands of 4 values: a pair at J = 0.85 shares no band
-with probability (1 - 0.85^4)^20 = 4e-7.
+signature values.  Values form bands of ``ROWS``, as many as keep the probability that
+a pair at the threshold shares none within ``MISS``: 20 at J = 0.85 (40 functions,
+(1 - 0.85^4)^20 = 4e-7), 28 at J = 0.8 (56 functions).
 
 Links.  Documents with equal sets form a class and are represented by their
 smallest id.  Representatives that share a band are confirmed on their whole sets
@@ -26,6 +27,8 @@ an id are one node (confirmed by its smallest text), and each row is returned; o
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,13 +40,12 @@ from ledgerline.llm.graph import components
 from ledgerline.session import checkpoint_dir
 
 SHINGLE = 5
-PERMUTATIONS = 40
-BANDS, ROWS = 20, 4                     # BANDS * ROWS = 2 * PERMUTATIONS
+ROWS = 4
+MISS = 4e-7                             # how often a pair at the threshold may share no band
 MIN_PERCENT = 85                        # 100 * intersection >= MIN_PERCENT * union
 SMALL_BUCKET = 32                       # up to here the rest of a bucket is compared as pairs
 BLOCK_MEMBERS, BLOCK_SHINGLES = 512, 1 << 18
 
-_XOR, _MUL = W.random_words(31, PERMUTATIONS), W.random_words(32, PERMUTATIONS) | W.U64(1)
 _BAND = W.random_words(33, ROWS) | W.U64(1)
 
 SIGNATURE = "struct<n:bigint,hi:bigint,lo:bigint,bands:array<bigint>>"
@@ -61,26 +63,33 @@ def sets(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarra
     return h, np.searchsorted(doc, np.arange(len(off)))
 
 
-def min_max(h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def bands_for(percent: int) -> int:
+    """Bands that find a pair at the threshold but with probability ``MISS``."""
+    return 1 if percent >= 100 else math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
+
+
+def min_max(h: np.ndarray, bounds: np.ndarray, permutations: int = 40) -> np.ndarray:
     """Signature values, one column per non-empty set: all minima, then all maxima."""
     at = bounds[:-1][np.diff(bounds) > 0]
-    out = np.empty((2 * PERMUTATIONS, len(at)), dtype=W.U64)
-    for p in range(PERMUTATIONS):
-        v = (h ^ _XOR[p]) * _MUL[p]
+    out = np.empty((2 * permutations, len(at)), dtype=W.U64)
+    xor, mul = W.random_words(31, permutations), W.random_words(32, permutations) | W.U64(1)
+    for p in range(permutations):
+        v = (h ^ xor[p]) * mul[p]
         out[p] = np.minimum.reduceat(v, at)
-        out[PERMUTATIONS + p] = np.maximum.reduceat(v, at)
+        out[permutations + p] = np.maximum.reduceat(v, at)
     return out
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
-    """(sets, BANDS) fingerprints of consecutive groups of ROWS values."""
-    s = signature.reshape(BANDS, ROWS, -1)
-    keys = (s * _BAND[None, :, None]).sum(axis=1, dtype=W.U64) + np.arange(1, BANDS + 1, dtype=W.U64)[:, None]
+    """(sets, bands) fingerprints of consecutive groups of ROWS values."""
+    s = signature.reshape(len(signature) // ROWS, ROWS, -1)
+    keys = (s * _BAND[None, :, None]).sum(axis=1, dtype=W.U64) + np.arange(1, len(s) + 1, dtype=W.U64)[:, None]
     return W.mix(keys).T
 
 
-def signature(text: Column, k: int = SHINGLE) -> Column:
+def signature(text: Column, k: int = SHINGLE, percent: int = MIN_PERCENT) -> Column:
     """struct<n, hi, lo, bands>: size and 128-bit digest of the set, band keys."""
+    count = bands_for(percent)
 
     @F.arrow_udf(SIGNATURE)
     def sign(texts: pa.Array) -> pa.Array:
@@ -90,19 +99,19 @@ def signature(text: Column, k: int = SHINGLE) -> Column:
             n = np.diff(bounds)
             has = n > 0
             a, b = np.zeros(len(n), W.U64), np.zeros(len(n), W.U64)
-            bands = np.zeros((len(n), BANDS), W.U64)
+            bands = np.zeros((len(n), count), W.U64)
             if len(h):
                 at = bounds[:-1][has]
                 a[has] = np.add.reduceat(W.mix(h ^ W.U64(0x5851F42D4C957F2D)), at)
                 b[has] = np.add.reduceat(W.mix(h * W.U64(0x2545F4914F6CDD1D)), at)
-                bands[has] = band_keys(min_max(h, bounds))
+                bands[has] = band_keys(min_max(h, bounds, count * ROWS // 2))
             size.append(n)
             hi.append(a)
             lo.append(b)
             keys.append((bands[has].reshape(-1), has))
         n = np.concatenate(size) if size else np.zeros(0, np.int64)
         flat = np.concatenate([x[0] for x in keys]) if keys else np.zeros(0, W.U64)
-        ends = np.concatenate(([0], np.cumsum((n > 0) * BANDS)))
+        ends = np.concatenate(([0], np.cumsum((n > 0) * count)))
         col = lambda x: pa.array(np.concatenate(x).view(np.int64) if x else [], pa.int64())
         return pa.StructArray.from_arrays(
             [pa.array(n, pa.int64()), col(hi), col(lo),
@@ -239,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reachable by links, itself included), kept (the id is its component's)."""
     checkpoint_dir(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    s = own.select("id", signature(F.col("text"), k).alias("s")).select("id", "s.*").checkpoint()
+    s = own.select("id", signature(F.col("text"), k, percent).alias("s")).select("id", "s.*").checkpoint()
     # a class is a star around its smallest id; ids that repeat with other texts join classes
     same = (s.where("n > 0 and id is not null").groupBy("hi", "lo", "n").agg(F.min("id").alias("rep")))
     copies = (s.where("n > 0 and id is not null").join(same, ["hi", "lo", "n"]).where("id <> rep")
@@ -251,10 +260,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
+             percent: int = MIN_PERCENT) -> DataFrame:
     """The input's rows, all columns, one for each group of near duplicates;
     of rows that repeat an id one stays (rows without words, or without an id, all stay)."""
-    judged = near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("drop_id"), "kept").checkpoint()
+    judged = near_duplicates(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("drop_id"), "kept").checkpoint()
     dropped = judged.where("not kept").select("drop_id").distinct()
     repeated = judged.where("drop_id is not null").groupBy("drop_id").count().where("count > 1").select("drop_id")
     seen = Bitmap(dropped.unionByName(repeated), "drop_id")

@@ -114,3 +114,21 @@ def test_word_fingerprints_follow_the_words():
     a = W.split(*W.buffer(__import__("pyarrow").array(["The the x\x1cy", None, "", " THE", "é"])), W.SPACED)
     assert a.counts.tolist() == [3, 0, 0, 1, 1]
     assert a.hashes[0] == a.hashes[1] == a.hashes[3] and len(set(a.hashes.tolist())) == 3
+
+
+def test_keep_one_at_80_percent(make_docs):
+    # n words with the last d exchanged: J = (n - 4 - d) / (n - 4 + d)
+    rows = []
+    for g in range(30):
+        words = [f"g{g}w{i}" for i in range(104)]
+        rows += [(4 * g + m, " ".join(words[:104 - d] + [f"g{g}x{m}y{i}" for i in range(d)])) for m, d in enumerate((0, 9, 11, 13))]
+    sets = {i: shingles(t) for i, t in rows}
+    for percent, kept in ((80, [30, 0, 0, 30]), (85, [30, 30, 30, 30])):
+        want = set()
+        for i, s in sets.items():
+            first = sets[i - i % 4]
+            if i % 4 == 0 or 100 * len(s & first) < percent * len(s | first):
+                want.add(i)
+        got = {r.doc_id for r in D.keep_one(make_docs(rows), k=5, percent=percent).collect()}
+        assert got == want and [sum(i % 4 == m for i in got) for m in range(4)] == kept
+    assert D.bands_for(85) == 20 and D.bands_for(80) == 28 and (1 - 0.8 ** D.ROWS) ** D.bands_for(80) <= D.MISS
