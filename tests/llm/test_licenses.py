@@ -48,3 +48,20 @@ def test_known_texts_and_edges(make_docs):
         1: "MIT", 2: "MIT", 3: "MIT", None: "Zlib", 9: "0BSD", 10: "Apache-2.0", 12: "BSD-3-Clause", 13: "BSD-2-Clause"}
     assert by[8].named == ["MIT"] and all(by[i].digest is None for i in (5, 6, 7))
     assert C.scan(df.limit(0)).collect() == []
+
+
+def test_copyright_lines_without_sign_or_year(make_docs):
+    heads = ["Copyright Jane Doe 2020", "Copyright Foo Inc. and contributors", "  COPYRIGHT: The Foo Authors", "# copyright by me\n# All rights reserved"]
+    rows = [(i, f"MIT License\n\n{h}\n\n{L.MIT}") for i, h in enumerate(heads)] + [(10, f"{heads[0]}\n{L.TEXTS[9][1]}")]
+    rows += [(20, "Copyright notice: none\n" + L.MIT), (21, "copyrighted by me\n" + L.MIT), (22, "Copyright Jane Doe")]
+    got = {r.doc_id: r for r in C.scan(make_docs(rows)).collect()}
+    assert {i: got[i].license for i in got} == {0: "MIT", 1: "MIT", 2: "MIT", 3: "MIT", 10: L.TEXTS[9][0], 20: None, 21: None, 22: None}
+    assert all(got[i].digest == sha(t) for i, t in rows)
+
+
+def test_whole_texts_by_digest(make_docs):
+    text = "A long licence of many words"
+    rows = [(1, text.upper()), (2, "Copyright Jane Doe\n" + text), (3, text + " more")]
+    got = {r.doc_id: r.license for r in C.scan(make_docs(rows), digests=[("Long-1.0", sha(text))]).collect()}
+    assert got == {1: "Long-1.0", 2: "Long-1.0", 3: None}
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= {a for a, _ in L.DIGESTS}
