@@ -278,3 +278,19 @@ def s09_files(spark, sf):
     path = _upload(rows, _fresh(spark, "sheet-opening"), cells,
                    [["stock list", *["-"] * (len(names) - 1)], [names[j] for j in order]])
     return sheets.read_opening_sheet(spark, path)
+
+
+@plan("s09_opening_sheet_wide", oracle=with_views(["fx_inventory_rows"], """
+SELECT product_code AS code, barcode, product_name AS name, option_name AS option, category, cost_price AS cost, sell_price AS price
+FROM fx_inventory_rows"""))
+def s09_wide(spark, sf):
+    """S9 with unnamed columns in front, so that all named ones come after place 10."""
+    names = list(stock.OPENING_SHEET_HEADERS.values())
+    r = fx.inventory_rows(spark, sf)
+    cols = [F.col("product_code"), F.col("barcode"), F.col("product_name"), F.col("option_name"), F.col("category"),
+            F.col("cost_price").cast("string"), F.col("sell_price").cast("string")]
+    front = 12
+    cells = [f"c{i}" for i in range(front + len(names))]
+    rows = r.select("seq", *[F.lit("x").alias(c) for c in cells[:front]], *[x.alias(c) for x, c in zip(cols, cells[front:])])
+    path = _upload(rows, _fresh(spark, "sheet-opening"), cells, [[*[f"extra {i}" for i in range(front)], *names]])
+    return sheets.read_opening_sheet(spark, path)

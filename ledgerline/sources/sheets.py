@@ -21,7 +21,7 @@ def read_cells(spark: SparkSession, path, width: int) -> DataFrame:
     """(file, pos, c0 .. c<width-1>): every row of the CSV files, no header taken."""
     cells = [f"c{i}" for i in range(width)]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in cells])
-    raw = spark.read.schema(schema).option("escape", '"').csv(path).select(
+    raw = spark.read.schema(schema).option("escape", '"').option("maxColumns", max(20480, width + 1)).csv(path).select(
         *cells, F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_id"))
     # a block is read by one task, so its ids are consecutive
@@ -30,6 +30,13 @@ def read_cells(spark: SparkSession, path, width: int) -> DataFrame:
         "file", (F.col("_block") + F.col("_id") - F.col("_first")).alias("pos"), *cells)
 
 
+def header_width(spark: SparkSession, path) -> int:
+    """The largest number of cells a header row of the files may have (commas in quotes count)."""
+    line = F.col("value")
+    heads = spark.read.text(path).where(line.contains(stock.HEADER_MARKER))
+    return heads.agg(F.coalesce(F.max(F.length(line) - F.length(F.replace(line, F.lit(","), F.lit("")))), F.lit(0))).first()[0] + 1
+
+
 def named_cells(raw: DataFrame, names: Sequence[str]) -> DataFrame:
     """Rows after each file's header row, cells under the header's names
     (a name the header lacks gives nulls)."""
@@ -61,4 +68,4 @@ def read_cost_json(spark: SparkSession, path) -> DataFrame:
 def read_opening_sheet(spark: SparkSession, path) -> DataFrame:
     """Opening-stock sheets, columns by the names of each file's header row -> items."""
     names = list(stock.OPENING_SHEET_HEADERS.values())
-    return stock.parse_opening_sheet(named_cells(read_cells(spark, path, len(names) + 3), names).drop("file", "pos"))
+    return stock.parse_opening_sheet(named_cells(read_cells(spark, path, header_width(spark, path)), names).drop("file", "pos"))
