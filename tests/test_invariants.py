@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.plans import all_plans
 
-from conftest import SF_MID
+from fixture_paths import SF_MID
 
 P = all_plans()
 

@@ -10,7 +10,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 
 from ledgerline.plans import all_plans  # noqa: E402
 
-from conftest import SF_SMALL  # noqa: E402
+from fixture_paths import SF_SMALL  # noqa: E402
 
 PLANS = all_plans()
 

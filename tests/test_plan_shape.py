@@ -5,7 +5,7 @@ import pytest
 
 from ledgerline.plans import all_plans
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 P = all_plans()
 

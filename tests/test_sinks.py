@@ -130,7 +130,7 @@ def test_upsert_replace_by_order_drops_old_single_line_id(spark, tmp_dir):
 def test_order_export_end_to_end(spark, tmp_dir):
     from ledgerline.operators import claims
     from ledgerline.sources import feeds
-    from conftest import SF_SMALL
+    from fixture_paths import SF_SMALL
     rows = claims.export_rows(feeds.landed_a(spark, SF_SMALL))
     sinks.export_csv(rows, f"{tmp_dir}/k8", claims.EXPORT_HEADER)
     back = spark.read.option("header", True).option("escape", '"').csv(f"{tmp_dir}/k8")

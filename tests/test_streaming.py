@@ -11,7 +11,7 @@ from ledgerline.operators import normalize as nz
 from ledgerline.sources import feeds
 from ledgerline.streaming import ingest
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 
 def _write_lines(path, records):
