@@ -137,3 +137,14 @@ ab AS (SELECT host, k + {_strength('h0', 'up')} * up AS a, n - k + {_strength('h
 low AS (SELECT host, a / (a + b) - 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1)) AS low FROM ab)
 SELECT page_id, p.host, p.path, rule, coalesce(verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p JOIN low ON low.host = p.host LEFT JOIN fit ON fit.host = p.host AND fit.path = p.path"""
+
+OP13 = r"""
+WITH t AS (SELECT row_number() OVER () AS rn, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rn, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM t),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+often AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+kept AS (SELECT k.*, often.key IS NOT NULL AND k.doc_id < often.last AS gone FROM k LEFT JOIN often USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM kept GROUP BY rn"""

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (decontaminate, licenses, lm_scoring, minhash_dedup, mixing, oracles, pii, quality,
+from ledgerline.llm import (decontaminate, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, oracles, pii, quality,
                             secrets, spans, token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,9 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = licenses.scan(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "digest", "license", F.size("named").cast("long").alias("n_named"),
                       F.array_join("named", ",").alias("named"))
+
+
+@query("op13_line_dedup", oracles.OP13)
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return got.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
