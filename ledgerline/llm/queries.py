@@ -12,8 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (decontaminate, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, oracles, pii, quality,
-                            secrets, spans, token_counts, url_filters)
+from ledgerline.llm import (decontaminate, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, oracles,
+                            periodic_runs, pii, quality, secrets, spans, token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -111,6 +111,19 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.array_join("named", ",").alias("named"))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    text = periodic_runs.planted(F.col("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")))
+    got = docs.select("doc_id", periodic_runs.find_runs(text).alias("r")).select("doc_id", "r.runs", "r.collapsed")
+    top = F.col("top")
+    return got.withColumn("top", periodic_runs.strongest(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"),
+        top["period"].alias("period"), F.floor(1000 * top["length"] / top["period"]).cast("long").alias("exponent_milli"),
+        F.sha2(periodic_runs.runs_text(F.col("runs")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 @query("op13_line_dedup", oracles.OP13)
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
