@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import (decontaminate, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, oracles,
+from ledgerline.llm import (conversation_repair, decontaminate, licenses, line_dedup, lm_scoring, minhash_dedup, mixing, oracles,
                             periodic_runs, pii, quality, secrets, spans, token_counts, url_filters)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,6 +124,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+@query("op12_conversation_repair")
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.repair(rows, lost=F.col("lost")).report
+
+
 @query("op13_line_dedup", oracles.OP13)
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
