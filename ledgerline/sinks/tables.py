@@ -1,142 +1,52 @@
-"""Sinks: the stored tables of the data model.
+"""Sinks: the stored tables of the data model (K1-K10; K1 itself is in ``order_table``).
 
 Tables are Parquet folders.  Replacing part of a table never reads and
 overwrites the same files in one job: the new rows are first written to a
 staging folder under ``spark.checkpoint.dir`` (which also cuts the lineage),
 then published with dynamic partition overwrite, which swaps only the
-partitions present in the staged rows.  Re-running a batch after a failure
-gives the same table (the upsert is idempotent).
+partitions present in the staged rows; the staged copy is deleted afterwards.
+Re-running a batch after a failure gives the same table.
 """
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import ORDER_PARTITIONS, last_wins, order_month
 from ledgerline.session import checkpoint_dir
+from ledgerline.sinks import files
+from ledgerline.sinks.order_table import (clustered, in_parts, read_orders, rebuild_index, recover_orders,  # noqa: F401
+                                          upsert_orders)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return bool(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p))
-
-
-def _stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` to a fresh staging folder and read it back."""
+@contextlib.contextmanager
+def _stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()):
+    """``df`` written to a fresh staging folder and read back; the folder goes at the end."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staging/{name}-{uuid.uuid4().hex[:12]}"
-    w = (_clustered(df, partition_by) if partition_by else df).write.mode("overwrite")
+    w = (clustered(df, partition_by) if partition_by else df).write
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return spark.read.parquet(path)
-
-
-def _clustered(df: DataFrame, partition_by: Sequence[str]) -> DataFrame:
-    """Rows of a partition together, so that a task writes few folders; Spark
-    splits partitions that are large and merges small ones."""
-    return df.hint("rebalance", *[F.col(c) for c in partition_by])
+    try:
+        yield spark.read.schema(df.schema).parquet(path)     # without rows there are no files to take the schema from
+    finally:
+        files.delete(spark, path)
 
 
 def _publish(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Overwrite only the partitions present in ``df``."""
-    (_clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if _exists(spark, path) else None
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-# ---- K1: order upsert ----------------------------------------------------------------
-
-NO_CHANNEL = "unknown"
-
-
-def read_orders(spark: SparkSession, path: str) -> DataFrame:
-    """The stored order table, partition columns in their declared types."""
-    df = spark.read.parquet(path)
-    return df.withColumns({"channel": F.col("channel").cast("string"), "order_month": F.col("order_month").cast("int")})
-
-
-def _keyed(batch: DataFrame) -> DataFrame:
-    """Partition columns that are never null: undated lines have a month of their own."""
-    channel = F.when(F.col("channel") != "", F.col("channel")).otherwise(NO_CHANNEL)
-    return batch.withColumns({"channel": channel, "order_month": order_month()})
-
-
-def _in_parts(parts: Sequence[tuple[str, int]]) -> Column:
-    """Filter on (channel, month) partitions, as pruned by the scan."""
-    by: dict[str, list[int]] = {}
-    for c, m in parts:
-        by.setdefault(c, []).append(m)
-    cond = F.lit(False)
-    for c, months in sorted(by.items()):
-        cond = cond | ((F.col("channel") == c) & F.col("order_month").isin(sorted(months)))
-    return cond
-
-
-def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",),
-                  replace_by_order: bool = False) -> dict:
-    """K1: replace order lines by ``id``, last write wins.
-
-    A batch row always replaces the stored row with the same id; inside the
-    batch the greatest ``order`` tuple wins.  The table is partitioned by
-    (channel, ``order_month``), so streams of two channels never rewrite the
-    same folder; lines without a date are kept in month 0.  Only partitions
-    that receive a batch row, or that hold a stored row of a batch id (a line
-    whose date moved), are rewritten, and one left without rows is removed.
-    Retrying a batch, also one stopped between these steps, gives the same table.
-
-    ``replace_by_order``: the source keeps the old single-line id when an
-    order grows from one item to several; with this option every stored line
-    of a (channel, order) present in the batch is replaced instead.
-
-    Returns the batch row count, the surviving batch lines, the rows written
-    (all rows of the touched partitions) and the touched (channel, month) pairs.
-    """
-    parts = list(ORDER_PARTITIONS)
-    pairs = lambda df: {(r[0], r[1]) for r in df.select(*parts).distinct().collect()}  # noqa: E731  one per channel and month
-    merged, new = _stage_orders(last_wins(_keyed(batch), ["id"], list(order)), "orders-batch")
-    staged = [new]
-    touched = pairs(merged)
-    out = merged
-    if _exists(spark, path):
-        key = ["channel", "order_id"] if replace_by_order else ["id"]
-        ids = merged.select(*key).distinct()
-        current = read_orders(spark, path)
-        touched |= pairs(current.select(*key, *[c for c in parts if c not in key]).join(ids, key, "left_semi"))
-        keep = current.where(_in_parts(sorted(touched))).join(ids, key, "left_anti")
-        out, rest = _stage_orders(keep.unionByName(merged, allowMissingColumns=True), "orders-upsert")
-        staged.append(rest)
-    kept = pairs(out)
-    if kept:
-        _publish(out, path, parts)
-    for c, m in sorted(touched - kept):
-        _delete(spark, f"{path}/channel={c}/order_month={m}")
-    counts = {"batch_rows": batch.count(), "batch_lines": merged.count(), "rows_written": out.count(),
-              "partitions": sorted(touched)}
-    for p in staged:
-        _delete(spark, p)
-    return counts
-
-
-def _stage_orders(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/ledgerline-staging/{name}-{uuid.uuid4().hex[:12]}"
-    _clustered(df, ORDER_PARTITIONS).write.partitionBy(*ORDER_PARTITIONS).parquet(path)
-    # without rows there are no files to take the schema from
-    return spark.read.schema(df.schema).parquet(path), path
+    return spark.read.parquet(path) if files.exists(spark, path) else None
 
 
 # ---- K2 / K3 / K4: stock and cost tables --------------------------------------------------
@@ -146,14 +56,15 @@ def replace_stock(stock_rows: DataFrame, path: str, base_date: str) -> DataFrame
     wins; every row is stamped with ``base_date``."""
     rows = last_wins(stock_rows, ["product_name", "option_name"], ["seq"]) \
         .withColumn("base_date", F.lit(base_date).cast("date"))
-    staged = _stage(rows, "stock")
-    staged.write.mode("overwrite").parquet(path)
-    return staged
+    with _stage(rows, "stock") as staged:
+        staged.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.parquet(path)
 
 
 def replace_costs(costs: DataFrame, path: str) -> None:
     """K3: full replace of the cost list."""
-    _stage(costs, "costs").write.mode("overwrite").parquet(path)
+    with _stage(costs, "costs") as staged:
+        staged.write.mode("overwrite").parquet(path)
 
 
 def append_costs(costs: DataFrame, path: str) -> None:
@@ -178,14 +89,14 @@ def refresh_summary_months(spark: SparkSession, orders_path: str, summary_path:
     months = sorted({m for c, m in partitions if c == channel})
     if not months:
         return
-    orders = read_orders(spark, orders_path).where(_in_parts([(channel, m) for m in months]))
+    orders = read_orders(spark, orders_path).where(in_parts([(channel, m) for m in months]))
     summ = daily_summary(orders, channel).withColumn("order_month", order_month("date"))
-    staged = _stage(summ, "summary", ORDER_PARTITIONS)
-    kept = {r[0] for r in staged.select("order_month").distinct().collect()} if summ.head(1) else set()   # one per month
-    if kept:
-        _publish(staged, summary_path, ORDER_PARTITIONS)
+    with _stage(summ, "summary", ORDER_PARTITIONS) as staged:
+        kept = {r[0] for r in staged.select("order_month").distinct().collect()}          # one per month
+        if kept:
+            _publish(staged, summary_path, ORDER_PARTITIONS)
     for m in sorted(set(months) - kept):
-        _delete(spark, f"{summary_path}/channel={channel}/order_month={m}")
+        files.delete(spark, f"{summary_path}/channel={channel}/order_month={m}")
 
 
 SNAPSHOT_KEY = ("date", "product_code", "option_name")

@@ -34,7 +34,8 @@ from ledgerline.session import checkpoint_dir
 def _code() -> str:
     """Hash of the modules that build staged tables: changed code, new copies."""
     root = Path(__file__).resolve().parents[1]
-    names = ("sources/fixtures.py", "sources/feeds.py", "functions/rules.py", "sinks/tables.py")
+    names = ("sources/fixtures.py", "sources/feeds.py", "functions/rules.py", "sinks/tables.py",
+             "sinks/order_table.py")
     return hashlib.sha1(b"".join((root / n).read_bytes() for n in names)).hexdigest()
 
 
