@@ -37,7 +37,9 @@ SELECT id, channel, order_id,
 def k01_stored(spark, sf):
     """K1: a first batch with undated and wrongly dated lines, then the right
     lines of some of them, twice (a retry)."""
-    path, lines = _fresh(spark, "orders"), fx.upsert_lines(spark, sf).withColumn("ingest_seq", F.lit(0))
+    path = _fresh(spark, "orders")
+    fx.upsert_lines(spark, sf).withColumn("ingest_seq", F.lit(0)).write.parquet(f"{path}_collected")
+    lines = spark.read.parquet(f"{path}_collected")
     early = F.when(_oid() % 10 == 0, F.lit(None)).when(_oid() % 7 == 0, F.date_add("order_date", 40)).otherwise(F.col("order_date"))
     sinks.upsert_orders(spark, path, lines.withColumn("order_date", early))
     right = lines.where((_oid() % 20 == 0) | (_oid() % 7 == 0))

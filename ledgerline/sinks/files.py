@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import json
 from urllib.parse import unquote
 
 from pyspark.sql import SparkSession
 
 
+@functools.lru_cache(maxsize=1)
+def _gateway(sc):
+    """(Path class, Hadoop settings): looked up once, as each step of the lookup is a call to the JVM."""
+    return sc._jvm.org.apache.hadoop.fs.Path, sc._jsc.hadoopConfiguration()
+
+
 def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+    path_class, conf = _gateway(spark.sparkContext)
+    p = path_class(path)
+    return p.getFileSystem(conf), p
 
 
 def exists(spark: SparkSession, path: str) -> bool:

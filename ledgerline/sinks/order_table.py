@@ -30,6 +30,7 @@ from ledgerline.functions.rules import ORDER_PARTITIONS, last_wins, order_month
 from ledgerline.sinks import files
 
 NO_CHANNEL = "unknown"
+ENTRIES_PER_LINE = 2            # at most: a line's and its order's
 INDEX_ROWS = 1_000_000          # entries a bucket should hold; more buckets when the index is built again
 INDEX_FILES = 32                # files a bucket may hold before the index is built again
 
@@ -78,8 +79,9 @@ def _pending(spark: SparkSession, path: str) -> list[dict]:
 def _finish(spark: SparkSession, path: str, commit: dict) -> None:
     """Put a committed batch's folders in place; what is in place already is left."""
     new = f"{path}/_staged/{commit['batch']}/new"
+    left = set(files.partitions(spark, new, 2).values())
     for d in commit["replaced"]:
-        if files.exists(spark, f"{new}/{d}"):
+        if d in left:
             files.delete(spark, f"{path}/{d}")
             files.move(spark, f"{new}/{d}", f"{path}/{d}")
     for d in commit["removed"]:
@@ -160,10 +162,10 @@ def rebuild_index(spark: SparkSession, path: str, index_rows: int = INDEX_ROWS)
         recover_orders(spark, path)
         old = files.names(spark, f"{path}/_index")
         n = max([int(x.split("-")[0]) for x in old], default=-1) + 1
-        entries = _entries(read_orders(spark, path))
-        buckets = 1 << max(0, (max(entries.count(), 1) - 1) // index_rows).bit_length()
+        stored = read_orders(spark, path)
+        buckets = 1 << (max(stored.count(), 1) * ENTRIES_PER_LINE // index_rows).bit_length()        # counted from file footers
         to = f"{path}/_index/{n}-{buckets}"
-        _write_entries(entries, to, buckets)
+        _write_entries(_entries(stored), to, buckets)
         files.write_text(spark, f"{to}/_DONE", "")
         for x in old:
             files.delete(spark, f"{path}/_index/{x}")
@@ -221,35 +223,37 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
         name = uuid.uuid4().hex
         work, parts = f"{path}/_staged/{name}", list(ORDER_PARTITIONS)
         live = _parts(spark, path)
-        seen = Observation()
-        rows = last_wins(_keyed(batch.observe(seen, F.count(F.lit(1)).alias("n"))), ["id"], list(order))
+        seen, lines, written = Observation(), Observation(), Observation()
+        rows = last_wins(_counted(_keyed(batch), seen), ["id"], list(order))
         if not live:
-            clustered(rows, parts).write.partitionBy(*parts).parquet(f"{work}/new")
-            merged = _staged(spark, f"{work}/new", rows.schema)
+            _counted(_counted(clustered(rows, parts), lines), written).write.partitionBy(*parts).parquet(f"{work}/new")
             touched = set(_parts(spark, f"{work}/new"))
         else:
             if _index_due(spark, path):
                 rebuild_index(spark, path, index_rows)
-            rows.write.parquet(f"{work}/batch")
-            merged = _staged(spark, f"{work}/batch", rows.schema)
-            touched = _merge(spark, path, work, merged, replace_by_order)
+            _counted(rows, lines).write.parquet(f"{work}/batch")
+            # without rows there are no files to take the schema from
+            merged = spark.read.schema(rows.schema).parquet(f"{work}/batch")
+            touched = _merge(spark, path, work, merged, replace_by_order, written)
         new = _parts(spark, f"{work}/new")
-        n_lines, n_new = merged.count(), _staged(spark, f"{work}/new", rows.schema).count() if new else 0     # from file footers
         removed = sorted(live[p] for p in touched if p in live and p not in new)
         if new or removed:
             commit = {"batch": name, "replaced": sorted(new.values()), "removed": removed}
             files.write_json(spark, f"{path}/_commits/{name}.json", commit)
             _finish(spark, path, commit)
         files.delete(spark, work)
-        return {"batch_rows": seen.get["n"] if n_lines else 0, "batch_lines": n_lines, "rows_written": n_new, "partitions": sorted(touched)}
+        # an empty batch's plan may not hold the counters
+        return {"batch_rows": seen.get["n"] if touched else 0, "batch_lines": lines.get["n"] if touched else 0,
+                "rows_written": written.get["n"] if new else 0, "partitions": sorted(touched)}
 
 
-def _staged(spark: SparkSession, path: str, schema) -> DataFrame:
-    # without rows there are no files to take the schema from
-    return spark.read.schema(schema).parquet(path)
+def _counted(df: DataFrame, by: Observation) -> DataFrame:
+    """Rows counted by the job that writes them.  (Tasks run again after the loss of an executor may count
+    twice before a shuffle; counts in the writing tasks are exact.)"""
+    return df.observe(by, F.count(F.lit(1)).alias("n"))
 
 
-def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace_by_order: bool) -> set[Part]:
+def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace_by_order: bool, written: Observation) -> set[Part]:
     """Write the new versions of all partitions that hold or get lines of the batch to
     ``work/new``, and the index entries that are missing; the partitions."""
     parts = list(ORDER_PARTITIONS)
@@ -266,5 +270,5 @@ def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace
         stored = read_orders(spark, path).where(in_parts(touched))
         keep = stored.join(merged.select(*key).distinct(), key, "left_anti")
         out = keep.unionByName(merged, allowMissingColumns=True)
-        clustered(out, parts).write.partitionBy(*parts).parquet(f"{work}/new")
+        _counted(clustered(out, parts), written).write.partitionBy(*parts).parquet(f"{work}/new")
     return touched
