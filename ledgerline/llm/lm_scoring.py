@@ -14,7 +14,8 @@ How the counts meet the texts.  Texts are packed into blocks of about
 range of keys, to the task that owns the range; that task adds the counts of all
 blocks and answers each list with totals in the same order, without the keys.  So what
 is shuffled grows with the distinct n-grams of the blocks (a hot word is one
-key per block), and no table of the corpus is held in one place.  EM runs on the held-out
+key per block), and no table of the corpus is held in one place.  Texts of the deleted fold have
+blocks of their own, and only these are read for EM.  EM runs on the held-out
 events summed in cells of a fixed grid (bucket and probabilities in eighths of an octave),
 whose size doesn't grow with the corpus.
 
@@ -29,9 +30,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  pa.compute
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ledgerline.llm import words as W
 from ledgerline.session import checkpoint_dir
@@ -44,9 +47,7 @@ BUCKETS = 24
 EM_ROUNDS = 100
 _BEGIN, _END = W.random_words(41, 2)
 _STEP = W.random_words(42, 8) | W.U64(1)
-# Low bits that keys leave out, for words and for longer n-grams: word keys have 62 bits; 48 bits of the others
-# let an n-gram share its count with another one with a chance of 2e-7 in a corpus of 60 million.
-_LOW = (2, 16)
+_LOW = 2                                # low bits of a key that hold its order; 62 bits are left for the n-gram
 _NONE = -32768                          # grid value of probability 0
 
 
@@ -80,7 +81,7 @@ class Block:
                 before = np.concatenate(([_BEGIN], before[:-1])) if total else before
                 before[self.starts] = _BEGIN
                 run = W.mix(run + before * _STEP[k])
-            self.keys.append((W.mix(run) & ~W.U64((1 << _LOW[min(k, 1)]) - 1)) | W.U64(k))
+            self.keys.append((W.mix(run) & ~W.U64((1 << _LOW) - 1)) | W.U64(k))
 
     def rows(self, docs: np.ndarray) -> np.ndarray:
         """Mask over tokens of the texts in the mask ``docs``."""
@@ -117,40 +118,47 @@ def _unzip(b: bytes, dtype) -> np.ndarray:
 
 def _zip_keys(keys: np.ndarray, order: int) -> list[bytes]:
     """Sorted keys as differences, each order on its own."""
-    own = [keys[(keys & W.U64(3)) == k] >> W.U64(_LOW[min(k, 1)]) for k in range(order)]
+    own = [keys[(keys & W.U64(3)) == k] >> W.U64(_LOW) for k in range(order)]
     return [_zip(np.diff(x, prepend=W.U64(0))) for x in own]
 
 
 def _unzip_keys(parts) -> np.ndarray:
-    own = [np.cumsum(_unzip(b, np.uint64), dtype=W.U64) << W.U64(_LOW[min(k, 1)]) | W.U64(k) for k, b in enumerate(parts)]
+    own = [np.cumsum(_unzip(b, np.uint64), dtype=W.U64) << W.U64(_LOW) | W.U64(k) for k, b in enumerate(parts)]
     return np.sort(np.concatenate(own))
 
 
 def _pack(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    part, nth, held, size = TaskContext.get().partitionId(), 0, [], 0
-    schema = pa.schema([("block", pa.int64()), ("docs", pa.binary())])
-
-    def block(rows):
+    """Blocks of texts; those of the deleted fold (``gone``) have blocks of their own."""
+    part, nth = TaskContext.get().partitionId(), 0
+    held: dict[bool, list] = {False: [], True: []}
+    size = {False: 0, True: 0}
+    schema = pa.schema([("block", pa.int64()), ("gone", pa.bool_()), ("docs", pa.binary())])
+
+    def block(gone):
+        nonlocal nth
         sink = pa.BufferOutputStream()
-        table = pa.Table.from_batches(rows).combine_chunks()
+        table = pa.Table.from_batches(held[gone]).combine_chunks()
         with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
             out.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | nth], pa.int64()),
+        nth, held[gone], size[gone] = nth + 1, [], 0
+        return pa.RecordBatch.from_arrays([pa.array([(part << 32) | (nth - 1)], pa.int64()), pa.array([gone], pa.bool_()),
                                            pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
 
     for batch in batches:
-        at, rows = 0, batch.num_rows
-        _, off = W.buffer(batch.column("text"))
-        while at < rows:
-            upto = max(at + 1, int(np.searchsorted(off, off[at] + limit - size, side="right")) - 1)
-            held.append(batch.slice(at, upto - at))
-            size += int(off[upto] - off[at])
-            at = upto
-            if size >= limit or at < rows:
-                yield block(held)
-                nth, held, size = nth + 1, [], 0
-    if held:
-        yield block(held)
+        deleted = pa.compute.equal(batch.column("fold"), DELETED)
+        for gone, own in ((True, batch.filter(deleted)), (False, batch.filter(pa.compute.invert(deleted)))):
+            at, rows = 0, own.num_rows
+            _, off = W.buffer(own.column("text"))
+            while at < rows:
+                upto = max(at + 1, int(np.searchsorted(off, off[at] + limit - size[gone], side="right")) - 1)
+                held[gone].append(own.slice(at, upto - at))
+                size[gone] += int(off[upto] - off[at])
+                at = upto
+                if size[gone] >= limit or at < rows:
+                    yield block(gone)
+    for gone in held:
+        if held[gone]:
+            yield block(gone)
 
 
 def _unpack(b: bytes) -> pa.Table:
@@ -161,54 +169,62 @@ def _learned(folds: np.ndarray) -> np.ndarray:
     return folds != HELD_OUT
 
 
+_SENT = "block bigint, gone boolean, range int, keys array<binary>, n binary"
+_ANSWERS = "block bigint, gone boolean, range int, train binary, deleted binary, sums array<bigint>"
+
+
 def _send(batches, order: int, log2_ranges: int):
-    """Per block and range of keys: the sorted keys (as differences), and their training and deleted counts."""
-    schema = pa.schema([("block", pa.int64()), ("range", pa.int32()), ("keys", pa.list_(pa.binary())),
-                        ("train", pa.binary()), ("deleted", pa.binary())])
+    """Per block and range of keys: the sorted keys (as differences), and their counts in the
+    block's training texts (a ``gone`` block's are all deleted ones)."""
+    schema = pa.schema([("block", pa.int64()), ("gone", pa.bool_()), ("range", pa.int32()), ("keys", pa.list_(pa.binary())),
+                        ("n", pa.binary())])
     for batch in batches:
-        for i, raw in zip(batch.column("block").to_pylist(), batch.column("docs")):
+        for i, gone, raw in zip(batch.column("block").to_pylist(), batch.column("gone").to_pylist(), batch.column("docs")):
             t = _unpack(raw.as_py())
             b = Block(t["text"].combine_chunks(), order)
-            folds = t["fold"].to_numpy()
             keys, n = b.all_counts()
-            train, deleted = n - b.counts(keys, ~_learned(folds)), b.counts(keys, folds == DELETED)
+            if not gone:
+                n = n - b.counts(keys, ~_learned(t["fold"].to_numpy()))
             edges = np.searchsorted(keys, np.arange(1, 1 << log2_ranges, dtype=W.U64) << W.U64(64 - log2_ranges)) \
                 if log2_ranges else np.zeros(0, np.int64)
             cut = np.concatenate(([0], edges, [len(keys)]))
-            out = [(i, r, _zip_keys(keys[a:z], order), _zip(train[a:z]), _zip(deleted[a:z]))
+            out = [(i, gone, r, _zip_keys(keys[a:z], order), _zip(n[a:z]))
                    for r, (a, z) in enumerate(zip(cut[:-1], cut[1:])) if z > a]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), schema)], schema=schema)
 
 
 def _add(t: pa.Table) -> pa.Table:
-    """Totals of a range, for every block's list; and the range's own sums in the row of block -1."""
+    """Totals of a range, for every block's list (deleted ones only where they are read, for
+    ``gone`` blocks); the range's own sums are in one row of block -1."""
     keys = [_unzip_keys(x.as_py()) for x in t["keys"]]
     every = np.unique(np.concatenate(keys))
     train, deleted = np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     at = [np.searchsorted(every, k) for k in keys]
-    for a, x, y in zip(at, t["train"], t["deleted"]):
-        train[a] += _unzip(x.as_py(), np.int64)
-        deleted[a] += _unzip(y.as_py(), np.int64)
+    gone = t["gone"].to_pylist()
+    for a, g, x in zip(at, gone, t["n"]):
+        n = _unzip(x.as_py(), np.int64)
+        train[a] += n
+        if g:
+            deleted[a] += n
     one = (every & W.U64(3)) == 0
-    sums = np.array([train[one].sum(), (train[one] > 0).sum(), deleted[one].sum(), ((train - deleted)[one] > 0).sum()], np.int64)
-    rows = [(b, _zip(train[a]), _zip(deleted[a])) for b, a in zip(t["block"].to_pylist(), at)] + [(-1, _zip(sums), b"")]
-    r = t["range"][0].as_py()
-    return pa.table({"block": pa.array([x[0] for x in rows], pa.int64()), "range": pa.array([r] * len(rows), pa.int32()),
-                     "train": pa.array([x[1] for x in rows], pa.binary()), "deleted": pa.array([x[2] for x in rows], pa.binary())})
+    sums = [int(x) for x in (train[one].sum(), (train[one] > 0).sum(), deleted[one].sum(), ((train - deleted)[one] > 0).sum())]
+    rows = [(b, g, _zip(train[a]), _zip(deleted[a]) if g else None, None) for b, g, a in zip(t["block"].to_pylist(), gone, at)]
+    rows.append((-1, False, None, None, sums))
+    block, gone, train_, deleted_, sums_ = zip(*rows)
+    return pa.table({"block": pa.array(block, pa.int64()), "gone": pa.array(gone, pa.bool_()),
+                     "range": pa.array([t["range"][0].as_py()] * len(rows), pa.int32()), "train": pa.array(train_, pa.binary()),
+                     "deleted": pa.array(deleted_, pa.binary()), "sums": pa.array(sums_, pa.list_(pa.int64()))})
 
 
-def _meet(blocks: pa.Table, answers: pa.Table) -> pa.Table:
-    """A block with its totals, in the order of its keys."""
-    a = answers.sort_by("range")
-    join = lambda c: _zip(np.concatenate([_unzip(x.as_py(), np.int64) for x in a[c]]))
-    return pa.table({"docs": blocks["docs"], "train": pa.array([join("train")], pa.binary()),
-                     "deleted": pa.array([join("deleted")], pa.binary())})
+def _totals(answers: pa.Table, column: str) -> np.ndarray:
+    """A block's totals in the order of its keys."""
+    return np.concatenate([_unzip(x.as_py(), np.int64) for x in answers.sort_by("range")[column]])
 
 
-def _estimates(b: Block, keys: np.ndarray, totals: np.ndarray, mask: np.ndarray, n_all: int, n_docs: int):
+def _estimates(b: Block, keys: np.ndarray, totals: np.ndarray, mask: np.ndarray | slice, n_all: int, n_docs: int):
     """For the tokens of the mask, by order: (c(h w), c(h))."""
     found = [totals[np.searchsorted(keys, k)] for k in b.keys]
-    out = [(found[0][mask], np.full(int(mask.sum()), n_all, np.int64))]
+    out = [(found[0][mask], np.full(len(found[0][mask]), n_all, np.int64))]
     for k in range(1, len(b.keys)):
         context = np.concatenate(([0], found[k - 1][:-1]))
         context[b.starts] = n_docs              # nothing but begins
@@ -228,25 +244,27 @@ def _ratio(c: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(n > 0, c / np.maximum(n, 1), 0.0)
 
 
-def _cells(batches, order: int, n_all: int, n_docs: int):
-    """Held-out events of the deleted fold, summed in grid cells."""
-    schema = pa.schema([("cell", pa.list_(pa.int32())), ("n", pa.int64())])
-    for batch in batches:
-        for raw, train, deleted in zip(*(batch.column(c) for c in ("docs", "train", "deleted"))):
-            t = _unpack(raw.as_py())
-            gone = t["fold"].to_numpy() == DELETED
-            if not gone.any():
-                continue
-            b = Block(t["text"].combine_chunks(), order)
-            rest = _unzip(train.as_py(), np.int64) - _unzip(deleted.as_py(), np.int64)
-            cols = []
-            for c, n in _estimates(b, b.distinct(), rest, b.rows(gone), n_all, n_docs):
-                p = _ratio(c, n)
-                q = np.full(len(p), _NONE, np.int64)
-                q[p > 0] = np.rint(8 * np.log2(p[p > 0])).astype(np.int64)
-                cols += [_bucket(n), q]
-            cell, n = np.unique(np.stack(cols, axis=1), axis=0, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32).tolist(), pa.list_(pa.int32())), pa.array(n, pa.int64())], schema=schema)
+def _cells(blocks: pa.Table, answers: pa.Table, order: int, n_all: int, n_docs: int) -> pa.Table:
+    """Held-out events of a block of the deleted fold, summed in grid cells."""
+    b = Block(_unpack(blocks["docs"][0].as_py())["text"].combine_chunks(), order)
+    rest = _totals(answers, "train") - _totals(answers, "deleted")
+    cols = []
+    for c, n in _estimates(b, b.distinct(), rest, slice(None), n_all, n_docs):
+        p = _ratio(c, n)
+        q = np.full(len(p), _NONE, np.int64)
+        q[p > 0] = np.rint(8 * np.log2(p[p > 0])).astype(np.int64)
+        cols += [_bucket(n), q]
+    # one number per event: faster to count than rows
+    spread = [(int(c.min()), int(c.max() - c.min()) + 1) for c in cols]
+    code = np.zeros(len(cols[0]), np.int64)
+    for c, (low, width) in zip(cols, spread):
+        code = code * width + (c - low)
+    code, n = np.unique(code, return_counts=True)
+    cell = []
+    for low, width in reversed(spread):
+        cell.append((code % width + low).astype(np.int32))
+        code = code // width
+    return pa.table({"cell": pa.array(np.stack(cell[::-1], axis=1).tolist(), pa.list_(pa.int32())), "n": pa.array(n, pa.int64())})
 
 
 def learn(cells: np.ndarray, weight: np.ndarray, order: int, n_words: int, rounds: int = EM_ROUNDS) -> np.ndarray:
@@ -276,23 +294,23 @@ def learn(cells: np.ndarray, weight: np.ndarray, order: int, n_words: int, round
     return lam
 
 
-def _scores(batches, order: int, n_all: int, n_words: int, n_docs: int, lam: np.ndarray, schema: pa.Schema):
-    for batch in batches:
-        for raw, train in zip(batch.column("docs"), batch.column("train")):
-            t = _unpack(raw.as_py())
-            b = Block(t["text"].combine_chunks(), order)
-            est = _estimates(b, b.distinct(), _unzip(train.as_py(), np.int64), np.ones(int(b.n_tokens.sum()), bool), n_all, n_docs)
-            c = est[0][0]
-            p = np.full(len(c), 1.0 / (n_words + 1))
-            for k, (own, n) in enumerate(est):
-                w = lam[k][_bucket(n)]
-                p = w * _ratio(own, n) + (1 - w) * p
-            each = lambda x: np.add.reduceat(x, b.starts)
-            cols = [t["id"].combine_chunks(), pa.array(t["fold"].to_numpy() == HELD_OUT), pa.array(b.n_tokens, pa.int64()),
-                    pa.array(each((c > 0).astype(np.int64)), pa.int64()), pa.array(np.full(len(t), n_all), pa.int64()),
-                    pa.array(each(np.log10((c + 1) / (n_all + 1.0 * (n_words + 1)))), pa.float64()),
-                    pa.array(each(np.log10(p)), pa.float64())]
-            yield pa.RecordBatch.from_arrays(cols, schema=schema)
+def _scores(blocks: pa.Table, answers: pa.Table, order: int, n_all: int, n_words: int, n_docs: int, lam: np.ndarray,
+            id_type: pa.DataType) -> pa.Table:
+    """The rows of a block, scored."""
+    t = _unpack(blocks["docs"][0].as_py())
+    b = Block(t["text"].combine_chunks(), order)
+    est = _estimates(b, b.distinct(), _totals(answers, "train"), slice(None), n_all, n_docs)
+    c = est[0][0]
+    p = np.full(len(c), 1.0 / (n_words + 1))
+    for k, (own, n) in enumerate(est):
+        w = lam[k][_bucket(n)]
+        p = w * _ratio(own, n) + (1 - w) * p
+    each = lambda x: np.add.reduceat(x, b.starts)
+    return pa.table({"id": t["id"].combine_chunks().cast(id_type), "held_out": pa.array(t["fold"].to_numpy() == HELD_OUT),
+                     "n_tokens": pa.array(b.n_tokens, pa.int64()), "n_known": pa.array(each((c > 0).astype(np.int64)), pa.int64()),
+                     "train_tokens": pa.array(np.full(len(t), n_all), pa.int64()),
+                     "base_score": pa.array(each(np.log10((c + 1) / (n_all + 1.0 * (n_words + 1)))), pa.float64()),
+                     "score": pa.array(each(np.log10(p)), pa.float64())})
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
@@ -300,33 +318,35 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """One row per input row: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     checkpoint_dir(docs.sparkSession)
     own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), fold(F.col(id_col)).alias("fold"))
-    blocks = own.mapInArrow(lambda x: _pack(x, block_bytes), "block bigint, docs binary").checkpoint()
+    blocks = own.mapInArrow(lambda x: _pack(x, block_bytes), "block bigint, gone boolean, docs binary").checkpoint()
     folds = {r[0]: r[1] for r in own.groupBy("fold").agg(F.count(F.lit(1))).collect()}       # at most FOLDS rows
     n_docs = sum(n for f, n in folds.items() if f != HELD_OUT)
     n_rest = n_docs - folds.get(DELETED, 0)
     # about one distinct n-gram of each order for every 10 bytes
     size = blocks.count() * block_bytes * order // 10
     log2_ranges = max(0, int(np.ceil(np.log2(max(1, size / RANGE_KEYS)))))
-    sent = blocks.mapInArrow(lambda x: _send(x, order, log2_ranges), "block bigint, range int, keys array<binary>, train binary, deleted binary")
-    answers = sent.groupBy("range").applyInArrow(_add, "block bigint, range int, train binary, deleted binary").checkpoint()
+    sent = blocks.mapInArrow(lambda x: _send(x, order, log2_ranges), _SENT)
+    answers = sent.groupBy("range").applyInArrow(_add, _ANSWERS).checkpoint()
     del sent
     _release(docs)
-    n_all = n_words = n_gone = n_left = 0
-    for r in answers.where("block = -1").select("train").toLocalIterator():                 # four sums for each range
-        a, b, c, d = _unzip(bytes(r[0]), np.int64).tolist()
-        n_all, n_words, n_gone, n_left = n_all + a, n_words + b, n_gone + c, n_left + d
-    met = (blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block"))
-           .applyInArrow(_meet, "docs binary, train binary, deleted binary")).checkpoint()
-    del blocks, answers
-    _release(docs)
-    cells = met.mapInArrow(lambda x: _cells(x, order, n_all - n_gone, n_rest), "cell array<int>, n bigint")
+    sums = answers.where("block = -1").agg(*[F.sum(F.col("sums")[i]) for i in range(4)]).first()
+    n_all, n_words, n_gone, n_left = (x or 0 for x in sums)
+    answers = answers.where("block >= 0")
+
+    def meet(only: str, column: list[str], use, ddl: str) -> DataFrame:
+        """``use(block, its answers)`` for the blocks that ``only`` selects."""
+        mine = answers.where(only).select("block", "range", *column)
+        return blocks.where(only).select("block", "docs").groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(use, ddl)
+
+    cells = meet("gone", ["train", "deleted"], lambda b, a: _cells(b, a, order, n_all - n_gone, n_rest), "cell array<int>, n bigint")
     grid = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()                      # bounded by the grid
     lam = learn(np.array(grid["cell"].tolist(), dtype=np.int64), grid["n"].to_numpy(), order, n_left)
-    ddl = (f"id {own.schema['id'].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, "
+    _release(docs)
+    kind = own.schema["id"].dataType
+    ddl = (f"id {kind.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, "
            "train_tokens bigint, base_score double, score double")
-    schema = pa.schema([("id", _arrow(own)), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
-                        ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-    return met.mapInArrow(lambda x: _scores(x, order, n_all, n_words, n_docs, lam, schema), ddl).withColumnRenamed("id", id_col)
+    id_type = to_arrow_type(kind)
+    return meet("true", ["train"], lambda b, a: _scores(b, a, order, n_all, n_words, n_docs, lam, id_type), ddl).withColumnRenamed("id", id_col)
 
 
 def _release(df: DataFrame) -> None:
@@ -334,8 +354,3 @@ def _release(df: DataFrame) -> None:
     its cleaner does so when the driver has collected their handles."""
     gc.collect()
     df.sparkSession.sparkContext._jvm.System.gc()
-
-
-def _arrow(own: DataFrame) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-    return to_arrow_type(own.schema["id"].dataType)
