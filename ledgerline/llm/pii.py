@@ -8,8 +8,8 @@ phone numbers.  They seed a pattern-instance graph:
   of the characters of e-mail addresses, ``@`` and ``/`` with a digit, one of ``@ _ % +`` or an inner dot, or
   groups of digits written as in cards and phone numbers;
 * a token of fewer than ``MIN_CHARS`` characters is known to be no identifier;
-* a pattern is the lexical context alone: up to two words before it, lower-cased, back to the token
-  or span before; a context without a letter is none;
+* a pattern is the lexical context alone: up to two words before it, whole and lower-cased, back to the token
+  or span before; a context without a letter is none; neither words nor identifiers have an upper length;
 * an edge is a distinct (pattern, instance), so copies of a text add nothing.
 
 In each round a pattern's score is its number of trusted instances (seeds, and those with a
@@ -49,7 +49,6 @@ GROUPS = (r"(?<![A-Za-z0-9_%+@/.-])[+(]?[0-9][0-9\x20().-]*?"
 HIDDEN = "\x01"         # stands in the place of spans found before
 
 MIN_CHARS = 6
-MAX_CHARS = 64
 ROUNDS = 3
 MIN_SEEDS = 3
 MIN_SCORE = 0.75
@@ -87,14 +86,13 @@ def base(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Identifier-like tokens of a text, the short ones too."""
-    like = lambda x: x["t"].rlike(r"[0-9@_%+]|\.[A-Za-z0-9]") & (F.length(x["t"]) <= MAX_CHARS)
+    like = lambda x: x["t"].rlike(r"[0-9@_%+]|\.[A-Za-z0-9]")
     return F.filter(S.find(text, TOKEN, text.rlike(TOKEN)), like)
 
 
 def groups(text: Column) -> Column:
     """Identifier-like groups of digits with spaces or brackets between them."""
-    like = lambda x: (x["t"].rlike(r"[\x20()]") & (F.length(_digits(x["t"])) >= MIN_CHARS)
-                      & (F.length(x["t"]) <= MAX_CHARS))
+    like = lambda x: x["t"].rlike(r"[\x20()]") & (F.length(_digits(x["t"])) >= MIN_CHARS)
     return F.filter(S.find(text, GROUPS, text.rlike(r"[0-9][)\x20][\x20(-]?[0-9]")), like)
 
 

@@ -22,6 +22,8 @@ results; every row is returned; other columns are not read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,25 +65,6 @@ def weak(text: Column) -> Column:
                        (SECRET, F.filter(named(BARE_KEY), mixed)), (PLACE, S.find(text, ENDPOINT, text.contains("://")))])
 
 
-def _may_hold(text: Column) -> Column:
-    """A necessary condition for any base finding or weak part."""
-    out = text.rlike(_KEYWORD) | text.contains("AKIA") | text.contains("://")
-    for p in (HEX, NAMED_ID, NAMED_SECRET, BARE_KEY):
-        out = out | text.rlike(p)
-    return out
-
-
-def _without(text: Column, found: Column, mark: str) -> Column:
-    """The text with each run of overlapping spans replaced by ``mark``."""
-    def step(a, x):
-        new = x["s"] >= a["p"]
-        out = F.when(new, F.concat(a["o"], F.substring(text, a["p"] + 1, x["s"] - a["p"]), F.lit(mark))).otherwise(a["o"])
-        return F.struct(F.greatest(a["p"], x["e"]).alias("p"), out.alias("o"))
-
-    return F.aggregate(found, F.struct(F.lit(0).alias("p"), F.lit("").alias("o")), step,
-                       lambda a: F.concat(a["o"], F.substring(text, a["p"] + 1, F.length(text))))
-
-
 def _linked(parts: DataFrame, distance: int) -> DataFrame:
     """(key, s, e, kind) of the weak parts with complementary parts in reach.
 
@@ -101,47 +84,66 @@ def _linked(parts: DataFrame, distance: int) -> DataFrame:
                        | ((F.col("kind") == PLACE) & has(IDENTIFIER) & has(SECRET))).select("key", "s", "e", "kind")
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
-    """One row per input row: id, base spans, linked spans (s, nth, e, kind)."""
-    checkpoint_dir(docs.sparkSession)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("key"), text.alias("text"))
-    d = d.select("id", "key", "text", base(F.col("text")).alias("base"))
+def _parts(docs: DataFrame, text: Column, *columns: Column) -> DataFrame:
+    """``columns``, key (digest of the text), base findings and weak parts outside of them."""
+    d = docs.select(*columns, F.unhex(F.md5(text)).alias("key"), text.alias("body"))
+    d = d.select("*", base(F.col("body")).alias("base"))
     # a weak part inside a base finding is that finding
-    d = d.select("id", "key", "base", weak(S.mask(F.col("text"), F.col("base"))).alias("weak")).checkpoint()
+    return d.withColumn("weak", weak(S.mask(F.col("body"), F.col("base")))).drop("body")
+
+
+def _links(d: DataFrame, distance: int) -> DataFrame:
+    """(key, linked): the linked spans of the texts that have any; ``d`` has key, base and weak."""
     role = F.when(F.col("b.kind") == "access", IDENTIFIER).otherwise(SECRET)
     some = d.where("size(weak) > 0").select("key", "base", "weak").dropDuplicates(["key"])
     parts = (some.select("key", F.explode("weak").alias("w")).select("key", "w.s", "w.e", "w.kind", F.lit(True).alias("weak"))
              .unionByName(some.select("key", F.explode("base").alias("b"))
                           .select("key", "b.s", "b.e", role.alias("kind"), F.lit(False).alias("weak"))))
     nth = F.when(F.col("kind") == IDENTIFIER, 3).when(F.col("kind") == SECRET, 4).otherwise(5)
-    more = (_linked(parts, distance).groupBy("key")
+    return (_linked(parts, distance).groupBy("key")
             .agg(F.array_sort(F.collect_set(F.struct("s", nth.alias("nth"), "e", "kind"))).alias("linked")))
-    none = F.array().cast("array<struct<s:int,nth:int,e:int,kind:string>>")
-    slim = F.transform("base", lambda x: F.struct(x["s"].alias("s"), x["nth"].alias("nth"), x["e"].alias("e"), x["kind"].alias("kind")))
-    plain = d.where("size(weak) = 0").select("id", "key", slim.alias("base"), none.alias("linked"))
-    rest = d.where("size(weak) > 0").join(more, "key", "left").select(
-        "id", "key", slim.alias("base"), F.coalesce("linked", none).alias("linked"))
-    return plain.unionByName(rest).select(F.col("id").alias(id_col), "base", "linked")
+
+
+LINKED = "array<struct<s:int,nth:int,e:int,kind:string>>"
+
+
+def _slim(spans: Column) -> Column:
+    return F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["nth"].alias("nth"), x["e"].alias("e"), x["kind"].alias("kind")))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row per input row: id, base spans, linked spans (s, nth, e, kind)."""
+    checkpoint_dir(docs.sparkSession)
+    d = _parts(docs, F.coalesce(F.col(text_col), F.lit("")), F.col(id_col).alias("id")).checkpoint()
+    none = F.array().cast(LINKED)
+    plain = d.where("size(weak) = 0").select("id", _slim(F.col("base")).alias("base"), none.alias("linked"))
+    rest = d.where("size(weak) > 0").join(_links(d, distance), "key", "left").select(
+        "id", _slim(F.col("base")).alias("base"), F.coalesce("linked", none).alias("linked"))
+    return plain.unionByName(rest).withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", mark: str = "[secret]",
            distance: int = DISTANCE) -> DataFrame:
-    """The input's rows and columns; base and linked spans in the text are
+    """The input's rows and columns; each run of overlapping base and linked spans in the text is
     replaced by ``mark``, and the number of characters is brought up to date.
 
-    Rows without findings pass through unchanged and without a shuffle."""
-    text = F.col(text_col)
-    own = docs.select(F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("digest"), text.alias("text"))
-    found = (scan(own, "digest", "text", distance).select(F.col("digest").alias("found_key"), F.array_sort(F.concat("base", "linked")).alias("found"))
-             .where("size(found) > 0").dropDuplicates(["found_key"]).checkpoint())
-    maybe = F.coalesce(_may_hold(text), F.lit(False))
-    rows = docs.select(F.struct("*").alias("row"), maybe.alias("maybe"))
+    All patterns run once: the rows are written with their parts to the shared folder and read
+    again.  Only rows with weak parts are shuffled, to get their links."""
+    spark = docs.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/secrets-{uuid.uuid4().hex}"
+    d = _parts(docs, F.coalesce(F.col(text_col), F.lit("")), F.struct("*").alias("row"))
+    d.withColumns({"base": _slim(F.col("base")), "weak": _slim(F.col("weak"))}).write.parquet(path)
+    d = spark.read.parquet(path)
     body = F.col(f"row.{text_col}")
-    hit = rows.where("maybe").withColumn("key", F.unhex(F.md5(body))).join(found, F.col("key") == F.col("found_key"), "left")
-    clean = _without(body, F.col("found"), mark)
-    new = F.col("row").withField(text_col, clean)
-    if chars_col in docs.columns:
-        new = new.withField(chars_col, F.length(clean).cast(docs.schema[chars_col].dataType))
-    changed = hit.select(F.when(F.col("found").isNull(), F.col("row")).otherwise(new).alias("row"))
-    return rows.where("not maybe").select("row.*").unionByName(changed.select("row.*"))
+
+    def clean(rows: DataFrame, found: Column) -> DataFrame:
+        rows = rows.select("row", S.merged(found).alias("runs"))
+        rows = rows.select("row", "runs", S.replaced(body, F.col("runs"), lambda x: F.lit(mark)).alias("new"))
+        row = F.col("row").withField(text_col, F.col("new"))
+        if chars_col in docs.columns:
+            row = row.withField(chars_col, F.length("new").cast(docs.schema[chars_col].dataType))
+        return rows.select(F.when(F.size("runs") > 0, row).otherwise(F.col("row")).alias("row")).select("row.*")
+
+    weak_rows = d.where("size(weak) > 0").join(_links(d, distance), "key", "left")
+    both = F.array_sort(F.concat("base", F.coalesce("linked", F.array().cast(LINKED))))
+    return clean(d.where("size(weak) = 0"), F.col("base")).unionByName(clean(weak_rows, both))

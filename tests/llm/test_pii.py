@@ -99,3 +99,24 @@ def test_unlabelled_are_no_negatives(make_docs):
     assert all(got[300 + i] == [f"ZX{i:06d}"] for i in range(40))
     assert got[420] == [] and got[440] == []
     assert not any(got[i] for i in (*range(3), *range(100, 200), 400, 410, 411))
+
+
+def test_no_upper_lengths(make_docs):
+    """Identifiers and context words of any length."""
+    long_id, word = "CUST-" + "4711-" * 200 + "99", "www" * 70
+    rows = [(i, f"our account holder: u{i}@ex.org") for i in range(3)] + [(10, f"our account holder: {long_id} of old")]
+    rows += [(20 + i, f"see {word} u{i}@ex.org") for i in range(3)]
+    rows += [(30, f"see {word} AB-123456"), (31, f"xx {word} AB-123457"), (32, f"see {word}w AB-123458")]
+    got = found(make_docs, rows)
+    assert got[10] == [long_id] and got[30] == ["AB-123456"] and got[31] == got[32] == []
+
+
+def test_long_text_with_many_spans(make_docs):
+    text = "write to contact: u1@ex.org and to contact: AB-99812345 at 10.0.0.1\n" * 17_000
+    rows = [(i, f"write to contact: v{i}@ex.org") for i in range(4)] + [(9, text)]
+    got = {r.doc_id: r for r in pii.scan(make_docs(rows)).collect()}[9]
+    assert len(got.base) == 34_000 and len(got.ids) == 17_000
+    assert all(text[x.s: x.e] == x.t for x in (*got.base[::997], *got.ids[::991]))
+    # the same text in one short copy of each line gives the same spans a line
+    line = len(text) // 17_000
+    assert {(x.s % line, x.e - x.s) for x in got.ids} == {(text.index("AB-"), len("AB-99812345"))}

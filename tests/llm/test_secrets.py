@@ -94,3 +94,26 @@ def test_long_parts_are_whole(make_docs):
     assert got == want
     for r in S.redact(make_docs(rows)).collect():
         assert BARE[:8] not in r.text and r.text.endswith("[secret] end") and r.n_chars == len(r.text)
+
+
+def test_many_findings_in_long_texts(make_docs):
+    """Texts of 1 MB and more with tens of thousands of findings take time in proportion to their length."""
+    line = "password = hunter2x; login: bob pwd = xyzzy1 at https://h.example.org/é😀\n"
+    rows = [(n, "start " + line * k + "end") for n, k in enumerate((10, 14_000, 60_000))]
+    got = {r.doc_id: r for r in S.redact(make_docs(rows)).collect()}
+    clean = "[secret]; [secret] [secret] at [secret]\n"
+    for n, k in enumerate((10, 14_000, 60_000)):
+        assert got[n].text == "start " + clean * k + "end" and got[n].n_chars == len(got[n].text)
+
+
+def test_overlapping_findings_become_one(make_docs):
+    rows = [(1, "token=abcdef0123456789abcdef012345/AKIA" + "B" * 30 + " x"), (2, "AKIA" + "C" * 20 + "a" * 30 + "z"),
+            (3, "a" * 24 + "token=abcdefg"), (4, "x" * 1023 + " token=" + "é" + "b" * 2000 + " token=" + "c" * 3000)]
+    got = {r.doc_id: r.text for r in S.redact(make_docs(rows)).collect()}
+    for i, t in rows:
+        want, at = "", 0
+        for a, _, b, _ in spans(t):
+            if a >= at:
+                want += t[at:a] + "[secret]"
+            at = max(at, b)
+        assert got[i] == want + t[at:]
