@@ -23,6 +23,7 @@ it, so components are complete with respect to the shared bands.
 Defined results: a null, empty or word-less text has no shingles, is linked
 with nothing and kept; a null id has no component and is kept; rows that repeat
 an id are one node (confirmed by its smallest text), and each row is returned; other columns are not read.
+``keep_one`` judges rows by id and text instead, so that an id's unrelated texts all stay.
 """
 
 from __future__ import annotations
@@ -260,22 +261,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                       F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def _nodes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(row, node): the whole row, and a number for its id and text.  It is the id itself,
+    but for an id that repeats with other texts: all of these but one (the smallest digest)
+    get a number of their own, from 2^62 on, by a hash of id and text."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("node"), F.md5(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
+    several = (rows.where("node is not null").groupBy("node").agg(F.min("digest").alias("low"), F.max("digest").alias("high"))
+               .where("low <> high").select("node", "low").checkpoint())
+    if several.head(1):
+        seen = Bitmap(several, "node")
+        rows = rows.withColumn("maybe", seen.might_have(F.col("node")))
+        own = F.xxhash64("node", "digest").bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        node = F.when(F.col("low").isNotNull() & (F.col("digest") != F.col("low")), own).otherwise(F.col("node"))
+        more = rows.where("maybe").join(several, "node", "left").select("row", node.alias("node"))
+        return rows.where("not maybe").select("row", "node").unionByName(more)
+    return rows.select("row", "node")
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE,
              percent: int = MIN_PERCENT) -> DataFrame:
-    """The input's rows, all columns, one for each group of near duplicates;
-    of rows that repeat an id one stays (rows without words, or without an id, all stay)."""
-    judged = near_duplicates(docs, id_col, text_col, k, percent).select(F.col(id_col).alias("drop_id"), "kept").checkpoint()
-    dropped = judged.where("not kept").select("drop_id").distinct()
-    repeated = judged.where("drop_id is not null").groupBy("drop_id").count().where("count > 1").select("drop_id")
-    seen = Bitmap(dropped.unionByName(repeated), "drop_id")
-    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("long").alias("id"))
-    rows = rows.withColumn("maybe", F.col("id").isNotNull() & seen.might_have(F.col("id")))
-    # only rows whose id may be dropped or repeated are shuffled
-    left = rows.where("maybe").join(dropped, F.col("id") == F.col("drop_id"), "left_anti")
+    """The input's rows, all columns, one for each group of near duplicates (the smallest id's, where ids do not repeat).
+
+    A row is judged by its own text: an id that repeats with unrelated texts keeps them all.  Of rows that
+    repeat an id and its text one stays (rows without words, or without an id, all stay)."""
+    checkpoint_dir(docs.sparkSession)
+    rows = _nodes(docs, id_col, text_col)
+    judged = (near_duplicates(rows.select("node", F.col(f"row.{text_col}").alias("text")), "node", "text", k, percent)
+              .select(F.col("node").alias("drop_node"), "kept").checkpoint())
+    dropped = judged.where("not kept").select("drop_node").distinct()
+    repeated = judged.where("drop_node is not null").groupBy("drop_node").count().where("count > 1").select("drop_node")
+    seen = Bitmap(dropped.unionByName(repeated), "drop_node")
+    rows = rows.withColumn("maybe", F.col("node").isNotNull() & seen.might_have(F.col("node")))
+    # only rows whose node may be dropped or repeated are shuffled
+    left = rows.where("maybe").join(dropped, F.col("node") == F.col("drop_node"), "left_anti")
     one = F.coalesce(F.col(f"row.{text_col}").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # wordless rows all stay and are spread over many windows
-    left = left.select("row", "id", one.alias("one"),
+    left = left.select("row", "node", one.alias("one"),
                        F.when(one, -1).otherwise(F.monotonically_increasing_id() % 4096).alias("salt"))
-    w = Window.partitionBy("id", "salt").orderBy(F.xxhash64(f"row.{text_col}"))
+    w = Window.partitionBy("node", "salt").orderBy(F.xxhash64(f"row.{text_col}"))
     left = left.withColumn("nth", F.row_number().over(w)).where("nth = 1 or not one")
     return rows.where("not maybe").select("row.*").unionByName(left.select("row.*"))

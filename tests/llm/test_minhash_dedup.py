@@ -18,7 +18,7 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     """{id: (n, component)} by comparing every pair."""
     s = {}
     for i, t in rows:
@@ -33,9 +33,9 @@ def brute(rows):
     ids = sorted(s)
     for x, i in enumerate(ids):
         for j in ids[x + 1:]:
-            if s[i] and s[j] and 100 * min(len(s[i]), len(s[j])) >= 85 * max(len(s[i]), len(s[j])):
+            if s[i] and s[j] and 100 * min(len(s[i]), len(s[j])) >= percent * max(len(s[i]), len(s[j])):
                 both = len(s[i] & s[j])
-                if 100 * both >= 85 * (len(s[i]) + len(s[j]) - both):
+                if 100 * both >= percent * (len(s[i]) + len(s[j]) - both):
                     a, b = find(i), find(j)
                     root[max(a, b)] = min(a, b)
     return {i: (len(s[i]), find(i)) for i in ids}
@@ -132,3 +132,15 @@ def test_keep_one_at_80_percent(make_docs):
         got = {r.doc_id for r in D.keep_one(make_docs(rows), k=5, percent=percent).collect()}
         assert got == want and [sum(i % 4 == m for i in got) for m in range(4)] == kept
     assert D.bands_for(85) == 20 and D.bands_for(80) == 28 and (1 - 0.8 ** D.ROWS) ** D.bands_for(80) <= D.MISS
+
+
+def test_keep_one_judges_each_text_of_an_id(make_docs):
+    text = {c: " ".join(f"{c}{i}" for i in range(40)) for c in "abczy"}
+    rows = [(1, "a"), (1, "b"), (2, "c"), (3, "c"), (3, "z"), (3, "z"), (None, "a"), (9, "y")]
+    got = D.keep_one(make_docs([(i, text[c]) for i, c in rows], parts=4), percent=80).collect()
+    assert sorted((str(r.doc_id), r.text[0]) for r in got) == [("1", "a"), ("1", "b"), ("2", "c"), ("3", "z"), ("9", "y"), ("None", "a")]
+    near = text["c"].replace("c0 ", "new ")                   # a near copy under an id that holds other texts too
+    rows = [(1, text["a"]), (2, text["c"] + " c40" * 9), (1, near + " c40" * 9), (1, text["b"])]
+    got = D.keep_one(make_docs(rows, parts=2), percent=80).collect()
+    got = {(r.doc_id, r.text) for r in got}
+    assert len(got) == 3 and {rows[0], rows[3]} < got

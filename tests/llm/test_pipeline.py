@@ -25,7 +25,7 @@ def brute(rows, items):
         return np.array([code[x] for x in w], dtype=np.uint64), np.zeros(len(w), np.int64)
 
     rows = [r for r in rows if r[1] and good(r[1])]
-    comp = tm.brute([(i, t) for i, t, _ in rows])
+    comp = tm.brute([(i, t) for i, t, _ in rows], percent=80)
     rows = [r for r in rows if comp[r[0]][1] == r[0]]
     bad = {r[0] for r in td.brute([(i, t) for i, t, _ in rows], items) if r[5]}
     rows = [r for r in rows if str(r[0]) not in bad]
