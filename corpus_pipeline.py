@@ -5,7 +5,7 @@ written as Parquet in the shared folder and read again, so a lost executor
 costs at most the stage at work.  All but the last return the columns of ``docs``:
 
 1. quality rules: rejected documents go;
-2. min-max near-dedup: one document of each group of near duplicates stays;
+2. min-max near-dedup: one document of each group of near duplicates (similarity from 0.8) stays;
 3. benchmark decontamination: contaminated documents go;
 4. secret scans: findings are replaced in the text, the document stays;
 5. mixing: documents taken, with ``copies``, the source's target and the words taken.
@@ -28,7 +28,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash_dedup.keep_one(docs)
+    return minhash_dedup.keep_one(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
