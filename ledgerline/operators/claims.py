@@ -19,6 +19,7 @@ STATUS_LABELS = {
 MORE_ITEMS_PREFIX, MORE_ITEMS_SUFFIX = " 외 ", "건"
 # Order export header (K8).
 EXPORT_HEADER = ("주문번호", "일시", "주문자", "상품", "수량", "상태", "결제금액")
+EXPORT_HEADER_PAYMENT = ("주문번호", "주문일시", "주문자", "상품", "수량", "상태", "결제금액", "결제방법")
 
 
 def label_sql(status: str = "order_status", fallback: str | None = "?") -> str:
@@ -130,11 +131,12 @@ def order_kpis(orders: DataFrame) -> DataFrame:
 
 # ---- K8: export rows ------------------------------------------------------------------------
 
-def export_rows(orders: DataFrame) -> DataFrame:
-    """K8 content: one row per order; item names joined with '/', label (or
-    raw status), raw paid-amount text."""
+def export_rows(orders: DataFrame, separator: str = "/", payment: bool = False) -> DataFrame:
+    """K8 content: one row per order; item names joined with ``separator``, label (or
+    raw status), raw paid-amount text.  The second page's shape has ' / ' and the payment method (``payment``)."""
+    more = [f"{or_sql('payment_method', default='')} AS payment_method"] if payment else []
     return orders.selectExpr(
         "order_id", f"{TIME_TEXT} AS order_time", "coalesce(buyer_name, '') AS buyer",
-        f"array_join(transform({_ITEMS}, i -> coalesce(i.product_name, '')), '/') AS items",
+        f"array_join(transform({_ITEMS}, i -> coalesce(i.product_name, '')), {lit_sql(separator)}) AS items",
         f"CAST({_QTY} AS STRING) AS quantity", f"{label_sql('order_status', None)} AS status",
-        f"{or_sql('actual_payment_amount', 'total_amount_paid', default='0')} AS amount")
+        f"{or_sql('actual_payment_amount', 'total_amount_paid', default='0')} AS amount", *more)

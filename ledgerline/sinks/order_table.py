@@ -200,7 +200,7 @@ def _add_entries(spark: SparkSession, path: str, entries: DataFrame, work: str)
 # ---- upsert ----------------------------------------------------------------------------------------
 
 def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",),
-                  replace_by_order: bool = False, index_rows: int = INDEX_ROWS) -> dict:
+                  replace_by_order: bool = False, index_rows: int = INDEX_ROWS, newer_by: str | None = None) -> dict:
     """K1: replace order lines by ``id``, last write wins.
 
     A batch row always replaces the stored row with the same id; inside the
@@ -214,6 +214,9 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
     order grows from one item to several; with this option every stored line
     of a (channel, order) present in the batch is replaced instead.
 
+    ``newer_by``: a column by which a batch row must be greater than the stored row with its id to
+    replace it (a collection of older records next to a running stream must not revert lines).
+
     Returns the batch row count, the surviving batch lines, the rows written
     (all rows of the touched partitions) and the touched (channel, month) pairs.
     """
@@ -234,7 +237,7 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
             _counted(rows, lines).write.parquet(f"{work}/batch")
             # without rows there are no files to take the schema from
             merged = spark.read.schema(rows.schema).parquet(f"{work}/batch")
-            touched = _merge(spark, path, work, merged, replace_by_order, written)
+            touched = _merge(spark, path, work, merged, replace_by_order, written, newer_by)
         new = _parts(spark, f"{work}/new")
         removed = sorted(live[p] for p in touched if p in live and p not in new)
         if new or removed:
@@ -253,7 +256,8 @@ def _counted(df: DataFrame, by: Observation) -> DataFrame:
     return df.observe(by, F.count(F.lit(1)).alias("n"))
 
 
-def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace_by_order: bool, written: Observation) -> set[Part]:
+def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace_by_order: bool, written: Observation,
+           newer_by: str | None = None) -> set[Part]:
     """Write the new versions of all partitions that hold or get lines of the batch to
     ``work/new``, and the index entries that are missing; the partitions."""
     parts = list(ORDER_PARTITIONS)
@@ -268,6 +272,9 @@ def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace
     if touched:
         key = ["channel", "order_id"] if replace_by_order else ["id"]
         stored = read_orders(spark, path).where(in_parts(touched))
+        if newer_by:
+            was = stored.select("id", F.col(newer_by).alias("_was"))
+            merged = merged.join(was, "id", "left").where(F.col("_was").isNull() | (F.col(newer_by) > F.col("_was"))).select(*merged.columns)
         keep = stored.join(merged.select(*key).distinct(), key, "left_anti")
         out = keep.unionByName(merged, allowMissingColumns=True)
         _counted(clustered(out, parts), written).write.partitionBy(*parts).parquet(f"{work}/new")

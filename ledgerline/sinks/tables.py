@@ -39,7 +39,7 @@ def _stage(df: DataFrame, name: str, partition_by: Sequence[str] = ()):
         files.delete(spark, path)
 
 
-def _publish(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+def replace_partitions(df: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Overwrite only the partitions present in ``df``."""
     (clustered(df, partition_by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
        .partitionBy(*partition_by).parquet(path))
@@ -77,7 +77,7 @@ def append_costs(costs: DataFrame, path: str) -> None:
 def refresh_daily_summary(summary: DataFrame, path: str) -> None:
     """K5: replace the ``channel`` partitions present in ``summary``
     (the query half is ``sales.daily_summary``)."""
-    _publish(summary, path, ["channel"])
+    replace_partitions(summary, path, ["channel"])
 
 
 def refresh_summary_months(spark: SparkSession, orders_path: str, summary_path: str, channel: str,
@@ -94,7 +94,7 @@ def refresh_summary_months(spark: SparkSession, orders_path: str, summary_path:
     with _stage(summ, "summary", ORDER_PARTITIONS) as staged:
         kept = {r[0] for r in staged.select("order_month").distinct().collect()}          # one per month
         if kept:
-            _publish(staged, summary_path, ORDER_PARTITIONS)
+            replace_partitions(staged, summary_path, ORDER_PARTITIONS)
     for m in sorted(set(months) - kept):
         files.delete(spark, f"{summary_path}/channel={channel}/order_month={m}")
 
@@ -112,7 +112,7 @@ def write_snapshot(snapshot: DataFrame, path: str, order: Sequence[str] = ()) ->
     if not order and "base_stock" in snapshot.columns:
         rows, order = snapshot.withColumn("_low", -F.col("base_stock")), ("_low",)
     rows = last_wins(rows, key, list(order)).select(*snapshot.columns)
-    _publish(rows.withColumnRenamed("date", "snapshot_date"), path, ["snapshot_date"])
+    replace_partitions(rows.withColumnRenamed("date", "snapshot_date"), path, ["snapshot_date"])
 
 
 # ---- K7: run history ---------------------------------------------------------------------------
@@ -125,7 +125,7 @@ def append_run(record: DataFrame, path: str) -> None:
 
 def record_run(record: DataFrame, path: str) -> None:
     """K7/T4: one run record per (source, batch id); a retried batch replaces its record."""
-    _publish(record.select(*[c for c in record.columns if c != "channels"], F.to_json("channels").alias("channels_json")),
+    replace_partitions(record.select(*[c for c in record.columns if c != "channels"], F.to_json("channels").alias("channels_json")),
              path, ["source", "batch_id"])
 
 
@@ -142,12 +142,26 @@ def run_history(spark: SparkSession, path: str, limit: int | None = 50) -> DataF
 
 # ---- K8 / K9: CSV exports ------------------------------------------------------------------------
 
-def export_csv(rows: DataFrame, path: str, header: Sequence[str] | None = None) -> None:
+BOM = "\ufeff"
+
+
+def export_csv(rows: DataFrame, path: str, header: Sequence[str] | None = None, bom: bool = False) -> None:
     """K8/K9: CSV with a header row, every field quoted (quotes doubled),
     UTF-8.  One file per partition: large exports are written in parallel,
-    not funnelled through one task.  The spreadsheet byte-order mark of the
-    source's download is not written (the CSV writer has no such option)."""
-    out = rows.toDF(*list(header or rows.columns))
+    not funnelled through one task.
+
+    ``bom``: every file begins with a byte-order mark, as spreadsheet programs expect.  The
+    CSV writer has no such option, so the lines are written as text, with mark and header in
+    front of a partition's first line (null is an empty field; without rows there is no file)."""
+    names = list(header or rows.columns)
+    if bom:
+        quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+        line = F.concat_ws(",", *[quoted(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))) for c in rows.columns])
+        top = BOM + ",".join('"' + n.replace('"', '""') + '"' for n in names) + "\n"
+        first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0          # the place in the partition
+        rows.select(F.when(first, F.concat(F.lit(top), line)).otherwise(line).alias("line")).write.mode("overwrite").text(path)
+        return
+    out = rows.toDF(*names)
     (out.write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"')
         .option("encoding", "UTF-8").csv(path))
 
@@ -157,7 +171,7 @@ def export_csv(rows: DataFrame, path: str, header: Sequence[str] | None = None)
 def save_stock(saved: DataFrame, path: str, as_of: str) -> None:
     """Saved (code, opening, outgoing) for a day; each day is its own
     partition, so re-saving a day replaces only that day."""
-    _publish(saved.withColumn("as_of", F.lit(as_of)), path, ["as_of"])
+    replace_partitions(saved.withColumn("as_of", F.lit(as_of)), path, ["as_of"])
 
 
 def latest_saved(spark: SparkSession, path: str) -> DataFrame:

@@ -67,6 +67,10 @@ RUN_RECORD = T.StructType([
 C_STATUSES = ("PAYED", "DELIVERED", "EXCHANGED", "CANCELED", "RETURNED")
 
 
+# The fields of a record's day, first filled one wins.
+DAY_FIELDS = {"A": ("order_date", "created_date"), "B": ("orderedAt", "createdAt"), "C": ("orderDate", "paymentDate")}
+
+
 # ---- file readers ----------------------------------------------------------------
 
 def read_orders_a(spark: SparkSession, path: str) -> DataFrame:
