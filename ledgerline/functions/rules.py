@@ -195,6 +195,20 @@ def numbered(df: DataFrame, order: str, name: str = "row_no", buckets: int | Non
                   .drop("_b", "_off", "_r"))
 
 
+def numbered_by_blocks(df: DataFrame, block: Sequence[str], order: str, name: str = "no") -> DataFrame:
+    """Number rows 1..n by ``block``, then ``order``, without gaps and without sorting all rows in one task.
+
+    A block holds a bounded number of rows (e.g. the rows of one split of a file); each is
+    numbered by itself, and starts after the running count of the blocks before it (one row a block)."""
+    from pyspark.sql import Window
+    keys = [F.col(c) for c in block]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    return ranked.join(offsets, list(block)).withColumn(name, (F.col("_off") + F.col("_r")).cast("bigint")).drop("_off", "_r")
+
+
 # ---------------------------------------------------------------------------------------
 # The same rules as SQL expression text.  A projection written as text is
 # parsed by the JVM in one call (``selectExpr`` / ``F.expr``) instead of one

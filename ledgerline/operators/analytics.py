@@ -15,6 +15,7 @@ partial top-k before the shuffle.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
@@ -172,6 +173,11 @@ def integrated_products(top: DataFrame, channels: Sequence[str], k: int = 30) ->
 
 # ---- J8: period comparison ---------------------------------------------------------------
 
+def comparison_start(as_of: str, days: int = 30) -> str:
+    """The first day that ``period_comparison`` reads."""
+    return (dt.date.fromisoformat(as_of) - dt.timedelta(days=2 * days)).isoformat()
+
+
 def period_comparison(order_rows: DataFrame, as_of: str, days: int = 30) -> DataFrame:
     """Last ``days`` days against the ``days`` before (the boundary day is in
     both windows): totals per window in one pass, then % change (null when

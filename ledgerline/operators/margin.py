@@ -182,7 +182,7 @@ REPORT_COLUMNS = ("product_name", "product_no", "variant_code", "matched_inv_nam
 
 
 def margin_report(orders: DataFrame, inventory: DataFrame, costs: DataFrame, start: str, end: str,
-                  limit: int = 100) -> DataFrame:
+                  limit: int | None = 100) -> DataFrame:
     """Top groups, cost cascade, then cost, margin, rate, unit margin.
 
     The top groups and the pruned cost maps are small (bounded by ``limit``)
@@ -190,10 +190,10 @@ def margin_report(orders: DataFrame, inventory: DataFrame, costs: DataFrame, sta
     checkpoint folder so the lookups read them instead of re-deriving them
     (and the plan does not repeat their lineage)."""
     top = margin_groups(orders, start, end, limit).checkpoint()
-    # keys the top groups can look up: at most 2 * limit values (broadcast)
+    # keys the top groups can look up: at most 2 * limit values (broadcast); without a limit they are joined as any side
     keys = (top.select(F.col("variant_code").alias("k")).unionByName(top.select(F.col("product_no").alias("k")))
                .where(F.col("k") != "").distinct())
-    kb = F.broadcast(keys)
+    kb = F.broadcast(keys) if limit else keys
     # stock rows that can bridge a top variant, and the barcodes they look up
     inv_k = inventory.join(kb, inventory.supplier_option == kb.k, "left_semi")
     bkeys = (keys.unionByName(inv_k.select(F.col("barcode").alias("k")))

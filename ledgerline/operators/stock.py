@@ -9,6 +9,8 @@ broadcast vs. shuffle join is left to AQE's measured sizes.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,10 +94,11 @@ def locate_header(raw: DataFrame, cells: list[str], pos: str = "pos", file: str
                   .drop("_first", "_hdr"))
 
 
-def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None) -> DataFrame:
+def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """Opening-stock sheet -> numbered items (``no``), rows without a
     code dropped.  ``raw``: text columns named by ``header`` values, in file
-    order, header row already removed (see ``locate_header``)."""
+    order, header row already removed (see ``locate_header``).  With ``keep`` these
+    columns are passed on and the items are left to be numbered by them."""
     h = header or OPENING_SHEET_HEADERS
 
     def text(k):
@@ -105,10 +108,10 @@ def parse_opening_sheet(raw: DataFrame, header: dict[str, str] | None = None) ->
         return f"coalesce({parse_float_sql(or_sql(ident(h[k]), kind='cell'))}, 0.0)"
 
     items = raw.where(f"{ident(h['code'])} IS NOT NULL AND {ident(h['code'])} != ''").selectExpr(
-        *(["pos"] if "pos" in raw.columns else []),
+        *(keep or (["pos"] if "pos" in raw.columns else [])),
         *[f"{text(k)} AS {k}" for k in ("code", "barcode", "name", "option", "category")],
         f"{num('cost')} AS cost", f"{num('price')} AS price")
-    return numbered(items, "pos", "no") if "pos" in raw.columns else items
+    return numbered(items, "pos", "no") if "pos" in raw.columns and not keep else items
 
 
 # ---- G11: shipped quantities ------------------------------------------------
@@ -245,7 +248,8 @@ def stock_base_date(inv: DataFrame, start: str) -> str:
 
 
 def stock_status_rows(orders: DataFrame, inventory: DataFrame, start: str, end: str,
-                       search=None, supplier=None, category=None) -> DataFrame:
+                       search=None, supplier=None, category=None, extra: Sequence[str] = ()) -> DataFrame:
+    """J2 rows; ``extra`` columns of the stock table are passed on."""
     inv = stock_filters(inventory, search, supplier, category)
     base_day = stock_base_date(inv, start)
     base = F.lit(base_day).cast("date")
@@ -262,7 +266,7 @@ def stock_status_rows(orders: DataFrame, inventory: DataFrame, start: str, end:
         "product_code", "product_name", "option_name", "supplier", "category",
         (upload - prev).alias("base_stock"), per.alias("shipped"), (upload - prev - per).alias("expected_stock"),
         shipped_source("per").alias("shipped_source"),
-        F.col("base_date"))
+        F.col("base_date"), *extra)
 
 
 def stock_status(orders: DataFrame, inventory: DataFrame, start: str, end: str, search=None, supplier=None,

@@ -25,14 +25,19 @@ def _raw_a(spark, sf):
     return feeds.landed_a(spark, sf)
 
 
-def _order_rows(spark, sf):
-    return an.order_rows_a(_raw_a(spark, sf)).unionByName(an.order_rows_b(feeds.feed_b(spark, sf))) \
-        .unionByName(an.order_rows_c(feeds.feed_c(spark, sf)))
+def _in_days(spark, sf, start, end):
+    """The three feeds, only the landing folders of the days read."""
+    return [feeds.in_days(x, start, end) for x in (_raw_a(spark, sf), feeds.feed_b(spark, sf), feeds.feed_c(spark, sf))]
 
 
-def _product_rows(spark, sf):
-    return an.product_rows_a(_raw_a(spark, sf)).unionByName(an.product_rows_b(feeds.feed_b(spark, sf))) \
-        .unionByName(an.product_rows_c(feeds.feed_c(spark, sf)))
+def _order_rows(spark, sf, start=S, end=E):
+    a, b, c = _in_days(spark, sf, start, end)
+    return an.order_rows_a(a).unionByName(an.order_rows_b(b)).unionByName(an.order_rows_c(c))
+
+
+def _product_rows(spark, sf, start=S, end=E):
+    a, b, c = _in_days(spark, sf, start, end)
+    return an.product_rows_a(a).unionByName(an.product_rows_b(b)).unionByName(an.product_rows_c(c))
 
 
 # ---- SQL inputs --------------------------------------------------------------------------
@@ -158,7 +163,7 @@ FROM (SELECT *, CAST(CASE WHEN cur_orders > 0 THEN {js_round_sql('cur_revenue /
 
 @plan("j08_period_comparison", oracle=with_views(AN_BASE, _J8_SQL, AN_VIEWS))
 def j08(spark, sf):
-    return an.period_comparison(_order_rows(spark, sf), AS_OF, 30)
+    return an.period_comparison(_order_rows(spark, sf, an.comparison_start(AS_OF, 30), AS_OF), AS_OF, 30)
 
 
 @plan("g24_run_totals", oracle=with_views(AN_BASE, f"""

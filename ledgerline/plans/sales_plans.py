@@ -132,11 +132,11 @@ SELECT channel,
 FROM fx_orders GROUP BY channel"""))
 def f01(spark, sf):
     o = fx.orders_table(spark, sf)
-    d = F.col("order_date")
-    inside = d.between(F.lit(S).cast("date"), F.lit(E).cast("date"))
-    before = (d >= F.lit(STOCK_BASE).cast("date")) & (d < F.lit(STOCK_START).cast("date"))
-    return o.groupBy("channel").agg(F.count(F.when(inside, 1)).alias("lines_in_period"),
-                                    F.count(F.when(before, 1)).alias("lines_before"))
+    counted = lambda df, inside, before: df.groupBy("channel").agg(
+        (F.count(F.lit(1)) * inside).alias("i"), (F.count(F.lit(1)) * before).alias("b"))
+    every = (counted(o, 0, 0).unionByName(counted(sales.in_period(o, S, E), 1, 0))
+             .unionByName(counted(sales.before_period(o, STOCK_BASE, STOCK_START), 0, 1)))
+    return every.groupBy("channel").agg(F.sum("i").alias("lines_in_period"), F.sum("b").alias("lines_before"))
 
 
 @plan("f02_effective_status", oracle=with_views(["fx_orders"], f"""

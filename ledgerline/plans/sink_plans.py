@@ -279,7 +279,7 @@ def s09_files(spark, sf):
     rows = r.select("seq", *[cols[j].alias(cells[i]) for i, j in enumerate(order)])
     path = _upload(rows, _fresh(spark, "sheet-opening"), cells,
                    [["stock list", *["-"] * (len(names) - 1)], [names[j] for j in order]])
-    return sheets.read_opening_sheet(spark, path)
+    return sheets.read_opening_sheet(spark, path).drop("no")
 
 
 @plan("s09_opening_sheet_wide", oracle=with_views(["fx_inventory_rows"], """
@@ -295,4 +295,18 @@ def s09_wide(spark, sf):
     cells = [f"c{i}" for i in range(front + len(names))]
     rows = r.select("seq", *[F.lit("x").alias(c) for c in cells[:front]], *[x.alias(c) for x, c in zip(cols, cells[front:])])
     path = _upload(rows, _fresh(spark, "sheet-opening"), cells, [[*[f"extra {i}" for i in range(front)], *names]])
-    return sheets.read_opening_sheet(spark, path)
+    return sheets.read_opening_sheet(spark, path).drop("no")
+
+
+@plan("s09_numbered_files", oracle=with_views(["fx_inventory_rows"], f"""
+SELECT row_number() OVER (ORDER BY seq % {FILES}, seq) AS no, product_code AS code, option_name AS option
+FROM fx_inventory_rows WHERE seq % 9 <> 0"""))
+def s09_numbered(spark, sf):
+    """S9's row numbers over several files, each split over tasks."""
+    names = list(stock.OPENING_SHEET_HEADERS.values())
+    r = fx.inventory_rows(spark, sf)
+    cols = [F.when(F.col("seq") % 9 == 0, F.lit("")).otherwise(F.col("product_code")), F.col("barcode"), F.col("product_name"),
+            F.col("option_name"), F.col("category"), F.col("cost_price").cast("string"), F.col("sell_price").cast("string")]
+    cells = [f"c{i}" for i in range(len(names))]
+    path = _upload(r.select("seq", *[x.alias(c) for x, c in zip(cols, cells)]), _fresh(spark, "sheet-numbered"), cells, [names])
+    return sheets.read_opening_sheet(spark, path).select("no", "code", "option")

@@ -91,8 +91,8 @@ def _page(spark, sf):
     shipped (J2), numbered by sheet order (before the order data joins in)."""
     from ledgerline.functions.rules import numbered
     inv = numbered(fx.inventory(spark, sf, keep_seq=True), "seq", "no")
-    st = stock.stock_status_rows(fx.orders_table(spark, sf), inv, STOCK_START, STOCK_END)
-    j = inv.join(st.select("product_code", "option_name", "shipped"), ["product_code", "option_name"])
+    j = stock.stock_status_rows(fx.orders_table(spark, sf), inv, STOCK_START, STOCK_END,
+                                extra=("no", "barcode", "cost_price", "sell_price", "stock_qty"))
     return j.select("no", F.col("product_code").alias("code"), "barcode", F.col("product_name").alias("name"),
                     F.col("option_name").alias("option"), "category", F.col("cost_price").alias("cost"),
                     F.col("sell_price").alias("price"), F.col("stock_qty").alias("opening"),
@@ -417,7 +417,7 @@ FROM restored p LEFT JOIN matched m ON m.no = p.no LEFT JOIN contained c ON c.no
 @plan("j06_sync_orders", oracle=_sync_sql())
 def j06(spark, sf):
     from ledgerline.sources import feeds
-    raw_a = feeds.landed_a(spark, sf)
+    raw_a = feeds.in_days(feeds.landed_a(spark, sf), STOCK_START, STOCK_END)
     items = stock.sync_items(raw_a, STOCK_START, STOCK_END)
     # the page state after load + restore (J7), as the stored page table
     inputs = [table_path(sf, t) for t in ("lineitem", "orders", "part", "customer")]

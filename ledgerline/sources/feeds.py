@@ -8,10 +8,13 @@ parses numbers leniently.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.rules import day_sql
 from ledgerline.sources import fixtures as fx
 from ledgerline.sources.fixtures import _memo
 from ledgerline.sources.staging import staged
@@ -71,24 +74,58 @@ C_STATUSES = ("PAYED", "DELIVERED", "EXCHANGED", "CANCELED", "RETURNED")
 DAY_FIELDS = {"A": ("order_date", "created_date"), "B": ("orderedAt", "createdAt"), "C": ("orderDate", "paymentDate")}
 
 
+# Landed records lie in folders of their order day, or of the first day of its month, whenever they
+# arrive; records without a valid day in a folder of their own.
+DAY_COLUMN, NO_DAY = "order_day", "none"
+
+
+def landing_day(channel: str, grain: str = "day") -> Column:
+    """The folder of a record: its day, or with ``grain`` 'month' the first day of its month."""
+    day = F.expr(day_sql(*DAY_FIELDS[channel]))
+    day = F.when(day == day.try_cast("date").cast("string"), day)
+    return F.coalesce(F.concat(F.substring(day, 1, 7), F.lit("-01")) if grain == "month" else day, F.lit(NO_DAY))
+
+
+def land_orders(records: DataFrame, path: str, channel: str, grain: str = "day", partition_by: Sequence[str] = ()) -> None:
+    """Append records as JSON lines to their day folders; late ones join the folder of their day."""
+    by = [*partition_by, DAY_COLUMN]
+    absent = [c for c in DAY_FIELDS[channel] if c not in records.columns]       # e.g. a feed that has one of the two
+    rows = records.withColumns({c: F.lit(None).cast("string") for c in absent}).withColumn(DAY_COLUMN, landing_day(channel, grain)).drop(*absent)
+    rows.hint("rebalance", *[F.col(c) for c in by]).write.mode("append").partitionBy(*by).json(path)
+
+
+def in_days(raw: DataFrame, start: str, end: str) -> DataFrame:
+    """Read only landing folders that may hold records of the days ``start``..``end`` (the reports'
+    own filters on the days follow); landings without day folders are read whole."""
+    if DAY_COLUMN not in raw.columns:
+        return raw
+    day = F.col(DAY_COLUMN)
+    return raw.where(day.isNull() | (day == NO_DAY) | day.between(start[:7] + "-01", end))
+
+
 # ---- file readers ----------------------------------------------------------------
 
+def _landed(schema: T.StructType) -> T.StructType:
+    """A feed's schema with its day folder (null where the landing has none)."""
+    return T.StructType(schema.fields + [T.StructField(DAY_COLUMN, S)])
+
+
 def read_orders_a(spark: SparkSession, path: str) -> DataFrame:
     """Channel A orders (nested items); one multi-file read covers all
     pages and days (U2)."""
-    return spark.read.schema(ORDER_A).json(path)
+    return spark.read.schema(_landed(ORDER_A)).json(path)
 
 
 def read_orders_b(spark: SparkSession, path: str) -> DataFrame:
     """Channel B orders (flat)."""
-    return spark.read.schema(ORDER_B).json(path)
+    return spark.read.schema(_landed(ORDER_B)).json(path)
 
 
 def read_orders_c(spark: SparkSession, path: str) -> DataFrame:
     """S3: channel C orders laid out as ``search_status=<STATUS>/`` folders;
     the partition column carries the status tag (U1)."""
     schema = T.StructType(ORDER_C.fields + [T.StructField("search_status", S)])
-    return spark.read.schema(schema).option("basePath", path).json(path)
+    return spark.read.schema(_landed(schema)).option("basePath", path).json(path)
 
 
 def read_products_a(spark: SparkSession, path: str) -> DataFrame:
@@ -122,6 +159,7 @@ def _line_status_tag():
              .when(s.isin("C40", "CANCELED"), "CANCELED").otherwise("RETURNED"))
 
 
+FIXTURE_GRAIN = "month"     # the driver's orders span seven years with few records a day
 _ORDER_INPUTS = ("lineitem", "orders", "part", "customer")
 
 
@@ -132,23 +170,29 @@ def _inputs(sf_dir, names=_ORDER_INPUTS):
 @_memo
 def landed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel A feed as landed JSON-lines files, read with the S1 reader."""
-    return staged(spark, "landing_A", _inputs(sf_dir), lambda: feed_a_json(spark, sf_dir),
-                  read=lambda p: read_orders_a(spark, p), fmt="text")
+    def write(path: str) -> None:
+        day = F.get_json_object("json", "$.order_date")
+        rows = feed_a_json(spark, sf_dir).withColumn("order_date", day).withColumn("created_date", F.lit(None).cast("string"))
+        rows = rows.select("json", landing_day("A", FIXTURE_GRAIN).alias(DAY_COLUMN))
+        rows.hint("rebalance", DAY_COLUMN).write.partitionBy(DAY_COLUMN).text(path)
+
+    return staged(spark, "landing_A", _inputs(sf_dir), write=write, read=lambda p: read_orders_a(spark, p))
 
 
 @_memo
 def landed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel B feed as landed JSON files, read with the S2 reader."""
-    return staged(spark, "landing_B", _inputs(sf_dir), lambda: _records_b(spark, sf_dir),
-                  read=lambda p: read_orders_b(spark, p), fmt="json")
+    return staged(spark, "landing_B", _inputs(sf_dir), write=lambda p: land_orders(_records_b(spark, sf_dir), p, "B", FIXTURE_GRAIN),
+                  read=lambda p: read_orders_b(spark, p))
 
 
 @_memo
 def landed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel C feed as ``search_status=<STATUS>/`` folders, read with the
     S3 reader (the folder is the status tag)."""
-    return staged(spark, "landing_C", _inputs(sf_dir), lambda: _records_c(spark, sf_dir),
-                  read=lambda p: read_orders_c(spark, p), fmt="json", partition_by=("search_status",))
+    return staged(spark, "landing_C", _inputs(sf_dir),
+                  write=lambda p: land_orders(_records_c(spark, sf_dir), p, "C", FIXTURE_GRAIN, ["search_status"]),
+                  read=lambda p: read_orders_c(spark, p))
 
 
 @_memo

@@ -67,7 +67,7 @@ def _done(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKER}")))
 
 
-def staged(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame],
+def staged(spark: SparkSession, name: str, inputs: Sequence[str], build: Callable[[], DataFrame] | None = None,
            read: Callable[[str], DataFrame] | None = None, fmt: str = "parquet",
            partition_by: Sequence[str] = (), write: Callable[[str], None] | None = None) -> DataFrame:
     """Return ``build()`` staged as files (written on first use); ``write``
