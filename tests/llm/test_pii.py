@@ -120,3 +120,92 @@ def test_long_text_with_many_spans(make_docs):
     # the same text in one short copy of each line gives the same spans a line
     line = len(text) // 17_000
     assert {(x.s % line, x.e - x.s) for x in got.ids} == {(text.index("AB-"), len("AB-99812345"))}
+
+
+TOKEN, GROUPS = (re.compile(p, re.ASCII) for p in (pii.TOKEN, pii.GROUPS))
+
+
+def matches(pattern, text, keep=lambda t: True):
+    """(start, end, match, last two words of the gap before it) of all matches; ``keep`` filters afterwards."""
+    out, at = [], 0
+    for m in pattern.finditer(text):
+        left = re.search(r"(?:\S+\s+)?\S*\s*\Z", text[at: m.start()][-4000:], re.ASCII)[0]
+        if keep(m[0]):
+            out.append((m.start(), m.end(), m[0], left))
+        at = m.end()
+    return out
+
+
+def context(left):
+    import regex
+    after = re.sub(f"(?s)^.*(?:{pii.TOKEN}|{pii.HIDDEN})", "", left, count=1, flags=re.ASCII)
+    words = re.search(r"(?:(\S+)\s+)?(\S+)[\s]*$", after.lower(), re.ASCII)
+    return re.sub(r"\s+", " ", regex.sub(r"^[^\p{L}]+", "", words[0].strip(" ") if words else ""), flags=re.ASCII)
+
+
+def digits(t):
+    return re.sub("[^0-9]", "", t)
+
+
+def brute_ids(texts, rounds=pii.ROUNDS):
+    """{text: spans of kind id}: the pattern-instance graph with dictionaries."""
+    seen = {}
+    for text in set(texts):
+        found = [(m.start(), m.end(), m[0], p) for p in (EMAIL, IP, CARD, PHONE) for m in p.finditer(text)]
+        base, masked = [], list(text)
+        for p, ok in ((EMAIL, lambda t: True), (IP, lambda t: all(int(x) <= 255 for x in t.split("."))),
+                      (CARD, lambda t: 12 <= len(digits(t)) <= 19 and luhn(digits(t))), (PHONE, lambda t: 9 <= len(digits(t)) <= 15)):
+            base += matches(p, text, ok)
+        assert len(base) <= len(found)
+        for s, e, _, _ in base:
+            masked[s:e] = pii.HIDDEN * (e - s)
+        groups = matches(GROUPS, "".join(masked), lambda t: re.search(r"[\x20()]", t) and len(digits(t)) >= pii.MIN_CHARS)
+        for s, e, _, _ in groups:
+            masked[s:e] = pii.HIDDEN * (e - s)
+        # contexts of groups come from the text before groups are hidden
+        tokens = matches(TOKEN, "".join(masked), lambda t: re.search(r"[0-9@_%+]|\.[A-Za-z0-9]", t))
+        seen[text] = [(s, e, t, context(left), seed) for spans, seed in ((base, True), (groups + tokens, False)) for s, e, t, left in spans]
+    edges = {}
+    for rows in seen.values():
+        for _, _, t, c, seed in rows:
+            if c:
+                edges[c, t] = edges.get((c, t), False) or seed
+    of = {}
+    for (c, t), seed in edges.items():
+        of.setdefault(c, {})[t] = seed
+    non = {(c, t) for (c, t), seed in edges.items() if not seed and len(t) < pii.MIN_CHARS}
+    able = {c: ts for c, ts in of.items() if sum(ts.values()) >= pii.MIN_SEEDS
+            and len(ts) > sum(ts.values()) + sum((c, t) in non for t in ts)}
+    score = {}
+    for ts in able.values():
+        for t, seed in ts.items():
+            score[t] = max(score.get(t, 0.0), float(seed))
+    trusted = {}
+    for _ in range(rounds):
+        trusted = {}
+        for c, ts in able.items():
+            known = sum(score[t] >= pii.MIN_SCORE for t in ts)
+            p = known / (known + sum((c, t) in non for t in ts) + pii.PRIOR)
+            if p >= pii.MIN_SCORE:
+                trusted[c] = p
+        new = {}
+        for t in score:
+            mine = [c for c, ts in able.items() if t in ts]
+            own = max(float(able[c][t]) for c in mine)
+            miss = 1.0
+            for c in mine:
+                miss *= 1 - min(trusted.get(c, 0.0), 1 - 1e-9)
+            new[t] = max(own, 0.0 if any((c, t) in non for c in mine) else 1 - miss)
+        score = new
+    good = {(c, t) for c in trusted for t, seed in able[c].items() if not seed and (c, t) not in non and score[t] >= pii.MIN_SCORE}
+    return {text: sorted({(s, e) for s, e, t, c, seed in rows if not seed and (c, t) in good}) for text, rows in seen.items()}
+
+
+def test_identifiers_of_the_whole_table(make_docs, docs_rows):
+    """The method over the whole table, with contexts and identifiers planted among its texts."""
+    rows = [(i, t if i % 3 else f"{t}\nwrite to contact: AB-{i:05d}/x or user {i}, contact: u{i}@ex.org, from host 10.0.{i % 9}.{i % 7}, from host db{i % 5}.intern")
+            for i, t, _ in docs_rows if t]
+    got = {r.doc_id: [(x.s, x.e) for x in r.ids] for r in pii.scan(make_docs(rows)).collect()}
+    want = brute_ids([t for _, t in rows])
+    assert got == {i: want[t] for i, t in rows}
+    assert sum(map(len, got.values())) > 50
