@@ -4,7 +4,7 @@ A text is brought to a canonical form -- lower case, copyright lines left out,
 equivalent spellings written one way, everything but letters and digits as
 single spaces -- and its digest is joined with the digests of known licences, computed by the
 same expressions; a text without a licence under that digest is looked up once more with every line left
-out that begins with "copyright" (``digest`` itself stays as the SQL has it).  Two units are looked up: the whole text, and each line on
+out that begins with "copyright" (``digest`` itself stays that of the first form).  Two units are looked up: the whole text, and each line on
 its own against one-line notices.
 
 The table of known digests is fixed in ``license_texts`` (under a hundred

@@ -84,27 +84,42 @@ FROM x LEFT JOIN cut ON x.source IS NOT DISTINCT FROM cut.source"""
 
 def _canonical(x: str) -> str:
     line = (r"(?m)^[^\p{L}\p{N}\n©]*(copyright[\s\v]*(\(c\)|©|[0-9])|\(c\)[\s\v]*[0-9]|©|all rights reserved)[^\n]*$")
-    t = f"regexp_replace(lower({x}), '{line}', '', 'g')"
+    return _spelled(f"regexp_replace(lower({x}), '{line}', '', 'g')")
+
+
+def _spelled(t: str) -> str:
     t = f"' ' || trim(regexp_replace({t}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for a, b in L.SPELLINGS:
         t = f"replace({t}, {_q(a.replace('-', ' '))}, {_q(b)})"
     return f"nullif(trim({t}), '')"
 
 
+def _bare(x: str) -> str:
+    """The digest without any copyright line, where a line begins with the word."""
+    head = r"^[^\p{L}\p{N}©]*"
+    text_goes_on = rf"{head}copyright[ \t\r\f\v]+(notice|holder|owner|licen[cs]e|law|interest)s?([^\p{{L}}\p{{N}}]|$)"
+    gone = (rf"regexp_matches(l, '{head}(\(c\)[\s\v]*[0-9]|©|all rights reserved)') OR (regexp_matches(l, '{head}copyright[^\p{{L}}\p{{N}}].*[\p{{L}}\p{{N}}]')"
+            rf" AND NOT regexp_matches(l, '{text_goes_on}'))")
+    rest = f"array_to_string(list_transform(string_split(lower({x}), chr(10)), lambda l: CASE WHEN {gone} THEN '' ELSE l END), chr(10))"
+    return rf"CASE WHEN regexp_matches({x}, '(?im)^[^\p{{L}}\p{{N}}\n©]*copyright') THEN sha256({_spelled(rest)}) END"
+
+
 def _known(rows) -> str:
     return ", ".join(f"({_q(a)}, {_q(t)})" for a, t in rows)
 
 
 OP10 = f"""
-WITH known AS (SELECT DISTINCT a AS license, sha256({_canonical('t')}) AS digest FROM (VALUES {_known(L.TEXTS)}) v(a, t)),
+WITH texts(a, t) AS (VALUES {_known(L.TEXTS)}),
+known AS (SELECT a AS license, sha256({_canonical('t')}) AS digest FROM texts UNION SELECT a, {_bare('t')} FROM texts
+  UNION SELECT * FROM (VALUES {_known(L.DIGESTS)}) v(a, t)),
 notice AS (SELECT DISTINCT a AS license, sha256({_canonical('t')}) AS digest FROM (VALUES {_known(L.NOTICES)}) v(a, t)),
-d AS (SELECT doc_id, sha256({_canonical('text')}) AS digest FROM documents),
+d AS (SELECT doc_id, sha256({_canonical('text')}) AS digest, {_bare('text')} AS bare FROM documents),
 lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 found AS (SELECT DISTINCT doc_id, license FROM (SELECT doc_id, sha256({_canonical('line')}) AS digest FROM lines
           WHERE regexp_matches(line, '(?i)licen[cs]e')) x JOIN notice USING (digest)),
 named AS (SELECT doc_id, count(*) AS n, string_agg(license, ',' ORDER BY license) AS named FROM found GROUP BY doc_id)
-SELECT d.doc_id, d.digest, k.license, CAST(coalesce(n.n, 0) AS BIGINT) AS n_named, coalesce(n.named, '') AS named
-FROM d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN named n ON n.doc_id = d.doc_id"""
+SELECT d.doc_id, d.digest, coalesce(k.license, b.license) AS license, CAST(coalesce(n.n, 0) AS BIGINT) AS n_named, coalesce(n.named, '') AS named
+FROM d LEFT JOIN known k ON k.digest = d.digest LEFT JOIN known b ON b.digest = d.bare LEFT JOIN named n ON n.doc_id = d.doc_id"""
 
 
 def _strength(groups: str, rate: str) -> str:

@@ -65,3 +65,19 @@ def test_whole_texts_by_digest(make_docs):
     got = {r.doc_id: r.license for r in C.scan(make_docs(rows), digests=[("Long-1.0", sha(text))]).collect()}
     assert got == {1: "Long-1.0", 2: "Long-1.0", 3: None}
     assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Apache-2.0", "CC0-1.0"} <= {a for a, _ in L.DIGESTS}
+
+
+def test_sql_gives_the_licences_of_planted_texts(make_docs, write_sf):
+    """The SQL beside the operator where whole texts, digests and copyright lines matter."""
+    import duckdb
+    heads = ["", "Copyright (c) 2020 A", "Copyright Jane Doe 2020", "  COPYRIGHT: The Foo Authors", "# copyright by me\n# All rights reserved",
+             "Copyright notice: none", "copyrighted by me", "Copyright holders of this", "© 1999 B", "copyright", "Copyright\tthe law of"]
+    rows = [(100 * n + m, f"{h}\n{t}\n") for n, (_, t) in enumerate(L.TEXTS) for m, h in enumerate(heads)]
+    rows += [(9000, None), (9001, ""), (9002, "Released under the MIT Licence\nx"), (9003, "Copyright Jane Doe")]
+    sf = write_sf(documents=make_docs(rows))
+    got = {r.doc_id: tuple(r) for r in queries.QUERIES["op10_license_scan"](make_docs(rows).sparkSession, sf).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf}/documents.parquet/*.parquet')")
+    want = {r[0]: r for r in con.execute(queries.ORACLES["op10_license_scan"]).fetchall()}
+    assert got == want
+    assert sum(r[2] is not None for r in got.values()) > 80 and len({r[2] for r in got.values()}) > 6
