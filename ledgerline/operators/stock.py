@@ -452,12 +452,17 @@ def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
     agg = items.groupBy("key", "name", "option").agg(F.sum("qty").alias("qty"))
     inv = page.select("no", "code", "barcode", F.col("name").alias("inv_name"), F.col("option").alias("inv_option"))
 
-    by_barcode = agg.join(inv.where(F.col("barcode") != ""), agg.key == inv.barcode).select("key", "name", "option", "no")
-    by_code = agg.join(inv.where(F.col("code") != ""), agg.key == inv.code).select("key", "name", "option", "no")
-    by_name = (agg.where((F.col("name") != "") & (F.col("option") != ""))
-                  .join(inv, agg.name == inv.inv_name)
-                  .where(F.col("inv_option").contains(F.col("option")))
-                  .select("key", "name", "option", "no"))
+    def first_of(col):
+        return inv.where(F.col(col) != "").groupBy(F.col(col).alias("key")).agg(F.min("no").alias("no"))
+
+    by_barcode = agg.join(first_of("barcode"), "key").select("key", "name", "option", "no")
+    by_code = agg.join(first_of("code"), "key").select("key", "name", "option", "no")
+    # repeated names: the first row of every name and option, met once by every item name and option
+    named = inv.groupBy("inv_name", "inv_option").agg(F.min("no").alias("no"))
+    asked = agg.where((F.col("name") != "") & (F.col("option") != "")).select(F.col("name").alias("_n"), F.col("option").alias("_o")).distinct()
+    hits = (asked.join(named, F.col("_n") == F.col("inv_name")).where(F.col("inv_option").contains(F.col("_o")))
+                 .groupBy("_n", "_o").agg(F.min("no").alias("no")))
+    by_name = agg.join(hits, (F.col("name") == F.col("_n")) & (F.col("option") == F.col("_o"))).select("key", "name", "option", "no")
     first = (by_barcode.unionByName(by_code).unionByName(by_name)
              .groupBy("key", "name", "option").agg(F.min("no").alias("no")))
     matched = agg.join(first, ["key", "name", "option"]).groupBy("no").agg(F.sum("qty").alias("add_first"))
@@ -469,13 +474,15 @@ def sync_outgoing(page: DataFrame, items: DataFrame) -> DataFrame:
     # higher-order functions use it
     lens = rest.select(F.array_sort(F.collect_set(F.length("name")))).scalar()
     n = F.length("inv_name")
-    inv_b = inv.withColumn("_lens", F.coalesce(lens, F.array().cast("array<int>")))
+    # a repeated name is cut and matched once
+    inv_b = inv.select("inv_name").distinct().withColumn("_lens", F.coalesce(lens, F.array().cast("array<int>")))
     lengths = F.filter(F.col("_lens"), lambda ln: (ln >= 1) & (ln <= n))
-    subs = inv_b.select("no", F.explode(F.flatten(F.transform(
+    subs = inv_b.select("inv_name", F.explode(F.flatten(F.transform(
         lengths,
         lambda ln: F.transform(F.sequence(F.lit(1), n - ln + 1), lambda i: F.substring("inv_name", i, ln))))
     ).alias("sub")).where(F.col("sub").isNotNull()).distinct()
-    contained = subs.join(rest, subs.sub == rest.name).groupBy("no").agg(F.sum("qty").alias("add_contains"))
+    per_name = subs.join(rest, subs.sub == rest.name).groupBy("inv_name").agg(F.sum("qty").alias("_add"))
+    contained = inv.select("no", "inv_name").distinct().join(per_name, "inv_name").groupBy("no").agg(F.sum("_add").alias("add_contains"))
 
     out = (page.join(matched, "no", "left").join(contained, "no", "left")
                .withColumn("outgoing", F.col("outgoing") + F.coalesce("add_first", F.lit(0))
