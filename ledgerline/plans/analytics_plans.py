@@ -179,7 +179,8 @@ def g24(spark, sf):
     from ledgerline.operators import normalize as nz
     raw_a, raw_b, raw_c = _raw_a(spark, sf), feeds.feed_b(spark, sf), feeds.feed_c(spark, sf)
     lines = nz.union_channels(nz.normalize_a(raw_a), nz.normalize_b(raw_b), nz.normalize_c(raw_c, feeds.C_STATUSES))
-    saved = last_wins(lines, ["id"], ["ingest_seq"]) \
+    # of a line only its date is needed; it is decided by these columns, as in the upsert
+    saved = last_wins(lines.select("id", "channel", "order_id", "order_date", "ingest_seq"), ["id"], ["ingest_seq"]) \
         .where(F.col("order_date").between(F.lit(S).cast("date"), F.lit(E).cast("date"))) \
         .groupBy("channel").agg(F.count(F.lit(1)).alias("saved"))
     fetched = an.in_window(_order_rows(spark, sf), S, E).groupBy("channel").agg(F.count(F.lit(1)).alias("count"))
