@@ -199,12 +199,13 @@ def _add_entries(spark: SparkSession, path: str, entries: DataFrame, work: str)
 
 # ---- upsert ----------------------------------------------------------------------------------------
 
-def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("ingest_seq",),
+def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order: Sequence[str] | None = ("ingest_seq",),
                   replace_by_order: bool = False, index_rows: int = INDEX_ROWS, newer_by: str | None = None) -> dict:
     """K1: replace order lines by ``id``, last write wins.
 
     A batch row always replaces the stored row with the same id; inside the
-    batch the greatest ``order`` tuple wins.  The table is partitioned by
+    batch the greatest ``order`` tuple wins (None: the caller holds that the batch has
+    every id once, and it is not shuffled for it).  The table is partitioned by
     (channel, ``order_month``); lines without a date are kept in month 0.  Only partitions
     that receive a batch row, or that the index names for a batch id (a line
     whose date moved), are read and rewritten, and one left without rows is removed.
@@ -227,7 +228,9 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order=("inge
         work, parts = f"{path}/_staged/{name}", list(ORDER_PARTITIONS)
         live = _parts(spark, path)
         seen, lines, written = Observation(), Observation(), Observation()
-        rows = last_wins(_counted(_keyed(batch), seen), ["id"], list(order))
+        rows = _counted(_keyed(batch), seen)
+        if order is not None:
+            rows = last_wins(rows, ["id"], list(order))
         if not live:
             _counted(_counted(clustered(rows, parts), lines), written).write.partitionBy(*parts).parquet(f"{work}/new")
             touched = set(_parts(spark, f"{work}/new"))

@@ -44,19 +44,19 @@ def _channel(key: Column) -> Column:
     return F.when(k == 0, "mall").when(k == 1, "market").otherwise("store")
 
 
-@_memo
-def order_lines(spark: SparkSession, sf_dir: str, keys: bool = False) -> DataFrame:
-    """``fx_order_lines``: lines as collected, repeats included.  ``keys``
-    adds the numeric line key (``_ok``, ``_ln``) the string id is built from."""
+def _joined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collected lines, repeats included, as the few columns that the others are made of.
+
+    Orders meet their customer before the lines, and lines their product before
+    the order, so that the lines are shuffled by the order key last."""
     li = (read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
         "l_extendedprice", "l_returnflag", "l_shipdate"))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     p = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(p, F.col("l_partkey") == p.p_partkey)
-           .join(c, F.col("o_custkey") == c.c_custkey))
+    o = o.join(c, F.col("o_custkey") == c.c_custkey)
+    li = li.join(p, F.col("l_partkey") == p.p_partkey)
     key = F.col("o_orderkey")
     k3 = key % 3
     rf, os_ = F.col("l_returnflag"), F.col("o_orderstatus")
@@ -64,26 +64,30 @@ def order_lines(spark: SparkSession, sf_dir: str, keys: bool = False) -> DataFra
                .when((rf == "A") & (os_ == "F"), F.when(k3 == 0, "C40").otherwise("CANCELED"))
                .when((rf == "A") & (os_ == "O"), "E40")
                .when(os_ == "F", "N40").when(os_ == "P", "N20").otherwise("N10"))
-    extra = [key.alias("_ok"), F.col("l_linenumber").alias("_ln")] if keys else []
-    return j.select(
-        *extra,
-        F.concat(_channel(key), F.lit("_"), key.cast("string"), F.lit("_"),
-                 F.col("l_linenumber").cast("string")).alias("id"),
-        _channel(key).alias("channel"),
-        key.cast("string").alias("order_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        status.alias("status"),
-        F.col("p_name").alias("product_name"),
-        F.col("p_partkey").cast("string").alias("product_no"),
-        F.when(F.col("l_suppkey") % 5 == 0, F.lit(""))
-         .otherwise(F.concat(F.lit("V"), F.col("p_partkey").cast("string"))).alias("variant_code"),
-        F.col("l_quantity").cast("bigint").alias("quantity"),
-        F.col("l_extendedprice").alias("amount"),
-        F.col("c_name").alias("customer"),
-        F.col("l_shipdate").alias("collected_at"),
-        F.col("l_partkey").alias("tie1"), F.col("l_suppkey").alias("tie2"),
-        F.col("l_extendedprice").alias("tie3"),
-    )
+    return li.join(o, F.col("l_orderkey") == key).select(
+        key.alias("_ok"), F.col("l_linenumber").alias("_ln"), F.col("l_shipdate").alias("collected_at"),
+        F.col("l_partkey").alias("tie1"), F.col("l_suppkey").alias("tie2"), F.col("l_extendedprice").alias("tie3"),
+        F.col("o_orderdate").cast("date").alias("order_date"), status.alias("status"), F.col("p_name").alias("product_name"),
+        F.col("l_quantity").cast("bigint").alias("quantity"), F.col("c_name").alias("customer"))
+
+
+def _line_columns() -> list[Column]:
+    """``ORDER_COLUMNS`` from those of ``_joined_lines``."""
+    key, part = F.col("_ok"), F.col("tie1").cast("string")
+    return [
+        F.concat(_channel(key), F.lit("_"), key.cast("string"), F.lit("_"), F.col("_ln").cast("string")).alias("id"),
+        _channel(key).alias("channel"), key.cast("string").alias("order_id"), F.col("order_date"), F.col("status"),
+        F.col("product_name"), part.alias("product_no"),
+        F.when(F.col("tie2") % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("V"), part)).alias("variant_code"),
+        F.col("quantity"), F.col("tie3").alias("amount"), F.col("customer")]
+
+
+@_memo
+def order_lines(spark: SparkSession, sf_dir: str, keys: bool = False) -> DataFrame:
+    """``fx_order_lines``: lines as collected, repeats included.  ``keys``
+    adds the numeric line key (``_ok``, ``_ln``) the string id is built from."""
+    extra = ["_ok", "_ln"] if keys else []
+    return _joined_lines(spark, sf_dir).select(*extra, *_line_columns(), "collected_at", "tie1", "tie2", "tie3")
 
 
 ORDER_COLUMNS = ("id", "channel", "order_id", "order_date", "status", "product_name",
@@ -94,11 +98,19 @@ def upsert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``fx_orders`` computed: the latest line per id (the K1 upsert rule).
 
     The id is a one-to-one function of (order key, line number), so the
-    latest row is taken per numeric key: a cheaper shuffle key, and the
-    same clustering as the order join that feeds it."""
-    latest = last_wins(order_lines(spark, sf_dir, keys=True), ["_ok", "_ln"],
-                       ["collected_at", "tie1", "tie2", "tie3"])
-    return latest.select(*ORDER_COLUMNS)
+    latest row is taken per numeric key, with the same clustering as the order
+    join that feeds it, and the text columns are made afterwards: they follow from the key and the ``order``."""
+    return _latest(_joined_lines(spark, sf_dir))
+
+
+def _latest(lines: DataFrame) -> DataFrame:
+    return last_wins(lines, ["_ok", "_ln"], ["collected_at", "tie1", "tie2", "tie3"]).select(*_line_columns())
+
+
+def stored_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``upsert_lines`` with one row per id: lines without a number have no id and count as one."""
+    lines, has_id = _joined_lines(spark, sf_dir), F.col("_ln").isNotNull()
+    return _latest(lines.where(has_id)).unionByName(last_wins(_latest(lines.where(~has_id)), ["id"], []))
 
 
 @_memo
@@ -107,9 +119,8 @@ def orders_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     written by the K1 sink, so date windows prune its month folders."""
     from ledgerline.sinks import tables as sinks
     inputs = [table_path(sf_dir, t) for t in ("lineitem", "orders", "part", "customer")]
-    return staged(spark, "fx_orders", inputs, lambda: upsert_lines(spark, sf_dir),
-                  read=lambda path: sinks.read_orders(spark, path),
-                  write=lambda path: sinks.upsert_orders(spark, path, upsert_lines(spark, sf_dir), order=()))
+    return staged(spark, "fx_orders", inputs, read=lambda path: sinks.read_orders(spark, path),
+                  write=lambda path: sinks.upsert_orders(spark, path, stored_lines(spark, sf_dir), order=None))
 
 
 @_memo
