@@ -8,6 +8,7 @@ parses numbers leniently.
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -86,12 +87,36 @@ def landing_day(channel: str, grain: str = "day") -> Column:
     return F.coalesce(F.concat(F.substring(day, 1, 7), F.lit("-01")) if grain == "month" else day, F.lit(NO_DAY))
 
 
-def land_orders(records: DataFrame, path: str, channel: str, grain: str = "day", partition_by: Sequence[str] = ()) -> None:
-    """Append records as JSON lines to their day folders; late ones join the folder of their day."""
+# Landed files are compressed: as text they are several times the tables they come from.
+COMPRESSION = "gzip"
+OPEN_FILES = 200        # of a task that writes rows as they come
+
+
+@contextlib.contextmanager
+def _open_files(spark: SparkSession, n: int):
+    """Let a task keep ``n`` files open instead of sorting its rows by folder."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    old = spark.conf.get(name)
+    spark.conf.set(name, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, old)
+
+
+def land_orders(records: DataFrame, path: str, channel: str, grain: str = "day", partition_by: Sequence[str] = (),
+                near: bool = False) -> None:
+    """Append records as JSON lines to their day folders; late ones join the folder of their day.
+
+    ``near``: records of a folder already come from few tasks (e.g. read from folders of the same
+    months) and are written as they come, without a shuffle or a sort."""
     by = [*partition_by, DAY_COLUMN]
     absent = [c for c in DAY_FIELDS[channel] if c not in records.columns]       # e.g. a feed that has one of the two
     rows = records.withColumns({c: F.lit(None).cast("string") for c in absent}).withColumn(DAY_COLUMN, landing_day(channel, grain)).drop(*absent)
-    rows.hint("rebalance", *[F.col(c) for c in by]).write.mode("append").partitionBy(*by).json(path)
+    if not near:
+        rows = rows.hint("rebalance", *[F.col(c) for c in by])
+    with _open_files(records.sparkSession, OPEN_FILES) if near else contextlib.nullcontext():
+        rows.write.mode("append").option("compression", COMPRESSION).partitionBy(*by).json(path)
 
 
 def in_days(raw: DataFrame, start: str, end: str) -> DataFrame:
@@ -174,7 +199,7 @@ def landed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
         day = F.get_json_object("json", "$.order_date")
         rows = feed_a_json(spark, sf_dir).withColumn("order_date", day).withColumn("created_date", F.lit(None).cast("string"))
         rows = rows.select("json", landing_day("A", FIXTURE_GRAIN).alias(DAY_COLUMN))
-        rows.hint("rebalance", DAY_COLUMN).write.partitionBy(DAY_COLUMN).text(path)
+        rows.hint("rebalance", DAY_COLUMN).write.option("compression", COMPRESSION).partitionBy(DAY_COLUMN).text(path)
 
     return staged(spark, "landing_A", _inputs(sf_dir), write=write, read=lambda p: read_orders_a(spark, p))
 
@@ -182,7 +207,7 @@ def landed_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_memo
 def landed_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel B feed as landed JSON files, read with the S2 reader."""
-    return staged(spark, "landing_B", _inputs(sf_dir), write=lambda p: land_orders(_records_b(spark, sf_dir), p, "B", FIXTURE_GRAIN),
+    return staged(spark, "landing_B", _inputs(sf_dir), write=lambda p: land_orders(_records_b(spark, sf_dir), p, "B", FIXTURE_GRAIN, near=True),
                   read=lambda p: read_orders_b(spark, p))
 
 
@@ -191,7 +216,7 @@ def landed_c(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Channel C feed as ``search_status=<STATUS>/`` folders, read with the
     S3 reader (the folder is the status tag)."""
     return staged(spark, "landing_C", _inputs(sf_dir),
-                  write=lambda p: land_orders(_records_c(spark, sf_dir), p, "C", FIXTURE_GRAIN, ["search_status"]),
+                  write=lambda p: land_orders(_records_c(spark, sf_dir), p, "C", FIXTURE_GRAIN, ["search_status"], near=True),
                   read=lambda p: read_orders_c(spark, p))
 
 
@@ -208,18 +233,23 @@ def feed_a_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole numbers, some payment fields empty to exercise the fallbacks,
     orders without lines included."""
     lines = fx.orders_table(spark, sf_dir).where(F.col("channel") == "mall")
-    item = F.struct(
-        _line_no().alias("l"),
-        F.col("product_no").alias("product_no"), F.col("product_name").alias("product_name"),
-        F.concat(F.lit("P"), F.col("product_no")).alias("product_code"),
-        F.col("variant_code").alias("variant_code"),
-        F.when(_line_no() == 3, F.concat(F.lit("CV"), F.col("product_no"))).otherwise(F.lit("")).alias("custom_variant_code"),
-        F.lit("opt").alias("option_value"),
+    # collected: what the item's fields are made of, in line order (a line number comes once in an order)
+    line = F.struct(
+        _line_no().alias("l"), "product_no", "product_name", "variant_code",
         F.when(_line_no() == 5, F.lit("")).otherwise(F.col("quantity").cast("string")).alias("quantity"),
         F.floor(F.col("amount") / F.col("quantity") + F.lit(0.5)).cast("string").alias("product_price"),
         F.col("status").alias("order_status"))
-    items = (lines.groupBy("order_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
-                  .select("order_id", F.transform("items", lambda x: x.dropFields("l")).alias("items")))
+
+    def item(x):
+        return F.struct(
+            x.product_no.alias("product_no"), x.product_name.alias("product_name"),
+            F.concat(F.lit("P"), x.product_no).alias("product_code"), x.variant_code.alias("variant_code"),
+            F.when(x.l == 3, F.concat(F.lit("CV"), x.product_no)).otherwise(F.lit("")).alias("custom_variant_code"),
+            F.lit("opt").alias("option_value"), x.quantity.alias("quantity"),
+            x.product_price.alias("product_price"), x.order_status.alias("order_status"))
+
+    items = lines.groupBy("order_id").agg(F.sort_array(F.collect_list(line)).alias("items")) \
+        .select("order_id", F.transform("items", item).alias("items"))
     o = read_table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 3 == 0)
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     o = o.join(c, o.o_custkey == c.c_custkey, "left")
