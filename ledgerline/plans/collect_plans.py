@@ -12,17 +12,28 @@ from ledgerline.plans.ingest_plans import _B_SQL, _C_SQL, A_VIEWS, OUT, _out
 from ledgerline.plans.registry import plan
 from ledgerline.plans.sink_plans import _fresh, _oid
 from ledgerline.sinks import tables as sinks
+from ledgerline.sinks.files import total_size
 from ledgerline.sources import feeds
 from ledgerline.sources.fixtures import with_views
 from ledgerline.sources.tables import read_table
 from ledgerline.streaming import ingest
 
-FILES = 2               # files of a landing step, and of a trigger
+FILES = 2               # files of a landing step, and of a trigger, at least
+FILE_BYTES = 16 << 20   # of a landing file, compressed, at most about; a larger feed has more files
 CUT = "1998-01-01"      # two collections: orders before this day, then the others
 
 
-def _land(df, path: str) -> None:
-    df.repartition(FILES).write.mode("append").json(path)
+def _files(feed) -> int:
+    """Files of a landing step, by the size of the landed feed it is taken from."""
+    held = feed.inputFiles()
+    size = total_size(feed.sparkSession, held[0].split(f"/{feeds.DAY_COLUMN}=")[0]) if held else 0
+    return max(FILES, -(-size // FILE_BYTES))
+
+
+def _land(df, path: str, files: int | None = None) -> None:
+    """A landing step: ``files`` files, where triggers are counted by files; else as the rows are read."""
+    rows = df if files is None else df.repartition(files)
+    rows.write.mode("append").option("compression", feeds.COMPRESSION).json(path)
 
 
 _LAST_DAY = """
@@ -37,10 +48,10 @@ WHERE NOT status ILIKE 'C%' AND NOT status ILIKE 'R%' GROUP BY m.as_of, channel"
 def t02_last_day(spark, sf):
     """Two triggers; after each the sales of its last day and the day before, over the stored orders."""
     table, raw = _fresh(spark, "last-day"), feeds.landed_a(spark, sf)
-    day = F.substring("order_date", 1, 10)
+    day, n = F.substring("order_date", 1, 10), _files(raw)
     for part in (raw.where(day < CUT), raw.where(day >= CUT)):
-        _land(part, f"{table}_landing")
-    ingest.order_ingest(spark, f"{table}_landing", table, f"{table}_checkpoint", max_files=FILES, last_day=f"{table}_last_day").awaitTermination()
+        _land(part, f"{table}_landing", n)
+    ingest.order_ingest(spark, f"{table}_landing", table, f"{table}_checkpoint", max_files=n, last_day=f"{table}_last_day").awaitTermination()
     got = spark.read.parquet(f"{table}_last_day")
     return got.select(F.col("batch_id").cast("string").alias("batch"), "as_of", "channel", "order_count", "total_amount")
 
@@ -51,10 +62,11 @@ def t01_backfill(spark, sf):
     """T1 at start-up: older records are collected again in two windows that share a month, next to
     a stream that already holds later states of some of them; nothing is doubled or reverted."""
     table, raw = _fresh(spark, "backfill"), feeds.landed_a(spark, sf)
+    n = _files(raw)
     _land(raw, f"{table}_old")
-    _land(raw.where(_oid() % 3 == 0), f"{table}_landing")
-    _land(raw.where(_oid() % 5 == 0).withColumn("order_status", F.lit("R40")), f"{table}_landing")
-    ingest.order_ingest(spark, f"{table}_landing", table, f"{table}_checkpoint", max_files=FILES).awaitTermination()
+    _land(raw.where(_oid() % 3 == 0), f"{table}_landing", n)
+    _land(raw.where(_oid() % 5 == 0).withColumn("order_status", F.lit("R40")), f"{table}_landing", n)
+    ingest.order_ingest(spark, f"{table}_landing", table, f"{table}_checkpoint", max_files=n).awaitTermination()
     for run, (start, end) in enumerate((("1990-01-01", CUT), ("1997-12-01", "2010-12-31"))):
         start, end = ingest.collect_window(end, start=start, end=end, max_days=10_000)
         ingest.collect_days(spark, f"{table}_old", table, start, end, run)

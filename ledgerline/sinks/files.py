@@ -51,6 +51,12 @@ def file_count(spark: SparkSession, path: str) -> int:
     return fs.getContentSummary(p).getFileCount() if fs.exists(p) else 0
 
 
+def total_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a folder's files, nested ones too."""
+    fs, p = _fs(spark, path)
+    return fs.getContentSummary(p).getLength()
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, p = _fs(spark, path)
     out = fs.create(p, True)

@@ -92,7 +92,7 @@ def ingest_batch(spark: SparkSession, raw: DataFrame, batch_id: int, table: str,
             n_rejects = spark.read.parquet(out).count()
         arrived = F.unix_micros("ingest_seq.arrival._time" if channel == nz.CHANNEL_C else "ingest_seq._time")
         latest = last_wins(lines, ["id"], ["ingest_seq"]).withColumn("ingest_seq", arrived)
-        counts = sinks.upsert_orders(spark, table, latest, **({"newer_by": "ingest_seq"} if backfill else {}))
+        counts = sinks.upsert_orders(spark, table, latest, order=None, newer_by="ingest_seq" if backfill else None)
         if summary:      # only the (channel, month) partitions this batch touched
             sinks.refresh_summary_months(spark, table, summary, channel, counts["partitions"])
         if last_day:
