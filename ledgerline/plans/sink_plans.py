@@ -16,6 +16,7 @@ from ledgerline.plans.registry import plan
 from ledgerline.plans.stock_plans import _EXPORT_SQL, PAGE_VIEWS, SNAPSHOT_VIEWS, _page, _snapshot
 from ledgerline.session import checkpoint_dir
 from ledgerline.sinks import tables as sinks
+from ledgerline.sinks.order_table import COMPRESSION
 from ledgerline.sources import feeds, sheets
 from ledgerline.sources import fixtures as fx
 from ledgerline.sources.fixtures import with_views
@@ -38,7 +39,7 @@ def k01_stored(spark, sf):
     """K1: a first batch with undated and wrongly dated lines, then the right
     lines of some of them, twice (a retry)."""
     path = _fresh(spark, "orders")
-    fx.upsert_lines(spark, sf).withColumn("ingest_seq", F.lit(0)).write.parquet(f"{path}_collected")
+    fx.upsert_lines(spark, sf).withColumn("ingest_seq", F.lit(0)).write.option("compression", COMPRESSION).parquet(f"{path}_collected")
     lines = spark.read.parquet(f"{path}_collected")
     early = F.when(_oid() % 10 == 0, F.lit(None)).when(_oid() % 7 == 0, F.date_add("order_date", 40)).otherwise(F.col("order_date"))
     sinks.upsert_orders(spark, path, lines.withColumn("order_date", early))

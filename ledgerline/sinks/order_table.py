@@ -18,21 +18,25 @@ changed nothing; one stopped after it is finished by the next ``upsert_orders``
 
 from __future__ import annotations
 
+import contextlib
 import threading
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.functions.rules import ORDER_PARTITIONS, last_wins, order_month
 from ledgerline.sinks import files
 
 NO_CHANNEL = "unknown"
+COMPRESSION = "zstd"            # of the rows, the index and what a batch writes aside: each batch writes its partitions again
 ENTRIES_PER_LINE = 2            # at most: a line's and its order's
 INDEX_ROWS = 1_000_000          # entries a bucket should hold; more buckets when the index is built again
 INDEX_FILES = 32                # files a bucket may hold before the index is built again
+REPEATED_KEYS = 500_000         # repeated keys of a batch up to which only their rows are shuffled
+SLICE_BYTES = 32 << 20          # of a partition's rows, about, that one task rewrites
 
 _LOCKS: dict[str, threading.RLock] = defaultdict(threading.RLock)
 Part = tuple[str, int]
@@ -132,12 +136,12 @@ def _order_key(channel: Column, order: Column) -> Column:
     return F.concat(F.lit("o:"), channel, F.lit(":"), order)
 
 
-def _entries(lines: DataFrame) -> DataFrame:
-    """Index entries of lines: one per line, one per order and partition."""
+def _entries(lines: DataFrame, repeats: bool = False) -> DataFrame:
+    """Index entries of lines: one per line, one per order and partition (with ``repeats``, per line of the order)."""
     parts = list(ORDER_PARTITIONS)
     by_line = lines.select(_line_key(F.col("id")).alias("key"), *parts)
     orders = lines.where("order_id IS NOT NULL").select(_order_key(F.col("channel"), F.col("order_id")).alias("key"), *parts)
-    return by_line.unionByName(orders.distinct()).where("key IS NOT NULL")
+    return by_line.unionByName(orders if repeats else orders.distinct()).where("key IS NOT NULL")
 
 
 def _bucket(buckets: int) -> Column:
@@ -153,7 +157,7 @@ def _generation(spark: SparkSession, path: str) -> tuple[str, int] | None:
 
 def _write_entries(entries: DataFrame, to: str, buckets: int) -> None:
     rows = entries.withColumn("bucket", _bucket(buckets))
-    clustered(rows, ["bucket"]).write.partitionBy("bucket").parquet(to)
+    clustered(rows, ["bucket"]).write.option("compression", COMPRESSION).partitionBy("bucket").parquet(to)
 
 
 def rebuild_index(spark: SparkSession, path: str, index_rows: int = INDEX_ROWS) -> None:
@@ -177,11 +181,12 @@ def _index_due(spark: SparkSession, path: str) -> bool:
     return now is None or files.file_count(spark, now[0]) > INDEX_FILES * (1 + now[1])
 
 
-def lookup(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
+def lookup(spark: SparkSession, path: str, keys: DataFrame, repeats: DataFrame | None = None) -> DataFrame:
     """``keys`` (key, ...) with the partitions (was_channel, was_month) that may
-    hold them, null where none does.  Reads the index buckets of the keys only."""
+    hold them, null where none does.  Reads the index buckets of the keys only.
+    ``repeats``: the same keys, where they come cheaper if some are repeated."""
     folder, buckets = _generation(spark, path)
-    mine = [r[0] for r in keys.select(_bucket(buckets)).distinct().collect()]          # at most ``buckets``
+    mine = [r[0] for r in (keys if repeats is None else repeats).select(_bucket(buckets)).distinct().collect()]     # at most ``buckets``
     index = spark.read.schema("key string, channel string, order_month int, bucket int").parquet(folder).where(F.col("bucket").isin(mine))
     was = index.select(F.col("key"), F.col("channel").alias("was_channel"), F.col("order_month").alias("was_month"))
     return keys.join(was, "key", "left")
@@ -199,6 +204,38 @@ def _add_entries(spark: SparkSession, path: str, entries: DataFrame, work: str)
 
 # ---- upsert ----------------------------------------------------------------------------------------
 
+@contextlib.contextmanager
+def aside(spark: SparkSession, path: str):
+    """A folder next to a table for what one batch writes and reads again."""
+    folder = f"{path.rstrip('/')}_aside-{uuid.uuid4().hex[:12]}"
+    try:
+        yield folder
+    finally:
+        files.delete(spark, folder)
+
+
+def latest(spark: SparkSession, rows: DataFrame, keys: Sequence[str], order: Sequence[str], aside: str,
+           counted: Observation | None = None) -> DataFrame:
+    """``rules.last_wins`` of rows whose keys seldom repeat.
+
+    Hashes of the keys are grouped first, which shuffles a number a row; those that come more than once are
+    written to the folder ``aside`` (the caller removes it), and only their rows go through the window.  With more than
+    ``REPEATED_KEYS`` of them, all rows do.  ``counted`` counts the rows as they are read for the hashes."""
+    rows = rows.select(*keys, *order, *[c for c in rows.columns if c not in keys and c not in order])
+    key = F.xxhash64(*keys)
+    seen = rows if counted is None else _counted(rows, counted)
+    seen.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key").write.option("compression", COMPRESSION).parquet(aside)
+    repeated = spark.read.schema("_key bigint").parquet(aside)
+    n = repeated.count()            # from file footers
+    if n == 0:
+        return rows
+    if n > REPEATED_KEYS:
+        return last_wins(rows, keys, order)
+    keyed, repeated = rows.withColumn("_key", key), F.broadcast(repeated)
+    once = keyed.join(repeated, "_key", "left_anti").drop("_key")
+    return once.unionByName(last_wins(keyed.join(repeated, "_key", "left_semi").drop("_key"), keys, order))
+
+
 def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order: Sequence[str] | None = ("ingest_seq",),
                   replace_by_order: bool = False, index_rows: int = INDEX_ROWS, newer_by: str | None = None) -> dict:
     """K1: replace order lines by ``id``, last write wins.
@@ -222,22 +259,21 @@ def upsert_orders(spark: SparkSession, path: str, batch: DataFrame, order: Seque
     (all rows of the touched partitions) and the touched (channel, month) pairs.
     """
     path = path.rstrip("/")
-    with _LOCKS[path]:
+    with _LOCKS[path], aside(spark, path) as repeated:
         recover_orders(spark, path)
         name = uuid.uuid4().hex
         work, parts = f"{path}/_staged/{name}", list(ORDER_PARTITIONS)
         live = _parts(spark, path)
         seen, lines, written = Observation(), Observation(), Observation()
-        rows = _counted(_keyed(batch), seen)
-        if order is not None:
-            rows = last_wins(rows, ["id"], list(order))
+        rows = _keyed(batch)
+        rows = _counted(rows, seen) if order is None else latest(spark, rows, ["id"], list(order), repeated, seen)
         if not live:
-            _counted(_counted(clustered(rows, parts), lines), written).write.partitionBy(*parts).parquet(f"{work}/new")
+            _counted(_counted(clustered(rows, parts), lines), written).write.option("compression", COMPRESSION).partitionBy(*parts).parquet(f"{work}/new")
             touched = set(_parts(spark, f"{work}/new"))
         else:
             if _index_due(spark, path):
                 rebuild_index(spark, path, index_rows)
-            _counted(rows, lines).write.parquet(f"{work}/batch")
+            _counted(rows, lines).write.option("compression", COMPRESSION).parquet(f"{work}/batch")
             # without rows there are no files to take the schema from
             merged = spark.read.schema(rows.schema).parquet(f"{work}/batch")
             touched = _merge(spark, path, work, merged, replace_by_order, written, newer_by)
@@ -264,21 +300,52 @@ def _merge(spark: SparkSession, path: str, work: str, merged: DataFrame, replace
     """Write the new versions of all partitions that hold or get lines of the batch to
     ``work/new``, and the index entries that are missing; the partitions."""
     parts = list(ORDER_PARTITIONS)
-    lookup(spark, path, _entries(merged)).write.parquet(f"{work}/keys")
+    lookup(spark, path, _entries(merged), _entries(merged, repeats=True)).write.option("compression", COMPRESSION).parquet(f"{work}/keys")
     keys = spark.read.parquet(f"{work}/keys")
     here = (F.col("channel") == F.col("was_channel")) & (F.col("order_month") == F.col("was_month"))
-    missing = keys.groupBy("key", *parts).agg(F.coalesce(F.bool_or(here), F.lit(False)).alias("known")).where("NOT known").select("key", *parts)
+    found = keys.where("was_month IS NOT NULL")
+    missing = found.groupBy("key", *parts).agg(F.coalesce(F.bool_or(here), F.lit(False)).alias("known")).where("NOT known").select("key", *parts)
+    missing = keys.where("was_month IS NULL").select("key", *parts).unionByName(missing)        # keys that nothing was found for come once
     _add_entries(spark, path, missing, work)
-    kinds = keys if replace_by_order else keys.where(F.col("key").startswith("i:"))
-    touched = {(r[0], r[1]) for r in merged.select(*parts).distinct().collect()}          # one per channel and month
-    touched |= {(r[0], r[1]) for r in kinds.where("was_month IS NOT NULL").select("was_channel", "was_month").distinct().collect()}
-    if touched:
+    kinds = found if replace_by_order else found.where(F.col("key").startswith("i:"))
+    gets = {(r[0], r[1]): r[2] for r in merged.groupBy(*parts).agg(F.count(F.lit(1))).collect()}          # one per channel and month
+    touched = set(gets) | {(r[0], r[1]) for r in kinds.select("was_channel", "was_month").distinct().collect()}
+    if not touched:
+        return touched
+    live = _parts(spark, path)
+    stored = read_orders(spark, path).where(in_parts(touched))
+    if not touched & set(live):
+        out = clustered(merged, parts)
+    elif newer_by:
+        was = stored.select("id", F.col(newer_by).alias("_was"))
+        merged = merged.join(was, "id", "left").where(F.col("_was").isNull() | (F.col(newer_by) > F.col("_was"))).select(*merged.columns)
         key = ["channel", "order_id"] if replace_by_order else ["id"]
-        stored = read_orders(spark, path).where(in_parts(touched))
-        if newer_by:
-            was = stored.select("id", F.col(newer_by).alias("_was"))
-            merged = merged.join(was, "id", "left").where(F.col("_was").isNull() | (F.col(newer_by) > F.col("_was"))).select(*merged.columns)
         keep = stored.join(merged.select(*key).distinct(), key, "left_anti")
-        out = keep.unionByName(merged, allowMissingColumns=True)
-        _counted(clustered(out, parts), written).write.partitionBy(*parts).parquet(f"{work}/new")
+        out = clustered(keep.unionByName(merged, allowMissingColumns=True), parts)
+    else:
+        held = max(files.total_size(spark, f"{path}/{live[p]}") for p in touched & set(live))
+        got = files.total_size(spark, f"{work}/batch") * max(gets.values(), default=0) // max(sum(gets.values()), 1)
+        elsewhere = found.where(~here)
+        if replace_by_order:
+            left = elsewhere.where(F.col("key").startswith("o:")).select(
+                F.expr("substring(key, length(channel) + 4)").alias("order_id"), F.col("was_channel").alias("channel"), F.col("was_month").alias("order_month"))
+        else:
+            left = elsewhere.where(F.col("key").startswith("i:")).select(
+                F.expr("substring(key, 3)").alias("id"), F.col("was_channel").alias("channel"), F.col("was_month").alias("order_month"))
+        out = _replaced(stored, merged, left, "order_id" if replace_by_order else "id", 1 + (held + got) // SLICE_BYTES)
+    _counted(out, written).write.option("compression", COMPRESSION).partitionBy(*parts).parquet(f"{work}/new")
     return touched
+
+
+def _replaced(stored: DataFrame, merged: DataFrame, left: DataFrame, key: str, slices: int) -> DataFrame:
+    """The stored rows that a batch does not replace, and the batch's, shuffled once, each partition in ``slices``.
+
+    A stored row is replaced if its partition gets a row of the batch with its ``key``, or is named with it in
+    ``left`` (key, channel, order_month: where the batch's keys were stored elsewhere)."""
+    parts = list(ORDER_PARTITIONS)
+    rows = stored.withColumn("_by", F.lit(0)).unionByName(merged.withColumn("_by", F.lit(1)), allowMissingColumns=True)
+    rows = rows.unionByName(left.withColumn("_by", F.lit(2)), allowMissingColumns=True)
+    rows = rows.withColumn("_slice", F.pmod(F.xxhash64(key), F.lit(slices)).cast("int")).repartition(*parts, "_slice")
+    most = F.max("_by").over(Window.partitionBy(*parts, "_slice", key))
+    keep = (F.col("_by") == 1) | ((F.col("_by") == 0) & (F.col(key).isNull() | (F.col("_most") == 0)))
+    return rows.withColumn("_most", most).where(keep).drop("_by", "_slice", "_most")

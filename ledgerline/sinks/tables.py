@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ledgerline.functions.rules import ORDER_PARTITIONS, last_wins, order_month
 from ledgerline.session import checkpoint_dir
 from ledgerline.sinks import files
-from ledgerline.sinks.order_table import (clustered, in_parts, read_orders, rebuild_index, recover_orders,  # noqa: F401
+from ledgerline.sinks.order_table import (aside, clustered, in_parts, latest, read_orders, rebuild_index, recover_orders,  # noqa: F401
                                           upsert_orders)
 
 

@@ -1,5 +1,6 @@
 """Steps whose shuffles, files or candidates grew faster than their tables."""
 
+import datetime as dt
 import gzip
 import os
 
@@ -124,3 +125,72 @@ def _metric_rows(df):
     q.executedPlan().executeCollect()
     walk(q.executedPlan())
     return found
+
+
+# ---- the order table's batches ----------------------------------------------------------------------
+
+LINE = "id string, channel string, order_id string, order_date date, status string, ingest_seq bigint"
+DAY = [dt.date(2024, m, 5) for m in range(1, 5)]
+
+
+def _shuffles(df):
+    """The shuffles of the plan, by what they are dealt by."""
+    return [line for line in _plan(df).split("\n") if "Exchange hashpartitioning" in line]
+
+
+def test_a_batch_shuffles_the_stored_rows_once(spark, tmp_dir, monkeypatch):
+    """Also where neither side of the replacement can be broadcast."""
+    path, made, real = f"{tmp_dir}/t", [], order_table._replaced
+    rows = [(f"A_{i}", "A", str(i // 2), DAY[i % 3], "N10", 0) for i in range(30)]
+    order_table.upsert_orders(spark, path, spark.createDataFrame(rows, LINE))
+    monkeypatch.setattr(order_table, "_replaced", lambda *a: made.append((real(*a), a[-1])) or made[-1][0])
+    monkeypatch.setattr(order_table, "SLICE_BYTES", 500)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:        # moved, changed, new, and without an id
+        batch = [("A_0", "A", "0", DAY[3], "E40", 1), ("A_1", "A", "0", DAY[1], "C40", 1), ("A_99", "A", "9", DAY[2], "N10", 1), (None, "A", "9", DAY[2], "N10", 1)]
+        for _ in range(2):
+            got = order_table.upsert_orders(spark, path, spark.createDataFrame(batch, LINE))
+        plans = [_shuffles(df) for df, _ in made]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert [len(p) for p in plans] == [1, 1] and all("_slice" in p[0] for p in plans)
+    assert all(n > 1 for _, n in made)
+    want = {r[0]: (r[3], r[4]) for r in rows + batch if r[0]}
+    stored = order_table.read_orders(spark, path).collect()
+    assert {r.id: (r.order_date, r.status) for r in stored if r.id} == want
+    assert len([r for r in stored if r.id]) == len(want) and sum(r.id is None for r in stored) == 2     # a null id replaces nothing
+    assert got["batch_lines"] == 4 and got["partitions"] == [("A", 202401), ("A", 202402), ("A", 202403), ("A", 202404)]
+
+
+def test_only_repeated_keys_are_shuffled_whole(spark, tmp_dir, monkeypatch):
+    rows = [(f"A_{i % 25}", "A", "1", None, str(i), i) for i in range(30)] + [(None, "A", "1", None, "x", i) for i in range(3)]
+    df, cut = spark.createDataFrame(rows, LINE), []
+    real = order_table.last_wins
+    monkeypatch.setattr(order_table, "last_wins", lambda d, *a: cut.append(d.count()) or real(d, *a))
+    want = sorted(map(str, real(df, ["id"], ["ingest_seq"]).collect()))
+    for n, limit in enumerate((100, 0)):
+        monkeypatch.setattr(order_table, "REPEATED_KEYS", limit)
+        got = order_table.latest(spark, df, ["id"], ["ingest_seq"], f"{tmp_dir}/{n}")
+        assert sorted(map(str, got.collect())) == want
+    assert cut == [13, 33]          # five ids twice and the null three times; all rows where too many repeat
+    once = order_table.latest(spark, df.where("ingest_seq BETWEEN 10 AND 20 AND id IS NOT NULL"), ["id"], ["ingest_seq"], f"{tmp_dir}/once")
+    assert len(cut) == 2 and not _shuffles(once) and once.count() == 11
+
+
+def test_keys_without_an_entry_are_not_grouped(spark, tmp_dir):
+    path, keep = f"{tmp_dir}/t", []
+    order_table.upsert_orders(spark, path, spark.createDataFrame([("A_1", "A", "1", DAY[0], "N10", 0)], LINE))
+    order_table.upsert_orders(spark, path, spark.createDataFrame([("A_1", "A", "1", DAY[0], "N10", 1)], LINE))
+    real = order_table._add_entries
+    order_table._add_entries = lambda s, p, entries, work: keep.append(sorted(tuple(r) for r in entries.collect())) or real(s, p, entries, work)
+    try:
+        order_table.upsert_orders(spark, path, spark.createDataFrame([("A_1", "A", "1", DAY[1], "N10", 2), ("A_2", "A", "1", DAY[0], "N10", 2)], LINE))
+    finally:
+        order_table._add_entries = real
+    assert keep == [[("i:A_1", "A", 202402), ("i:A_2", "A", 202401), ("o:A:1", "A", 202402)]]
+
+
+def test_a_batch_leaves_nothing_next_to_the_table(spark, tmp_dir):
+    order_table.upsert_orders(spark, f"{tmp_dir}/t", spark.createDataFrame([("A_1", "A", "1", DAY[0], "N10", 0)] * 2, LINE))
+    assert os.listdir(tmp_dir) == ["t"]
