@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ledgerline.functions.rules import day_sql, last_wins
+from ledgerline.functions.rules import day_sql
 from ledgerline.operators import normalize as nz
 from ledgerline.operators.sales import sales_by_channel
 from ledgerline.sinks import tables as sinks
@@ -91,8 +91,9 @@ def ingest_batch(spark: SparkSession, raw: DataFrame, batch_id: int, table: str,
             rejects.drop("ingest_seq", "channel").write.mode("overwrite").parquet(out)
             n_rejects = spark.read.parquet(out).count()
         arrived = F.unix_micros("ingest_seq.arrival._time" if channel == nz.CHANNEL_C else "ingest_seq._time")
-        latest = last_wins(lines, ["id"], ["ingest_seq"]).withColumn("ingest_seq", arrived)
-        counts = sinks.upsert_orders(spark, table, latest, order=None, newer_by="ingest_seq" if backfill else None)
+        with sinks.aside(spark, table) as repeated:
+            latest = sinks.latest(spark, lines, ["id"], ["ingest_seq"], repeated).withColumn("ingest_seq", arrived)
+            counts = sinks.upsert_orders(spark, table, latest, order=None, newer_by="ingest_seq" if backfill else None)
         if summary:      # only the (channel, month) partitions this batch touched
             sinks.refresh_summary_months(spark, table, summary, channel, counts["partitions"])
         if last_day:

@@ -11,6 +11,7 @@ from ledgerline.plans import all_plans, collect_plans
 from ledgerline.sinks import order_table
 from ledgerline.sources import feeds
 from ledgerline.sources import fixtures as fx
+from ledgerline.streaming import ingest
 
 from fixture_paths import SF_SMALL
 
@@ -194,3 +195,14 @@ def test_keys_without_an_entry_are_not_grouped(spark, tmp_dir):
 def test_a_batch_leaves_nothing_next_to_the_table(spark, tmp_dir):
     order_table.upsert_orders(spark, f"{tmp_dir}/t", spark.createDataFrame([("A_1", "A", "1", DAY[0], "N10", 0)] * 2, LINE))
     assert os.listdir(tmp_dir) == ["t"]
+
+
+def test_an_ingested_batch_is_cut_to_its_last_lines_narrow(spark, tmp_dir, monkeypatch):
+    seen = []
+    monkeypatch.setattr(order_table, "last_wins", lambda *a: seen.append(a))
+    os.makedirs(f"{tmp_dir}/landing")
+    with open(f"{tmp_dir}/landing/a.json", "w") as f:
+        f.write("".join(f'{{"order_id": "{i}", "order_date": "2024-01-05", "order_status": "N10"}}\n' for i in range(5)))
+    ingest.order_ingest(spark, f"{tmp_dir}/landing", f"{tmp_dir}/t", f"{tmp_dir}/ck").awaitTermination()
+    assert not seen and order_table.read_orders(spark, f"{tmp_dir}/t").count() == 5
+    assert not [x for x in os.listdir(tmp_dir) if "aside" in x]
