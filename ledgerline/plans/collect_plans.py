@@ -10,7 +10,7 @@ from ledgerline.operators import claims
 from ledgerline.operators import normalize as nz
 from ledgerline.plans.ingest_plans import _B_SQL, _C_SQL, A_VIEWS, OUT, _out
 from ledgerline.plans.registry import plan
-from ledgerline.plans.sink_plans import _fresh, _oid
+from ledgerline.plans.sink_plans import _fresh, _land, _oid
 from ledgerline.sinks import tables as sinks
 from ledgerline.sinks.files import total_size
 from ledgerline.sources import feeds
@@ -30,12 +30,6 @@ def _files(feed) -> int:
     return max(FILES, -(-size // FILE_BYTES))
 
 
-def _land(df, path: str, files: int | None = None) -> None:
-    """A landing step: ``files`` files, where triggers are counted by files; else as the rows are read."""
-    rows = df if files is None else df.repartition(files)
-    rows.write.mode("append").option("compression", feeds.COMPRESSION).json(path)
-
-
 _LAST_DAY = """
 SELECT '{n}' AS batch, CAST(m.as_of AS VARCHAR) AS as_of, channel, COUNT(DISTINCT order_id) AS order_count,
   CAST(SUM(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount

@@ -175,13 +175,19 @@ def k10_stored(spark, sf):
     return sinks.latest_saved(spark, path)
 
 
+def _land(df, path: str, files: int | None = None) -> None:
+    """A landing step: ``files`` files, where triggers are counted by files; else as the rows are read."""
+    rows = df if files is None else df.repartition(files)
+    rows.write.mode("append").option("compression", feeds.COMPRESSION).json(path)
+
+
 def _collected(spark, sf) -> str:
-    """A landing folder of channel A: the feed in several files, then files
-    of changed orders and of records without an order id."""
+    """A landing folder of channel A: the feed, then files of changed orders and of records
+    without an order id; each step in as many files as tasks read the feed."""
     path, raw = _fresh(spark, "landing"), feeds.landed_a(spark, sf)
-    raw.repartition(3).write.json(path)
-    raw.where(_oid() % 5 == 0).withColumn("order_status", F.lit("R40")).repartition(2).write.mode("append").json(path)
-    raw.where(_oid() % 9 == 0).drop("order_id", "order_no").write.mode("append").json(path)
+    _land(raw, path)
+    _land(raw.where(_oid() % 5 == 0).withColumn("order_status", F.lit("R40")), path)
+    _land(raw.where(_oid() % 9 == 0).drop("order_id", "order_no"), path)
     return path
 
 

@@ -2,12 +2,13 @@
 
 import datetime as dt
 import gzip
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from ledgerline.operators import stock
-from ledgerline.plans import all_plans, collect_plans
+from ledgerline.plans import all_plans, collect_plans, sink_plans
 from ledgerline.sinks import order_table
 from ledgerline.sources import feeds
 from ledgerline.sources import fixtures as fx
@@ -206,3 +207,23 @@ def test_an_ingested_batch_is_cut_to_its_last_lines_narrow(spark, tmp_dir, monke
     ingest.order_ingest(spark, f"{tmp_dir}/landing", f"{tmp_dir}/t", f"{tmp_dir}/ck").awaitTermination()
     assert not seen and order_table.read_orders(spark, f"{tmp_dir}/t").count() == 5
     assert not [x for x in os.listdir(tmp_dir) if "aside" in x]
+
+
+def test_a_collected_feed_is_landed_as_it_is_read(spark, tmp_dir, monkeypatch):
+    """Compressed, and without a shuffle into few files; the stream keeps the last state of every order."""
+    record = F.struct(F.col("id").cast("string").alias("order_id"), F.lit("2001-01-05").alias("order_date"), F.lit("N10").alias("order_status"))
+    raw = feeds.parse_json(spark.range(0, 90, 1, 5).select(F.to_json(record).alias("json")), "json", feeds.ORDER_A)
+    monkeypatch.setattr(feeds, "landed_a", lambda *a: raw)
+    path = sink_plans._collected(spark, tmp_dir)
+    held = sorted(x for x in os.listdir(path) if x.startswith("part-"))
+    assert len(held) == 15 and all(x.endswith(".json.gz") for x in held)        # three steps of five tasks
+    landed = []
+    for x in held:
+        rows = [json.loads(line) for line in gzip.open(f"{path}/{x}", "rt")]
+        landed += [(r.get("order_id"), r["order_status"]) for r in rows]
+        assert {int(r["order_id"]) // 18 for r in rows if "order_id" in r} <= {int(x.split("-")[1])}
+    every, changed, nameless = [(str(i), "N10") for i in range(90)], [(str(i), "R40") for i in range(0, 90, 5)], [(None, "N10")] * 10
+    assert sorted(landed, key=str) == sorted(every + changed + nameless, key=str)
+    ingest.order_ingest(spark, path, f"{tmp_dir}/t", f"{tmp_dir}/ck").awaitTermination()
+    assert {r.order_id: r.status for r in order_table.read_orders(spark, f"{tmp_dir}/t").collect()} == dict(every + changed)
+    assert order_table.read_orders(spark, f"{tmp_dir}/t").count() == 90 and spark.read.parquet(f"{tmp_dir}/t_rejects").count() == 10
